@@ -279,9 +279,12 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without the words that occurrences of benchmark windows cover, in docs' own columns.
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no window of the benchmark, with all of their columns.
 
-    A document that keeps no word goes; all others stay with the text around the cut.
+    The search names texts by their hash, so ids may repeat or be null.
     """
-    raise NotImplementedError
+    named = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.col(text_col).alias("text"))
+    found = decontaminate(named, benchmark, size, id_col="key")
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__hit"), "left_anti")

@@ -13,7 +13,7 @@ and source columns are read, so further columns can have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -23,15 +23,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = (3, 3, 4, 5)
 
 
+def size_of(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def hash_of(id_col: str, text_col: str) -> Column:
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.substring(F.md5(key), 1, sum(DIGITS))
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, words (size) and hash of every row; the only pass over the texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text)
     return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.substring(F.md5(key), 1, sum(DIGITS)).alias("h"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, text_col).alias("h")
     )
 
 
@@ -99,43 +103,53 @@ def thresholds(base: DataFrame, goal: DataFrame) -> DataFrame:
     return state.withColumnRenamed("need", "edge_take")
 
 
+def cuts_of(base: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """thresholds() of the sources, its columns prefixed so that they clash with none."""
+    cuts = thresholds(base, targets(base, weights, max_repeats))
+    return cuts.select(*[F.col(c).alias(f"__{c}") for c in cuts.columns])
+
+
+def extra_words() -> Column:
+    """Words that the partial round takes from a row (__size, __h) of a source with cuts_of's columns."""
+    at_edge = F.col("__h") == F.col("__cut")
+    nearer = (2 * F.col("__edge_take") >= F.col("__edge_size")) & (F.col("__edge_take") > 0)
+    return (
+        F.when(F.col("__h") < F.col("__cut"), F.col("__size"))
+        .when(at_edge & (F.col("__edge_rows") == 1) & nearer, F.col("__size"))
+        .when(at_edge & (F.col("__edge_rows") > 1) & (F.col("__edge_size") > 0), F.expr("__size * __edge_take div __edge_size"))
+        .otherwise(0)
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats, cut off every row of docs.
+    """doc_id, source, size, source_size, target, taken of every row of docs.
 
-    ``taken`` is the number of words that the mix takes from the row, ``repeats`` how many whole
-    copies that is. A single row at a threshold is taken whole if that brings the source nearer
-    its target. Rows with one id and one text can't be told apart, so where several meet at a
-    threshold each gives its share of the remaining words (then taken > repeats * size).
+    ``taken`` is the number of words that the mix takes from the row, repeats counted. A single
+    row at a threshold is taken whole if that brings the source nearer its target. Rows with one
+    id and one text can't be told apart, so where several meet at a threshold each gives its share
+    of the remaining words.
     """
     base = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    cuts = thresholds(base, targets(base, weights, max_repeats))
-    cuts = cuts.withColumnRenamed("source", "cut_source")
-    whole = F.col("copies") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    at_edge = F.col("h") == F.col("cut")
-    nearer = (2 * F.col("edge_take") >= F.col("edge_size")) & (F.col("edge_take") > 0)
-    extra = F.when(at_edge & (F.col("edge_rows") == 1) & nearer, F.col("size")).when(
-        at_edge & (F.col("edge_rows") > 1) & (F.col("edge_size") > 0), F.expr("size * edge_take div edge_size")
-    ).otherwise(0)
-    taken = (whole * F.col("size") + extra).cast("long")
-    return (
-        base.join(cuts, base["source"].eqNullSafe(cuts["cut_source"]))
-        .select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "h")
+    rows = base.withColumnsRenamed({"size": "__size", "h": "__h"})
+    rows = rows.join(cuts_of(base, weights, max_repeats), F.col("source").eqNullSafe(F.col("__source")))
+    return rows.select(
+        "doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), (F.col("__copies") * F.col("__size") + extra_words()).cast("long").alias("taken"),
     )
 
 
-def materialized_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """docs itself with every row as often as the mix takes it whole, in docs' own columns.
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes it: each row as often as it is taken, in docs' columns and four more.
 
-    Rows join their decision on hash, so rows that can't be told apart share one. A row of which
-    only a part is taken (ties at a threshold, see mix) is kept once more if that part is half of
-    it or more.
+    mix_copy numbers a row's copies from 1, mix_taken is how many words the mix takes from this
+    copy (all of them but at a tied threshold), mix_size and mix_target are the row's words and its
+    source's target. The texts are not shuffled: thresholds, a row per source, join them.
     """
-    decided = mix(docs, weights, max_repeats)
-    n = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    decided = decided.select("h", F.col("source").alias("__source"), n.alias("__n")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text))
-    keyed = docs.withColumn("__h", F.substring(key, 1, sum(DIGITS)))
-    joined = keyed.join(decided, (keyed["__h"] == decided["h"]) & keyed["source"].eqNullSafe(decided["__source"]))
-    copies = joined.where(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    base = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    cuts = cuts_of(base, weights, max_repeats)
+    rows = docs.withColumns({"__size": size_of(text_col), "__h": hash_of(id_col, text_col)}).join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
+    rows = rows.withColumn("__extra", extra_words())
+    copies = F.transform(F.sequence(F.lit(1), F.col("__copies") + 1), lambda k: F.struct(k.alias("k"), F.when(k <= F.col("__copies"), F.col("__size")).otherwise(F.col("__extra")).cast("long").alias("words")))
+    rows = rows.withColumn("__copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
+    more = {"mix_copy": F.col("__copy.k").cast("long"), "mix_taken": F.col("__copy.words"), "mix_size": F.col("__size"), "mix_target": F.col("__target")}
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in more.items() if k not in docs.columns])

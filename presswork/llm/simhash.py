@@ -265,3 +265,185 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, blocks: i
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: keep_one: least Jaccard similarity of word shingle sets, their size, and the shingles that are
+#: fingerprinted. Two fingerprints (seeds) of four blocks make 128 bits; a pair at the least
+#: similarity differs in about 12 of them and in at most one bit of some block in all but about
+#: 0.2 % of cases, and unrelated texts, 64 bits apart, practically never come below NEAR_BITS.
+SIMILARITY, SHINGLE = 0.8, 5
+SKETCH_SHINGLE, SEEDS, SKETCH_DISTANCE, SKETCH_BLOCKS = 2, (42, 43), 7, 4
+NEAR_BITS = 26
+
+
+def sketches(docs: DataFrame, text_col: str) -> DataFrame:
+    """node (hash of the text), a, b (two fingerprints) of every row of (doc_id, node, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                columns: list[list] = [[] for _ in SEEDS]
+                counts = []
+                for text in part.column(2):
+                    words = words_of(text.as_py())
+                    some = list(dict.fromkeys(shingles_of(words, SKETCH_SHINGLE)))
+                    counts.append(len(some))
+                    for out, seed in zip(columns, SEEDS, strict=True):
+                        out.append(np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(seed)), np.uint64, len(some)))
+                fps = [pa.array(fingerprints(np.concatenate(out), counts).view(np.int64)) for out in columns]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *fps], ["doc_id", "node", "a", "b"])
+
+    return docs.select("doc_id", "node", text_col).mapInArrow(rows, f"doc_id {kind}, node long, a long, b long")
+
+
+def anchored_pairs(nodes: DataFrame) -> DataFrame:
+    """anchor, home, node, a, b: each node at the anchors of both of its fingerprints."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = codes_for(SKETCH_DISTANCE, SKETCH_BLOCKS)
+        for batch in batches:
+            node, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for at in range(0, len(node), 4096):
+                part = slice(at, at + 4096)
+                for side, fp in enumerate((a[part], b[part])):
+                    for k, code in enumerate(codes):
+                        anchor, row, home = code.anchors(fp)
+                        key = anchor | ((side * len(codes) + k) << 40)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, home, node[part][row], a[part][row], b[part][row])], ["anchor", "home", "node", "a", "b"])
+
+    return nodes.select("node", "a", "b").mapInArrow(rows, "anchor long, home boolean, node long, a long, b long")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of one value of the first column in sorted batches."""
+    held: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if held and columns[0][x] != last:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            last = columns[0][x]
+            held.append([c[x:y] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def sketch_links(at: DataFrame, near_bits: int) -> DataFrame:
+    """a, b: a spanning forest of the nodes within near_bits of each other at each anchor."""
+
+    def pairs(a: np.ndarray, b: np.ndarray, homes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        step = max(1, COMPARE_CELLS // len(a))
+        for i in range(0, len(homes), step):
+            part = homes[i : i + step]
+            bits = np.bitwise_count(a[part][:, None] ^ a[None, :]) + np.bitwise_count(b[part][:, None] ^ b[None, :])
+            bits[np.arange(len(part)), part] = 255
+            x, y = np.nonzero(bits <= near_bits)
+            yield part[x], y
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for _, home, node, a, b in groups_of(batches):
+            homes = np.flatnonzero(home.astype(bool))
+            if len(node) > 1 and len(homes):
+                edges = spanning_forest(len(node), pairs(a, b, homes))
+                if edges:
+                    out.append(node[np.array(edges)])
+                    held += len(edges)
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)[:, i]) for i in (0, 1)], ["a", "b"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)[:, i]) for i in (0, 1)], ["a", "b"])
+
+    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of least or more."""
+    small, large = sorted((len(x), len(y)))
+    if small < least * large:
+        return False
+    if not large:
+        return True
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (small + large - common) - 1e-9
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    some = set(shingles_of(words_of(text), size))
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
+
+
+def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """node, first: for each node that similar ones reach within its sketch group, the component's first.
+
+    texts: root, node, rank, text; a component's first has its least rank. A member is compared
+    until it is joined with every component of the group that it has a link to, so what is found
+    are all components of the links. Members of a group share a task; each takes 8 bytes a shingle.
+    """
+
+    def solve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        parts: list[list[int]] = []  # in order of their first members
+        for i, own in enumerate(sets):
+            linked = [p for p in parts if any(similar(own, sets[j], least) for j in p)]
+            if linked:
+                linked[0].append(i)
+                for more in linked[1:]:
+                    linked[0].extend(more)
+                    parts.remove(more)
+            else:
+                parts.append([i])
+        return [(nodes[i], nodes[min(p)]) for p in parts if len(p) > 1 for i in p]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, nodes, sets = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if r != root:
+                    out += solve(nodes, sets)
+                    root, nodes, sets = r, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(shingle_set(text.as_py(), size))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "first"])
+        out = solve(nodes, sets)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "first"])
+
+    at = texts.repartition("root").sortWithinPartitions("root", F.col("rank").asc_nulls_last(), "node")
+    return at.select("root", "node", "text").mapInArrow(rows, "node long, first long")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, of each group of near duplicates only the one with the least id.
+
+    Two texts are linked if their sets of size-word shingles have a Jaccard similarity of
+    similarity or more; groups are what links connect. SimHash proposes the groups that are
+    compared exactly. Defined results: equal texts are linked, texts without words too (null is
+    empty); null ids come last; of repeated rows one stays; an empty table stays empty. Columns of
+    any name are kept.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    table = materialize(sketches(named, "text"), "sketches")
+    nodes = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("rows"))
+    nodes = materialize(nodes, "distinct-texts")
+    groups = materialize(components(sketch_links(anchored_pairs(nodes), NEAR_BITS)), "sketch-groups")
+    grouped = nodes.join(groups, "node").select(F.col("node").alias("its_node"), "root", "least")
+    texts = named.join(grouped, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", F.col("least").alias("rank"), "text")
+    joined = materialize(verified(texts, size, similarity), "verified-groups")
+    stay = nodes.join(joined.where("node <> first").select("node").distinct(), "node", "left_anti")
+    # the rows that stay, by text and id, and how many rows are alike in both
+    alike = table.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("alike"))
+    stay = alike.join(stay.select(F.col("node").alias("its_node"), "least"), (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("alike").alias("__alike"))
+    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    left = keyed.join(stay, (F.col("__own") == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    once = left.where("__alike = 1").unionByName(left.where("__alike > 1").dropDuplicates(["__node", "__id"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
