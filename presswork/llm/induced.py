@@ -41,7 +41,7 @@ class Runs:
             self.file = self.file or tempfile.TemporaryFile()
             self.file.seek(0, 2)
             place = self.file.tell()
-            self.file.write(at.astype(np.int64).tobytes())
+            self.file.write(at.astype(np.int32).tobytes())
             self.file.write(lcp.astype(np.uint16).tobytes())
             self.runs[symbol].append((place, len(at)))
         else:
@@ -58,7 +58,7 @@ class Runs:
                 yield first, second
             else:
                 self.file.seek(first)
-                yield np.frombuffer(self.file.read(8 * second), np.int64), np.frombuffer(self.file.read(2 * second), np.uint16)
+                yield np.frombuffer(self.file.read(4 * second), np.int32), np.frombuffer(self.file.read(2 * second), np.uint16)
 
 
 class Sender:
@@ -80,11 +80,11 @@ class Sender:
         target = symbol[who]
         order = np.argsort(target, kind="stable")
         who, target = who[order], target[order]
-        cuts = np.flatnonzero(np.diff(target, prepend=-1))
+        cuts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         ends = np.append(cuts[1:], len(who))
         value = np.zeros(len(who), np.uint16)
         if self.lcps:
-            low = np.empty(len(who), np.int64)
+            low = np.empty(len(who), np.int64)  # sends since the symbol's last one
             low[1:] = who[:-1] + 1
             low[cuts] = 0
             least = range_minima(lcp, np.concatenate([low, who[ends - 1] + 1]), np.concatenate([who, np.full(len(ends), len(lcp) - 1)]))
@@ -126,18 +126,19 @@ class Text:
     """A string of symbols 0..symbols-1 whose last, 0, occurs nowhere else."""
 
     def __init__(self, symbols: np.ndarray, count: int, memory: int):
+        symbols = symbols.astype(np.uint16 if count < 65536 else np.int32)
         self.t, self.count, self.memory = symbols, count, memory
         n = len(symbols)
-        change = np.flatnonzero(np.diff(symbols)) + 1  # where a run of one symbol ends
+        change = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1  # where a run of one symbol ends
         lengths = np.diff(np.append(np.insert(change, 0, 0), n))
-        self.run_end = np.repeat(np.append(change, n), lengths)
+        self.run_end = np.repeat(np.append(change, n).astype(np.int32), lengths)
         after = symbols[np.minimum(self.run_end, n - 1)]
         self.small = after > symbols  # type S
         self.small[-1] = True
         star = self.small.copy()
         star[0] = False
         star[1:] &= ~self.small[:-1]
-        self.stars = np.flatnonzero(star)
+        self.stars = np.flatnonzero(star).astype(np.int32)
         self.is_star = star
 
     def run_lcp(self, a: int, b: int) -> int:
@@ -180,8 +181,7 @@ class Text:
                     before = self.t[x - 1]
                     sender.send(x, y, before, (x > 0) & (before <= c))
             if c == 0:
-                parts = [(np.array([len(self.t) - 1]), np.zeros(1, np.uint16))]
-                before = self.t[len(self.t) - 2 : len(self.t) - 1]
+                parts = [(np.array([len(self.t) - 1], np.int32), np.zeros(1, np.uint16))]
             small[c] = joined(parts)
             big[c] = joined(list(larges.take(c)) if larges.runs[c] else [])
             if big[c] is not None:
@@ -197,31 +197,54 @@ class Text:
     def present(self) -> list[int]:
         return np.flatnonzero(np.bincount(self.t, minlength=self.count)).tolist()
 
-    def star_order(self, base: int) -> np.ndarray:
-        """S* suffixes in order: substrings sorted by induction and named, names by recursion."""
+    def star_order(self, base: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Ranks of the S* suffixes in order (as indices into stars): substrings sorted by induction
+        and named, names by recursion. Also the ranks of doubled names, where they were used."""
         stars = self.stars
         by_first = stars[np.argsort(self.t[stars], kind="stable")]
         nothing = np.zeros(len(stars), np.uint16)
         _, small = self.smalls(self.larges(by_first, nothing, False), False)
         ranked = np.concatenate([s[0][::-1] for s in small if s is not None])
         ranked = ranked[self.is_star[ranked]]
-        end = np.full(len(self.t) + 1, len(self.t) - 1)
-        end[stars[:-1]] = stars[1:]
-        length = end[ranked] - ranked + 1
-        fresh = np.ones(len(ranked), np.int64)
-        maybe = np.flatnonzero(length[1:] == length[:-1]) + 1
-        cap = length[maybe]
+        number = np.empty(len(self.t), np.int32)
+        number[stars] = np.arange(len(stars), dtype=np.int32)
+        ranked_number = number[ranked]
+        size = np.append(np.diff(stars), 0).astype(np.int32)[ranked_number] + 1
+        fresh = np.ones(len(ranked), np.int32)
+        maybe = np.flatnonzero(size[1:] == size[:-1]) + 1
+        cap = size[maybe]
         fresh[maybe] = common_prefix(self.t, ranked[maybe - 1], ranked[maybe], cap) < cap
-        name_at = np.empty(len(self.t), np.int64)
-        name_at[ranked] = np.cumsum(fresh) - 1
-        names = name_at[stars]
-        if names.max() + 1 == len(names):
-            return ranked
+        names = np.empty(len(stars), np.int32)
+        names[ranked_number] = np.cumsum(fresh, dtype=np.int32) - 1
+        distinct = int(names.max()) + 1
+        if distinct == len(names):
+            return ranked_number, [names]
         if len(names) > base:
-            order, _ = suffix_array(names, int(names.max()) + 1, self.memory, base, lcps=False)
-        else:
-            order = by_doubling(names)
-        return stars[order]
+            return suffix_array(names, distinct, self.memory, base, lcps=False)[0], [names]
+        return by_doubling(names)
+
+    def star_lcps(self, order: np.ndarray, levels: list[np.ndarray], cap: int) -> np.ndarray:
+        """Common prefix of each S* suffix with the one before, up to cap: equal names first."""
+        a, b = order[:-1].copy(), order[1:].copy()
+        n = len(self.stars)
+        for k in range(len(levels) - 1, -1, -1):
+            rank, width = levels[k], 1 << k
+            while True:
+                live = np.flatnonzero((a + width <= n) & (b + width <= n))
+                same = live[rank[a[live]] == rank[b[live]]]
+                a[same] += width
+                b[same] += width
+                if k < len(levels) - 1 or not len(same):
+                    break
+        done = self.at(a) - self.stars[order[:-1]]
+        live = np.flatnonzero((done < cap) & (a < n) & (b < n))
+        out = np.minimum(done, cap)
+        out[live] = np.minimum(done[live] + common_prefix(self.t, self.stars[a[live]], self.stars[b[live]], cap - done[live]), cap)
+        return np.append(0, out).astype(np.uint16)
+
+    def at(self, number: np.ndarray) -> np.ndarray:
+        """Position of the S* suffix of that number; the text's end for the one past the last."""
+        return np.append(self.stars, len(self.t))[number]
 
 
 def chunks(at: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -233,19 +256,21 @@ def joined(parts: list) -> tuple[np.ndarray, np.ndarray] | None:
     return (np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])) if parts else None
 
 
-def by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string that fits in memory; the recursion ends here."""
-    n, rank, width = len(names), names.astype(np.int64), 1
+def by_doubling(names: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix order of a string that fits in memory, where the recursion ends, and the ranks by the
+    first 1, 2, 4... names that led to it."""
+    n, levels, width = len(names), [names], 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(n - width, 0)] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        rank = levels[-1].astype(np.int64)
+        key = rank * (n + 1)
+        key[: max(n - width, 0)] += rank[width:] + 1
+        order = np.argsort(key, kind="stable").astype(np.int32)
         key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]), dtype=np.int32)
         if rank[order[-1]] == n - 1:
-            return order
+            return order, levels
+        levels.append(rank)
         width *= 2
 
 
@@ -253,14 +278,20 @@ def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray)
     """Common prefix of the suffixes at a and b, counted up to cap."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    step, n = 16, len(t)
-    lanes = np.arange(step)
+    n, step = len(t), 4
     while len(live):
-        x = np.minimum(a[live, None] + out[live, None] + lanes, n - 1)
-        y = np.minimum(b[live, None] + out[live, None] + lanes, n - 1)
+        lanes = np.arange(step)
+        x = a[live] + out[live]
+        y = b[live] + out[live]
+        fits = np.maximum(x, y).max() + step <= n
+        x, y = x[:, None] + lanes, y[:, None] + lanes
+        if not fits:
+            np.minimum(x, n - 1, out=x)
+            np.minimum(y, n - 1, out=y)
         same = np.logical_and.accumulate(t[x] == t[y], axis=1).sum(axis=1)
         out[live] += same
         live = live[(same == step) & (out[live] < cap[live])]
+        step = min(2 * step, 32)
     return np.minimum(out, cap)
 
 
@@ -268,16 +299,15 @@ def suffix_array(symbols: np.ndarray, count: int, memory: int = 1 << 24, base: i
     """Suffixes of symbols (0..count-1) in order, and their lcp with the one before, counted up to cap.
 
     memory: queue entries held in memory. base: names up to which a reduced string is ranked in
-    memory instead of by recursion.
+    memory instead of by recursion. A shard has fewer than 2**31 symbols.
     """
     if not len(symbols):
-        return np.empty(0, np.int64), np.empty(0, np.uint16)
-    text = Text(np.append(symbols.astype(np.int64) + 1, 0), count + 1, memory)
-    stars = text.star_order(base)
-    prefix = np.zeros(len(stars), np.uint16)
-    if lcps and len(stars) > 1:
-        prefix[1:] = common_prefix(text.t, stars[:-1], stars[1:], np.full(len(stars) - 1, cap))
-    big, small = text.smalls(text.larges(stars, prefix, lcps), lcps)
+        return np.empty(0, np.int32), np.empty(0, np.uint16)
+    text = Text(np.append(symbols.astype(np.int32) + 1, 0), count + 1, memory)
+    order, levels = text.star_order(base)
+    prefix = text.star_lcps(order, levels, cap) if lcps else np.zeros(len(order), np.uint16)
+    big, small = text.smalls(text.larges(text.stars[order], prefix, lcps), lcps)
+    del text.is_star, levels
     order, lcp = [], []
     for b, s in zip(big, small, strict=True):
         if b is not None:

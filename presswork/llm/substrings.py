@@ -1,7 +1,7 @@
 """Exact removal of repeated 400-byte strings, decided by suffix arrays of shards.
 
 1. Each text is cut into runs of consecutive windows (400-byte strings) that share the least hash
-   of their 32-byte pieces. Equal windows have equal least hashes, so a window can repeat only if
+   of their 128-byte pieces. Equal windows have equal least hashes, so a window can repeat only if
    its run's hash stands at another place of the corpus; counting hashes, combined before the
    shuffle, rules out all other runs.
 2. The bytes under a remaining run (its segment) are folded with those of equal content, so what a
@@ -20,6 +20,7 @@ than id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from .common import materialize
 from .induced import suffix_array
 
 LENGTH = 400
-PIECE = 32
+PIECE = 128  # 8 times a power of two
 #: Bytes of segments after which a shard is closed, at the next change of hash.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def key_of(data: bytes) -> bytes:
@@ -45,18 +46,19 @@ def data_of(text: str | None) -> bytes:
 
 
 def piece_hashes(data: bytes) -> np.ndarray:
-    """A hash of the PIECE bytes from each position on."""
-    n = len(data) - PIECE + 1
+    """A hash of the PIECE bytes from each position on: of 8 bytes, then of twice as many, and so on."""
     raw = np.frombuffer(data, np.uint8)
     words = np.lib.stride_tricks.as_strided(raw, (len(data) - 7, 8), (1, 1))
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()
-    h = np.zeros(n, np.uint64)
-    for k in range(PIECE // 8):
-        h ^= words[8 * k : 8 * k + n]
-        h *= np.uint64(0x9E3779B97F4A7C15)
+    h, width = np.ascontiguousarray(words).view(np.uint64).ravel(), 8
+    while width < PIECE:
+        left, right = h[:-width], h[width:]
+        h = left * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        h += right
+        h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+        width *= 2
+    return h
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -140,7 +142,7 @@ def repeated_windows(segments: list[bytes], length: int, memory: int, base: int)
     """For each segment the windows that another place of the segments holds too, as flags."""
     sizes = np.array([len(s) for s in segments])
     starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
-    symbols = np.zeros(int(sizes.sum()) + len(segments), np.int64)  # 0 between segments
+    symbols = np.zeros(int(sizes.sum()) + len(segments), np.int32)  # 0 between segments
     for s, at in zip(segments, starts, strict=True):
         symbols[at : at + len(s)] = np.frombuffer(s, np.uint8)
         symbols[at : at + len(s)] += 1
@@ -170,8 +172,13 @@ def decide(segments: DataFrame, length: int, shard_bytes: int, memory: int, base
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated_windows([r[3] for r in rows], length, memory, base)
+        held = Counter(r[0] for r in rows)
+        known = [r for r in rows if r[2] and held[r[0]] == 1]  # all its windows repeat, and it is nobody's neighbour
+        rows = [r for r in rows if not (r[2] and held[r[0]] == 1)]
+        flags = repeated_windows([r[3] for r in rows], length, memory, base) if rows else []
         spans = [[{"start": 0, "end": len(r[3])}] if r[2] else flag_spans(f, length) for r, f in zip(rows, flags, strict=True)]
+        spans += [[{"start": 0, "end": len(r[3])}] for r in known]
+        rows = rows + known
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(spans, spans_type)], ["h", "content", "spans"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
