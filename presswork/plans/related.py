@@ -6,24 +6,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import keywords, selection
 from ..sources.tables import table
+from .registered import Plans
 
+plans = Plans()
 DIMS = 64
 
 
-def related_cosine_topk(spark: SparkSession, sf_dir: str, centre: int = 0, k: int = 10) -> DataFrame:
-    """The k vectors nearest to the centre by cosine, the centre itself excluded."""
-    every = table(spark, sf_dir, "embeddings").where(V.is_valid(F.col("embedding"), DIMS))
-    one = every.where(F.col("vec_id") == centre).select(F.col("embedding").alias("centre"))
-    scored = every.where(F.col("vec_id") != centre).crossJoin(F.broadcast(one.limit(1)))
-    cos = F.round(V.cosine(F.col("embedding"), F.col("centre")), 6)
-    return scored.select("vec_id", cos.alias("cosine")).orderBy(F.col("cosine").desc(), "vec_id").limit(k)
+@plans.add("""WITH c AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c.v), 6) AS cosine FROM embeddings, c WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 10""")
+def related_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten vectors nearest to vector 0 by cosine, itself excluded."""
+    every = table(spark, sf, "embeddings")
+    near = selection.vector_top_k(every, every.where("vec_id = 0"), 10, dims=DIMS)
+    return near.select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = {"related_cosine_topk": related_cosine_topk}
-ORACLE = {
-    "related_cosine_topk": """
-        WITH c AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)
-        SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c.v), 6) AS cosine
-        FROM embeddings, c WHERE vec_id <> 0 ORDER BY cosine DESC, vec_id LIMIT 10""",
-}
+@plans.add("SELECT vec_id, len(embedding) = 64 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0 AS valid, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
+def vector_validity(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", V.is_valid(v, DIMS).alias("valid"), F.round(V.norm(v), 6).alias("norm"))
+
+
+@plans.add("""WITH c AS (SELECT embedding::DOUBLE[] AS v, label AS cl FROM embeddings WHERE vec_id = 0),
+    s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c.v), 9) AS cos, 'l' || label AS t, 'l' || cl AS ct FROM embeddings, c WHERE vec_id <> 0),
+    r AS (SELECT vec_id, greatest(0, least(1, 0.9 * greatest(0, cos) + 0.1 * (1.0 / CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END) - 0)) AS score FROM s)
+    SELECT vec_id, round(score, 6) AS score, CASE WHEN score < 0.1 THEN 'below_threshold' END AS gate FROM r""")
+def relevance_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine to vector 0 blended with shared words; candidates under 0.1 are out."""
+    every = table(spark, sf, "embeddings")
+    one = every.where("vec_id = 0").select(F.col("embedding").alias("c"))
+    pairs = every.where("vec_id <> 0").join(F.broadcast(one))
+    cos = F.round(V.cosine(F.col("embedding"), F.col("c")), 9)
+    tokens = F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("market"))).otherwise(F.array(F.lit("market"), F.lit("rate")))
+    entities, centre = F.array(F.lit("bank")), F.array(F.lit("market"))
+    score = selection.relevance(cos, centre, tokens, entities)
+    return pairs.select("vec_id", F.round(score, 6).alias("score"), selection.gate(score, centre, tokens, entities, 0.1).alias("gate"))
+
+
+ROUTE_P = """WITH a AS (SELECT vec_id, list_transform(embedding[1:7]::DOUBLE[], lambda x: abs(x)) AS c, list_transform(embedding[8:10]::DOUBLE[], lambda x: abs(x)) AS o, list_transform(embedding[11:14]::DOUBLE[], lambda x: abs(x)) AS h FROM embeddings),
+    n AS (SELECT vec_id, list_transform(c, lambda x: x / list_sum(c)) AS c, list_transform(o, lambda x: x / list_sum(o)) AS o, list_transform(h, lambda x: x / list_sum(h)) AS h FROM a),
+    q AS (SELECT vec_id, c[1] AS rep, c[2] AS bac, c[3] AS con, c[4] AS per, c[5] AS det, c[6] + c[7] AS off, o[1] AS same, h[3] + h[4] AS hel, h[2] + 2 * h[3] + 3 * h[4] AS lev FROM n)"""
+
+
+@plans.add(ROUTE_P + """ SELECT vec_id, CASE WHEN rep >= .5 AND same >= .5 THEN 'center_group' WHEN same >= .8 AND bac + con + per + det < .6 AND off < .6 THEN 'center_group' WHEN bac + con + per + det >= .6 AND hel >= .6 THEN 'candidate' WHEN off >= .6 THEN 'excluded' ELSE 'withheld' END AS bucket,
+    CASE WHEN NOT (rep >= .5 AND same >= .5) AND NOT (same >= .8 AND bac + con + per + det < .6 AND off < .6) AND bac + con + per + det >= .6 AND hel >= .6 THEN CASE greatest(bac, con, per, det) WHEN bac THEN 'background' WHEN con THEN 'consequence' WHEN per THEN 'perspective' ELSE 'detail' END END AS role, round(lev, 6) AS helpfulness FROM q""")
+def decision_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets and roles from distributions made of vector components."""
+
+    def distribution(at: int, names: tuple[str, ...]) -> F.Column:
+        part = F.transform(F.slice(F.col("embedding").cast("array<double>"), at, len(names)), F.abs)
+        total = F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
+        return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.transform(part, lambda x: x / total))
+
+    d = table(spark, sf, "embeddings").select(
+        "vec_id", distribution(1, ("repeat", "background", "consequence", "perspective", "detail", "tangential", "unrelated")).alias("c"), distribution(8, ("same", "different", "unclear")).alias("o"), distribution(11, ("0", "1", "2", "3")).alias("h"),
+    )
+    r = selection.route(F.col("o"), F.col("c"), F.col("h"))
+    return d.select("vec_id", r["bucket"].alias("bucket"), r["role"].alias("role"), F.round(selection.expected(F.col("h")), 6).alias("helpfulness"))
+
+
+@plans.add("""WITH e AS (SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2),
+    l AS (SELECT label, sqrt(sum(m * m)) AS n FROM e GROUP BY 1), v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    d AS (SELECT v.vec_id, v.label, round(sum(v.x * e.m / l.n), 9) AS dot FROM v JOIN e USING (label, i) JOIN l USING (label) GROUP BY 1, 2)
+    SELECT label AS cluster, arg_max(vec_id, (dot, -vec_id)) AS medoid FROM d GROUP BY label""")
+def cluster_medoids(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.medoids(table(spark, sf, "embeddings").withColumnRenamed("label", "cluster"))
+
+
+@plans.add()
+def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten diverse picks per label, from its fifty best by cosine to the label's centroid."""
+    e = table(spark, sf, "embeddings")
+    c = keywords.centroids(e.withColumnRenamed("label", "cluster"))
+    scored = e.join(c, e["label"] == c["cluster"]).select("label", "vec_id", "embedding", V.cosine(F.col("embedding"), F.col("centroid")).alias("score"))
+    return selection.mmr(scored, ["label"], 10)
+
+
+@plans.add()
+def cluster_avg_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of each label's first fifty vectors, the label's first vector as the query."""
+    e = table(spark, sf, "embeddings")
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vector"))
+    a = e.join(q, "label").select(F.col("label").alias("query"), F.col("vec_id").alias("news_id"), F.concat(F.lit("vector "), "vec_id").alias("title"), "embedding", "query_vector", F.col("vec_id").alias("search_rank"))
+    return keywords.clusters(a)
+
+
+QUERIES, ORACLE = plans.queries, plans.oracle

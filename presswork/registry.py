@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import related
+from .plans import related, reports, search, states, texts, tracked
 
-MODULES = (related,)
+MODULES = (related, texts, search, reports, tracked, states)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
