@@ -17,23 +17,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, fold
 
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and the longest text.
-SAMPLE_PER_CLASS = 2000
+SAMPLE_PER_CLASS = 1500
 SAMPLE_CHARS = 50_000
-#: A word is labelled T if it is in as many toxic documents, and if its log odds are so many
-#: standard errors above 0 and so precise.
-MIN_DOCS, MIN_Z, MIN_PRECISION = 4, 3.0, 0.8
+#: A word is labelled T if one of its features is in as many toxic documents, as precise, and told
+#: apart by a likelihood ratio that exceeds chance among all features by the margin.
+MIN_DOCS, MARGIN, MIN_PRECISION = 4, 2.0, 0.8
 #: Features that the field has a weight for are in as many documents of the sample.
 MIN_FEATURE_DOCS = 3
 #: Lengths in bytes of the word beginnings that are features, beside the whole word.
@@ -137,46 +137,53 @@ def marginals(scores: list[np.ndarray], start: float, moves: np.ndarray) -> list
     return out
 
 
-def toxic_features(documents: list[set[bytes]], toxic: list[bool]) -> set[bytes]:
-    """Features whose document frequency sets the toxic documents apart."""
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    in1, in0 = Counter(), Counter()
-    for features, t in zip(documents, toxic, strict=True):
-        (in1 if t else in0).update(features)
-    found = set()
-    for feature, a in in1.items():
-        b = in0[feature]
-        if a < MIN_DOCS:
-            continue
-        cells = (a + 0.5, n1 - a + 0.5, b + 0.5, n0 - b + 0.5)
-        odds = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3])
-        if odds >= MIN_Z * math.sqrt(sum(1 / c for c in cells)) and a / n1 >= MIN_PRECISION * (a / n1 + b / max(n0, 1)):
-            found.add(feature)
-    return found
+def marked_features(in_toxic: np.ndarray, in_clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Which features' document frequencies set the toxic documents apart."""
+    a, b = in_toxic.astype(float), in_clean.astype(float)
+    total = max(n1 + n0, 1)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    likelihood = 2 * (part(a, (a + b) * n1 / total) + part(b, (a + b) * n0 / total) + part(n1 - a, n1 - (a + b) * n1 / total) + part(n0 - b, n0 - (a + b) * n0 / total))
+    sure = likelihood >= 2 * math.log(max(len(a), 1)) + MARGIN  # rarer by chance than one in all features
+    return sure & (a >= MIN_DOCS) & (a * max(n0, 1) >= MIN_PRECISION * (a * max(n0, 1) + b * n1))
 
 
 def fit_field(documents: list[list[bytes]], toxic: list[bool]) -> Field:
     """Token labels, the field's weights by Adam, and the document score by Newton's method."""
-    words = sorted({w for d in documents for w in d})
-    number = {w: i for i, w in enumerate(words)}
-    of_word = [features_of(w) for w in words]
-    per_doc = [{f for w in set(d) for f in of_word[number[w]]} for d in documents]
-    marked = toxic_features(per_doc, toxic)
-    seen = Counter(f for d in per_doc for f in d)
-    known = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_FEATURE_DOCS))}
-    pairs = np.array([(i, known[f]) for i, fs in enumerate(of_word) for f in fs if f in known], np.int64).reshape(-1, 2)
-    is_marked = np.array([not marked.isdisjoint(fs) for fs in of_word], bool)
-    del per_doc, seen, of_word
+    number: dict[bytes, int] = {}
+    texts = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int32, len(d)) for d in documents]
+    every: dict[bytes, int] = {}
+    at, flat = [0], []
+    for w in number:
+        flat += [every.setdefault(f, len(every)) for f in features_of(w)]
+        at.append(len(flat))
+    of_word, at = np.array(flat, np.int32), np.array(at)
+    del flat
+    counts = np.zeros((2, len(every)), np.int32)
+    for d, t in zip(texts, toxic, strict=True):
+        if len(d):
+            counts[int(t), np.unique(np.concatenate([of_word[at[w] : at[w + 1]] for w in np.unique(d)]))] += 1
+    marked = marked_features(counts[1], counts[0], sum(toxic), len(toxic) - sum(toxic))
+    used = np.flatnonzero(counts.sum(axis=0) >= MIN_FEATURE_DOCS)
+    place = np.full(len(every), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    word_of = np.repeat(np.arange(len(number), dtype=np.int32), np.diff(at))
+    is_marked = np.bincount(word_of, weights=marked[of_word], minlength=len(number)) > 0
+    held = place[of_word] >= 0
+    pairs = np.stack([word_of[held], place[of_word[held]]], axis=1).reshape(-1, 2)
+    names = [f for f, i in every.items() if place[i] >= 0]  # in the order of their places
+    del every, counts, of_word, word_of, held, place
     model = Field({}, prior=sum(toxic) / max(len(toxic), 1))
     ids, tags = [], []
-    for d, t in zip(documents, toxic, strict=True):
-        whole = np.array([number[w] for w in d], np.int64)
-        for at in range(0, len(whole), TRAIN_WORDS):
-            ids.append(whole[at : at + TRAIN_WORDS])
+    for d, t in zip(texts, toxic, strict=True):
+        for i in range(0, len(d), TRAIN_WORDS):
+            ids.append(d[i : i + TRAIN_WORDS])
             tags.append(is_marked[ids[-1]] & t)
     if not ids:
         return model
-    n, m = len(words), len(known)
+    n, m = len(number), len(names)
     truth_word = np.bincount(np.concatenate(ids), weights=np.concatenate(tags), minlength=n)
     truth_start = sum(float(t[0]) for t in tags)
     truth_moves = np.zeros((2, 2))
@@ -199,7 +206,7 @@ def fit_field(documents: list[list[bytes]], toxic: list[bool]) -> Field:
         grad = np.concatenate([of_features, [gap.sum(), truth_start - got_start, *(truth_moves - got_moves).ravel()[1:]]])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta = theta + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    model.features = {f: float(theta[i]) for f, i in known.items()}
+    model.features = {f: float(theta[i]) for i, f in enumerate(names)}
     model.bias, model.start = float(theta[m]), float(theta[m + 1])
     model.moves = np.array([[0, theta[m + 2]], [theta[m + 3], theta[m + 4]]])
     if 0 < sum(toxic) < len(toxic):
@@ -238,8 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
     chosen = classes[0].unionByName(classes[1])
     texts = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
-    of_text = {r["text"]: r["toxic"] > 0 for r in sorted(rows, key=lambda r: (r["toxic"], str(r["doc_id"])))}  # copies count once
-    return fit_field([words_of(t) for t in of_text], list(of_text.values()))
+    documents, toxic, seen = [], [], set()
+    for r in sorted(rows, key=lambda r: str(r["doc_id"])):  # copies and near copies count once
+        words = words_of(r["text"])
+        least = sorted(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))[:8]
+        if sum(h in seen for h in least) * 3 < len(least):
+            documents.append(words)
+            toxic.append(r["toxic"] > 0)
+        seen.update(least)
+    return fit_field(documents, toxic)
 
 
 def score_texts(texts: list[str | None], field: Field) -> tuple[list[float], list[np.ndarray]]:
