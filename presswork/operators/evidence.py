@@ -75,14 +75,19 @@ def append_once(new: DataFrame, stored: DataFrame, row_id: str, generation_key:
     return joined.withColumn("outcome", F.when(F.col("stored_id").isNotNull(), "reused").when(F.col("__id").isNotNull(), "id_collision").otherwise("insert")).drop("__id")
 
 
+def bare_json(raw: Column) -> Column:
+    """The text without code fences and without white space around it."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"```(?:json)?", ""), r"^(?U)\s+|(?U)\s+$", "")
+
+
 def parse_report(raw: Column) -> Column:
     """Report of a model's text: code fences dropped, one JSON object; null else."""
-    bare = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"```(?:json)?", ""))
+    bare = bare_json(raw)
     return F.when(bare.startswith("{"), F.from_json(bare, REPORT_SCHEMA, {"mode": "PERMISSIVE"}))
 
 
 def parse_status(raw: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"```(?:json)?", ""))
+    bare = bare_json(raw)
     parsed = F.try_parse_json(bare)
     return F.when(bare == "", "empty_response").when(parsed.isNull(), "invalid_json").when(F.schema_of_variant(parsed).startswith("OBJECT"), "ok").otherwise("json_not_object")
 
