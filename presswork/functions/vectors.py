@@ -21,7 +21,7 @@ def norm(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Clamped cosine; null where dimensions differ or a vector has no length."""
     value = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    return F.when((F.size(a) == F.size(b)) & value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
 def is_valid(v: Column, dims: int) -> Column:
