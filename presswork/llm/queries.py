@@ -56,5 +56,57 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP1 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+  i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  x AS (SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda s: w[s:s + 9]) END) AS v FROM i),
+  win AS (SELECT DISTINCT item_id, len(v) AS n, array_to_string(v, ' ') AS k FROM x),
+  p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win)),
+  g AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM p),
+  hit AS (SELECT DISTINCT doc_id, s, n, item_id FROM g JOIN win USING (n, k)),
+  c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY 1),
+  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+  SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+OP4 = r"""WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15) AS h FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),
+  w AS (SELECT *, ([1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::BIGINT AS w, 3 * source_size AS cap FROM s),
+  f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS left_, (sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS w_left FROM w),
+  l AS (SELECT arg_min(left_ / w_left, (cap / w, coalesce(source, '~~~~'))) FILTER (cap / w >= left_ / w_left) AS level FROM f),
+  t AS (SELECT source, source_size, least(cap::DOUBLE, level * w) AS target FROM f, l),
+  n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+  m AS (SELECT *, round(target - copies * source_size)::BIGINT AS need FROM n),
+  g AS (SELECT source, h, sum(size)::BIGINT AS s, count(*) AS k FROM b GROUP BY 1, 2),
+  u AS (SELECT *, (sum(s) OVER (PARTITION BY source ORDER BY h) - s)::BIGINT AS before FROM g),
+  e AS (SELECT m.source, u.h AS cut, m.need - u.before AS edge_take, u.s AS edge_size, u.k AS edge_rows FROM m JOIN u ON m.source IS NOT DISTINCT FROM u.source WHERE u.before <= m.need AND u.before + u.s > m.need)
+  SELECT b.doc_id, b.size, m.source_size, m.target, (m.copies * b.size + CASE WHEN b.h < coalesce(e.cut, 'g') THEN b.size WHEN b.h = e.cut AND e.edge_rows = 1 AND 2 * e.edge_take >= e.edge_size AND e.edge_take > 0 THEN b.size
+    WHEN b.h = e.cut AND e.edge_rows > 1 THEN b.size * e.edge_take // e.edge_size ELSE 0 END)::BIGINT AS taken
+  FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM m.source"""
+
+
+def _op8() -> str:
+    kinds = {**secrets.BASE, **secrets.ADDED}
+    rows = []
+    for rank, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+        p = pattern.replace("'", "''")
+        rows.append(
+            f"SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, unnest(hits) AS hit, unnest(vals) AS value, unnest(starts) AS start FROM ("
+            f"SELECT doc_id, source, hits, vals, list_transform(range(1, len(hits) + 1), lambda k: list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0)) AS starts FROM ("
+            f"SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{p}') AS hits, regexp_extract_all(coalesce(text, ''), '{p}', {group}) AS vals, string_split_regex(coalesce(text, ''), '{p}') AS gaps FROM documents)) "
+        )
+    least = " ".join(f"WHEN {i} THEN {spec[2]}" for i, spec in enumerate(kinds.values()))
+    return f"""WITH every AS ({' UNION ALL '.join(rows)}), s AS (SELECT *, (start + length(hit))::BIGINT AS "end" FROM every WHERE length(value) >= CASE rank {least} END),
+      o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT doc_id) AS repositories FROM s GROUP BY 1),
+      v AS (SELECT s.*, kind || ':' || start::BIGINT || ':' || "end" AS span, owners <= {secrets.MAX_LIVE_OWNERS} AND repositories <= {secrets.MAX_LIVE_REPOSITORIES} AS live FROM s JOIN o USING (value)),
+      g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM v GROUP BY 1)
+      SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+      FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the operators that SQL can express; doc_id is unique in its tables."""
+    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8()}
