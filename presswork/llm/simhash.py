@@ -9,7 +9,7 @@ within covering radius plus threshold. So any two that are near enough meet at t
 of one of them, and are compared there.
 
 Before that, equal fingerprints are folded into one, so copies never meet in a group; each group
-hands on a spanning forest of its links, not all of its pairs.
+hands on a star for what its links connect, not all of its pairs.
 """
 
 from __future__ import annotations
@@ -179,10 +179,9 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
         yield last, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
-def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """A forest with the components of the links, given in blocks of (from, to) indices."""
+def least_linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n items the least item that links reach; links come in blocks of (from, to)."""
     root = np.arange(n)
-    edges: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -196,17 +195,25 @@ def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> l
                 p, q = find(x), find(y)
                 if p != q:
                     root[max(p, q)] = min(p, q)
-                    edges.append((x, y))
             a, b = a[256:], b[256:]
             while not np.array_equal(root, root[root]):
                 root[:] = root[root]
             open_ = root[a] != root[b]
             a, b = a[open_], b[open_]
-    return edges
+    while not np.array_equal(root, root[root]):
+        root[:] = root[root]
+    return root
+
+
+def star_edges(nodes: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """(node, least linked node) rows of a group in ascending order. Groups that share members tend
+    to agree on the least one, so few different edges are left when all are made distinct."""
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([nodes[moved], nodes[root[moved]]], axis=1)
 
 
 def links_at_anchors(at: DataFrame, distance: int) -> DataFrame:
-    """a, b: a spanning forest of each anchor's links at distance or less."""
+    """a, b: each anchor's links at distance or less, as stars."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -214,11 +221,12 @@ def links_at_anchors(at: DataFrame, distance: int) -> DataFrame:
         for _, home, fp in by_group(batches):
             if len(fp) < 2 or not home.any():
                 continue
-            edges = spanning_forest(len(fp), near_pairs(fp, np.flatnonzero(home), distance))
-            if edges:
-                pairs = fp[np.array(edges)]
-                out.append(pairs)
-                held += len(pairs)
+            order = np.argsort(fp, kind="stable")
+            home, fp = home[order], fp[order]
+            edges = star_edges(fp, least_linked(len(fp), near_pairs(fp, np.flatnonzero(home), distance)))
+            if len(edges):
+                out.append(edges)
+                held += len(edges)
             if held > 50_000:
                 every = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
@@ -336,7 +344,7 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def sketch_links(at: DataFrame, near_bits: int) -> DataFrame:
-    """a, b: a spanning forest of the nodes within near_bits of each other at each anchor."""
+    """a, b: nodes within near_bits of each other at each anchor, as stars."""
 
     def pairs(a: np.ndarray, b: np.ndarray, homes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a, b = a.view(np.uint64), b.view(np.uint64)
@@ -351,11 +359,13 @@ def sketch_links(at: DataFrame, near_bits: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
         for _, home, node, a, b in groups_of(batches):
+            order = np.argsort(node, kind="stable")
+            home, node, a, b = home[order], node[order], a[order], b[order]
             homes = np.flatnonzero(home.astype(bool))
             if len(node) > 1 and len(homes):
-                edges = spanning_forest(len(node), pairs(a, b, homes))
-                if edges:
-                    out.append(node[np.array(edges)])
+                edges = star_edges(node, least_linked(len(node), pairs(a, b, homes)))
+                if len(edges):
+                    out.append(edges)
                     held += len(edges)
             if held > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)[:, i]) for i in (0, 1)], ["a", "b"])
