@@ -123,10 +123,14 @@ def check_quotes(claims: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
     return claims.join(per, [*by, "claim_id"], "left").withColumn("sentence_found", F.coalesce("sentence_found", F.lit(False)))
 
 
-def loose_quote(sentence: Column, excerpt: Column) -> Column:
-    """Whether the excerpt has the sentence, white space aside."""
-    s = T.collapse(sentence)
-    return (s != "") & T.collapse(excerpt).contains(s)
+def loose_quotes(quotes: DataFrame, bodies: DataFrame, quote: str, body: str) -> DataFrame:
+    """Pairs of bodies and quotes that stand in them, white space aside.
+
+    quotes is a stated query set and is broadcast; both sides are collapsed once, before the join.
+    """
+    q = quotes.withColumn("__quote", T.collapse(F.col(quote))).where("__quote <> ''")
+    b = bodies.withColumn("__body", T.collapse(F.col(body)))
+    return b.join(F.broadcast(q), F.col("__body").contains(F.col("__quote"))).drop("__quote", "__body")
 
 
 def usable_verdicts(verdicts: DataFrame, by: list[str]) -> DataFrame:

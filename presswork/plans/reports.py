@@ -18,7 +18,7 @@ def quote_in_body(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages that stand in a document, white space aside; the passages are the stated query set."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    hits = docs.join(F.broadcast(quotes), E.loose_quote(F.col("quote"), F.col("body")))
+    hits = E.loose_quotes(quotes, docs, "quote", "body")
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("first_item"))
 
 
