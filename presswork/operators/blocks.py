@@ -1,0 +1,15 @@
+"""A measured table in blocks that are small enough to broadcast."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def blocks(df: DataFrame, size: Column, limit: int, key: Column) -> list[DataFrame]:
+    """df whole if the sum of size is at most limit, else split by key into blocks of about limit."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, math.ceil(total / limit))
+    return [df] if n == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]

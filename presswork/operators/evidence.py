@@ -6,16 +6,20 @@ parsed with explicit schemas. A failed parse is a status, never a made-up report
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs as U
+from .blocks import blocks
 
 #: Fixed values. Most claims, stocks, arguments a target, characters of a reason and of a note.
 MAX_CLAIMS, MAX_STOCKS, MAX_ARGUMENTS, MAX_REASON, NOTE_TARGET = 12, 6, 2, 80, 120
 INPUT_CHARS, EXCERPT_CHARS = 60_000, 12_000
 BODY_SECONDS = 3600
+QUOTE_BYTES = 8 << 20
 CLAIM_ID = "^c([1-9]|1[0-2])$"
 REPORT_SCHEMA = (
     "title string, event_summary string, event_analysis string, market_impact string, "
@@ -126,11 +130,13 @@ def check_quotes(claims: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
 def loose_quotes(quotes: DataFrame, bodies: DataFrame, quote: str, body: str) -> DataFrame:
     """Pairs of bodies and quotes that stand in them, white space aside.
 
-    quotes is a stated query set and is broadcast; both sides are collapsed once, before the join.
+    quotes is a stated query set: its size is measured, and it is broadcast in blocks of about
+    QUOTE_BYTES. Both sides are collapsed once, before the join.
     """
     q = quotes.withColumn("__quote", T.collapse(F.col(quote))).where("__quote <> ''")
     b = bodies.withColumn("__body", T.collapse(F.col(body)))
-    return b.join(F.broadcast(q), F.col("__body").contains(F.col("__quote"))).drop("__quote", "__body")
+    pairs = [b.join(F.broadcast(some), F.col("__body").contains(F.col("__quote"))) for some in blocks(q, F.octet_length("__quote"), QUOTE_BYTES, F.col("__quote"))]
+    return reduce(DataFrame.unionByName, pairs).drop("__quote", "__body")
 
 
 def usable_verdicts(verdicts: DataFrame, by: list[str]) -> DataFrame:

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import vectors as V
+from .blocks import blocks
 from .judgment import Evidence, decide_plain, features
 
+#: Query vectors that are broadcast at once.
+CENTRE_BLOCK = 1000
+
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
@@ -83,12 +87,13 @@ def top_by_relevance(df: DataFrame, by: list[str], limit: int, score: str = "sco
 def vector_top_k(every: DataFrame, centres: DataFrame, k: int, vector: str = "embedding", row_id: str = "vec_id", dims: int = 64) -> DataFrame:
     """centre, row_id, cosine, rank: the k nearest of each centre, itself excluded.
 
-    centres is a stated query set: it is broadcast (a few hundred vectors at a time) against all
-    rows; each task keeps its best before the ranks are taken.
+    centres is a stated query set: it is counted and broadcast in blocks of CENTRE_BLOCK against
+    all rows; each task keeps its best before the ranks are taken.
     """
     mine = centres.where(V.is_valid(F.col(vector), dims)).select(F.col(row_id).alias("centre"), F.col(vector).alias("__v"))
-    pairs = every.where(V.is_valid(F.col(vector), dims)).join(F.broadcast(mine), F.col(row_id) != F.col("centre"))
-    scored = pairs.select("centre", row_id, V.cosine(F.col(vector), F.col("__v")).alias("cosine"))
+    valid = every.where(V.is_valid(F.col(vector), dims))
+    parts = [valid.join(F.broadcast(some), F.col(row_id) != F.col("centre")) for some in blocks(mine, F.lit(1), CENTRE_BLOCK, F.col("centre"))]
+    scored = reduce(DataFrame.unionByName, parts).select("centre", row_id, V.cosine(F.col(vector), F.col("__v")).alias("cosine"))
     w = Window.partitionBy("centre").orderBy(F.round("cosine", 12).desc(), row_id)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

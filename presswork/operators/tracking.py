@@ -89,12 +89,16 @@ def direction(action: Column, value: Column) -> Column:
 def entry_days(items: DataFrame, days: DataFrame, t0: str = "t0") -> DataFrame:
     """items with entry_idx: number of the first trading day strictly after t0, null if there is none.
 
-    As-of by interval: each day covers the dates from the one before it (included) to itself
-    (excluded); dates are exploded to days only within a calendar, which is small and broadcast.
+    Every date from one trading day up to the day before the next has that next day as its entry, so
+    the calendar is spread over its dates once and items find theirs by an equi-join; dates before
+    the calendar have its first day.
     """
     before = F.lag("day", 1).over(Window.orderBy("day"))
-    spans = days.select(F.col("idx").alias("entry_idx"), F.coalesce(before, F.lit("0001-01-01").cast("date")).alias("__from"), F.col("day").alias("__to"))
-    return items.join(spans, (F.col(t0) >= F.col("__from")) & (F.col(t0) < F.col("__to")), "left").drop("__from", "__to")
+    gaps = days.select(F.col("idx").alias("entry_idx"), before.alias("__from"), "day").where("__from IS NOT NULL")
+    dates = gaps.select("entry_idx", F.explode(F.sequence("__from", F.date_sub("day", 1))).alias("__date"))
+    first = days.agg(F.min("day").alias("__first"))
+    joined = items.join(dates, F.col(t0) == F.col("__date"), "left").join(F.broadcast(first))
+    return joined.withColumn("entry_idx", F.when(F.col(t0) < F.col("__first"), 0).otherwise(F.col("entry_idx"))).drop("__date", "__first")
 
 
 def horizons(items: DataFrame, prices: DataFrame, benchmark: DataFrame, as_of: Column, key: str = "ticker", by: tuple[int, ...] = HORIZONS) -> DataFrame:

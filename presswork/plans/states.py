@@ -81,9 +81,12 @@ def budget_fold(spark: SparkSession, sf: str) -> DataFrame:
     return S.budget(e, daily=400, per_job=32).select("event_id", "status", "retry_after")
 
 
-@plans.add("""WITH RECURSIVE w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END AS expected FROM events),
+WRITES = """WITH RECURSIVE w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END AS expected FROM events),
     f AS (SELECT user_id, event_id, n, expected = 0 AS accepted, (expected = 0)::BIGINT AS revision FROM w WHERE n = 1 UNION ALL SELECT w.user_id, w.event_id, w.n, w.expected = f.revision, f.revision + (w.expected = f.revision)::BIGINT FROM f JOIN w ON w.user_id = f.user_id AND w.n = f.n + 1)
-    SELECT event_id, accepted, revision FROM f""")
+    SELECT event_id, accepted, revision FROM f"""
+
+
+@plans.add(WRITES)
 def revision_writes(spark: SparkSession, sf: str) -> DataFrame:
     """Writes that name the revision they expect; only those that are right count."""
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 4).alias("expected"))
