@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..operators import maps as M
 from ..operators import state as S
 from ..operators import tracking as K
 from ..sources.tables import table
+from ..streaming import state as W
 from .registered import Plans
 
 plans = Plans()
@@ -113,4 +117,33 @@ def hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(F.col("w.start").cast("string").alias("start"), "event_type", "n", "value")
 
 
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives of what is there now, written to the session's shared folder and read back."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="presswork-")
+    base = f"{where}/stream-{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@plans.add("SELECT event_id, user_id FROM events")
+def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by a stream, each id once within two minutes of event time."""
+    s = W.deduplicated(_event_stream(spark, sf), "event_id", "ts")
+    return _drained(spark, s.select("event_id", "user_id"), "dedup")
+
+
+@plans.add(WRITES)
+def stream_revision_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """revision_writes by a stateful stream."""
+    e = _event_stream(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 4).alias("expected"))
+    out = W.stateful(e, "key", "seq", S.revision_step, "accepted boolean, revision long")
+    return _drained(spark, out.select(F.col("seq").alias("event_id"), "accepted", "revision"), "revisions")
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle

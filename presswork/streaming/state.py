@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stateful(stream: DataFrame, key: str, order: str, step: Callable[[dict, dict], dict], out: str, idle_ms: int = 86_400_000) -> DataFrame:
-    """Rows of the stream with what step gives, state per key as JSON, dropped after idle_ms without rows.
+def stateful(stream: DataFrame, key: str, order: str, step: Callable[[dict, dict], dict], out: str, idle_ms: int | None = None) -> DataFrame:
+    """Rows of the stream with what step gives, state per key as JSON.
+
+    With idle_ms a key's state is dropped after as long without rows; such a stream runs empty batches
+    to find that out, so it doesn't end by itself.
 
     Rows of one key in one micro-batch are taken in order; earlier batches aren't reopened.
     """
@@ -31,10 +34,11 @@ def stateful(stream: DataFrame, key: str, order: str, step: Callable[[dict, dict
         rows = pd.concat(list(batches)).sort_values(order)
         made = pd.DataFrame([step(held, r) for r in rows.to_dict("records")], columns=names)
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.concat([rows.reset_index(drop=True), made], axis=1)
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{kinds}, {out}", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{kinds}, {out}", "held string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def deduplicated(stream: DataFrame, row_id: str, at: str, seconds: int = 120) -> DataFrame:

@@ -8,7 +8,7 @@ from presswork.streaming import state as W
 
 def drained(stream, tmp_path, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return stream.sparkSession.table(name)
 
 
