@@ -16,6 +16,7 @@ from presswork.operators import maps as M
 from presswork.operators import selection as S
 from presswork.operators import state as Q
 from presswork.operators import tracking as T
+from presswork.operators.blocks import blocks
 from presswork.sources import sinks
 
 T0, T1 = "2026-10-10T00:00:00Z", "2026-10-10T05:00:00Z"
@@ -236,6 +237,26 @@ def test_tracking_has_no_look_ahead(spark):
     assert got[2, 1][0] == "not_due" and got[3, 1][0] == "price_missing" and got[4, 1][0] == "price_missing"
 
 
+def test_entry_days_by_bisection(spark):
+    import bisect
+    import datetime as dt
+
+    r = random.Random(6)
+    start = dt.date(2026, 10, 1)
+    days = sorted({start + dt.timedelta(r.randrange(60)) for _ in range(20)})
+    at = [start + dt.timedelta(k) for k in range(-5, 70)]
+    table = spark.createDataFrame([(d, i, 1.0) for i, d in enumerate(days)], "day date, idx int, index_close double")
+    got = {x.t0: x.entry_idx for x in T.entry_days(spark.createDataFrame([(d,) for d in at], "t0 date"), table).collect()}
+    assert got == {d: (k if (k := bisect.bisect_right(days, d)) < len(days) else None) for d in at}
+
+
+def test_blocks_cover_all(spark):
+    df = spark.range(500).withColumn("s", F.lit(10))
+    some = blocks(df, F.col("s"), 1000, F.col("id"))
+    assert len(some) == 5 and sorted(x.id for b in some for x in b.collect()) == list(range(500))
+    assert len(blocks(df.limit(0), F.col("s"), 1000, F.col("id"))) == 1
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", "t", "v"), (2, "b", "t", None)], "id int, x string, created_at string, vector string")
     new = spark.createDataFrame([(1, "A", "n", None), (3, "c", "n", None), (3, "d", "n", None)], "id int, x string, created_at string, vector string")
