@@ -276,12 +276,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 #: keep_one: least Jaccard similarity of word shingle sets, their size, and the shingles that are
-#: fingerprinted. Two fingerprints (seeds) of four blocks make 128 bits; a pair at the least
-#: similarity differs in about 12 of them and in at most one bit of some block in all but about
-#: 0.2 % of cases, and unrelated texts, 64 bits apart, practically never come below NEAR_BITS.
+#: fingerprinted. Two fingerprints (seeds) of four blocks make 128 bits. They find most near copies
+#: cheaply and fold them into groups, but not all: cut or appended texts change as many two-word as
+#: five-word shingles. The pairs that they miss are found by the prefix join below.
 SIMILARITY, SHINGLE = 0.8, 5
 SKETCH_SHINGLE, SEEDS, SKETCH_DISTANCE, SKETCH_BLOCKS = 2, (42, 43), 7, 4
 NEAR_BITS = 26
+#: Texts that are sampled to put common shingles last in the prefix join's order, and how many
+#: shingles are; any order finds the same pairs, this one makes fewer candidates.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 65_536
+#: Slots by which texts of no candidate are left out before they are joined.
+TEXT_SLOTS = 2**20
 
 
 def sketches(docs: DataFrame, text_col: str) -> DataFrame:
@@ -432,12 +437,220 @@ def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
     return at.select("root", "node", "text").mapInArrow(rows, "node long, first long")
 
 
+def shingle_keys(text: str | None, size: int) -> np.ndarray:
+    """Distinct 60-bit hashes of the shingles, in ascending order, made of hashes of single words."""
+    words = words_of(text)
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(s) >> 4 for s in shingles_of(words, size)], np.uint64)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(words) - size + 1
+    key = np.zeros(n, np.uint64)
+    for i in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + one[i : i + n]
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique((key ^ (key >> np.uint64(32))) >> np.uint64(4))
+
+
+def at_least(share: float, n: np.ndarray) -> np.ndarray:
+    """The least whole number that is share * n or more."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def once_each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
+    """node, text of batches of (node, text), without the nodes that the task had before."""
+    seen: set[int] = set()
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if node not in seen:
+                seen.add(node)
+                yield node, text.as_py()
+
+
+def common_shingles(named: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, of the most common shingles of a sample, and their ranks from 1 to 15."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, text in once_each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_keys(text, size).view(np.int64))], ["key"])
+
+    some = named.where(F.pmod("node", F.lit(max(1, total // ORDER_TEXTS))) == 0).select("node", "text").mapInArrow(rows, "key long")
+    top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).collect()
+    found = sorted((r["key"], min(r["n"].bit_length(), 15)) for r in top)
+    return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.uint64)
+
+
+def prefixes(named: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, least: float) -> DataFrame:
+    """key, node, n: the first keys of each text's n, common ones last. Sets of a similarity of
+    least or more have at least at_least(least, n) in common, so one of these is."""
+    shared = named.sparkSession.sparkContext.broadcast(common)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = shared.value
+        keys, nodes, sizes, held = [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            each = [len(k) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["key", "node", "n"])
+
+        for node, text in once_each(batches):
+            key = shingle_keys(text, size)
+            if not len(key):
+                continue
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                key = np.sort(key | np.where(known[at] == key, ranks[at] << np.uint64(60), np.uint64(0)))
+            keys.append(key[: len(key) - int(at_least(least, len(key))) + 1])
+            nodes.append(node)
+            sizes.append(len(key))
+            held += len(keys[-1])
+            if held > 50_000:
+                yield batch()
+                keys, nodes, sizes, held = [], [], [], 0
+        if keys:
+            yield batch()
+
+    return named.select("node", "text").mapInArrow(rows, "key long, node long, n int")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that no run of one value of the first column is divided."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        cuts = np.flatnonzero(now[0][1:] != now[0][:-1])
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if cut:
+            yield [c[:cut] for c in now]
+        held = [c[cut:] for c in now]
+    if held:
+        yield held
+
+
+def held_by_several(prefix: DataFrame) -> DataFrame:
+    """The rows of prefix, once each, whose key several nodes have."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n in whole_runs(batches):
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, n = key[fresh], node[fresh], n[fresh]
+            first = np.append(True, key[1:] != key[:-1])
+            several = ~(first & np.append(first[1:], True))
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (key, node, n)], ["key", "node", "n"])
+
+    return prefix.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "key long, node long, n int")
+
+
+def candidates(held: DataFrame, least: float) -> DataFrame:
+    """a, b, part_a, part_b: nodes of different parts that may have a similarity of least or more.
+
+    held: key, node, n, part. Beyond the prefix that ends first a text has less than
+    at_least(least, n) shingles; what else the similarity needs must be in both prefixes.
+    """
+
+    def pairs(node: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        order = np.argsort(n, kind="stable")
+        node, n, part = node[order], n[order].astype(np.int64), part[order]
+        ends = np.searchsorted(n, np.floor(n / least + 1e-9), "right")
+        step, every = max(1, COMPARE_CELLS // len(n)), np.arange(len(n))
+        for at in range(0, len(n), step):
+            i = every[at : at + step, None]
+            x, y = np.nonzero((every > i) & (every < ends[i]) & (part != part[i]))
+            x += at
+            need = at_least(least / (1 + least), n[x] + n[y]) - at_least(least, n[y]) + 1
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield node[x], node[y], part[x], part[y], need
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "part_a", "part_b", "need"]
+        out, size = [], 0
+        for key, node, n, part in whole_runs(batches):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            ends = np.append(first[1:], len(key))
+            mixed = np.add.reduceat(part != np.repeat(part[first], ends - first), first) > 0
+            for x, y in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                for found in pairs(node[x:y], n[x:y], part[x:y]):
+                    out.append(found)
+                    size += len(found[0])
+                    if size > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    kind = "a long, b long, part_a long, part_b long, need long"
+    found = held.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "part").mapInArrow(rows, kind)
+    return found.groupBy("a", "b", "part_a", "part_b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b", "part_a", "part_b")
+
+
+def texts_near(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of named that may be wanted: their node's slot is a wanted one's."""
+    slots = np.zeros(TEXT_SLOTS, bool)
+    for r in wanted.select(F.pmod("node", F.lit(TEXT_SLOTS)).alias("slot")).distinct().toLocalIterator():
+        slots[r["slot"]] = True
+    shared = named.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            node = batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held[np.mod(node, TEXT_SLOTS)]))
+
+    return named.mapInArrow(rows, named.schema)
+
+
+def confirmed(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: parts of a centre and of another text with a similarity of least or more.
+
+    texts: centre, own (whether the text is the centre's), part, text.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, its_part, its_set = None, None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for centre, own, part, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if own:
+                    if centre != last:
+                        last, its_part, its_set = centre, part, shingle_set(text, size)
+                elif similar(its_set, shingle_set(text, size), least):
+                    out.append((its_part, part))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    at = texts.repartition("centre").sortWithinPartitions("centre", F.desc("own"))
+    return at.select("centre", "own", "part", "text").mapInArrow(rows, "a long, b long").distinct()
+
+
+def missed_links(named: DataFrame, nodes: DataFrame, joined: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: firsts of groups (or texts in no group) that similar texts link; with joined's, all links.
+
+    An exact prefix join: each text is listed at the first of its shingles in one order of all,
+    and two texts at a common shingle whose sizes and common prefix allow it are compared.
+    """
+    prefix = prefixes(named, common_shingles(named, nodes.count(), size), size, least)
+    held = materialize(held_by_several(prefix), "prefixes")
+    parts = joined.select(F.col("node").alias("its_node"), "first")
+    held = held.join(parts, F.col("node") == F.col("its_node"), "left").select("key", "node", "n", F.coalesce("first", "node").alias("part"))
+    pairs = materialize(candidates(held, least), "candidates")
+    centres = pairs.select(F.col("a").alias("centre"), F.col("a").alias("node"), F.lit(True).alias("own"), F.col("part_a").alias("part")).distinct()
+    members = centres.unionByName(pairs.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(False).alias("own"), F.col("part_b").alias("part")))
+    wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("its_node"), "least")
+    near = texts_near(named, members)
+    texts = near.join(wanted, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("its_node", "text")
+    return confirmed(members.join(texts, F.col("node") == F.col("its_node")), size, least)
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group of near duplicates only the one with the least id.
 
     Two texts are linked if their sets of size-word shingles have a Jaccard similarity of
-    similarity or more; groups are what links connect. SimHash proposes the groups that are
-    compared exactly. Defined results: equal texts are linked, texts without words too (null is
+    similarity or more; groups are what links connect. SimHash proposes groups that are compared
+    exactly, and an exact prefix join finds the links that it misses. Defined results: equal texts are linked, texts without words too (null is
     empty); null ids come last; of repeated rows one stays; an empty table stays empty. Columns of
     any name are kept.
     """
@@ -449,7 +662,12 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     grouped = nodes.join(groups, "node").select(F.col("node").alias("its_node"), "root", "least")
     texts = named.join(grouped, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", F.col("least").alias("rank"), "text")
     joined = materialize(verified(texts, size, similarity), "verified-groups")
-    stay = nodes.join(joined.where("node <> first").select("node").distinct(), "node", "left_anti")
+    merged = materialize(components(missed_links(named, nodes, joined, size, similarity)), "merged-groups")
+    firsts = merged.join(nodes.select("node", "least"), "node")
+    best = firsts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")).select(F.col("root").alias("its_root"), F.col("best.node").alias("first"))
+    later = firsts.join(best, F.col("root") == F.col("its_root")).select("node", "first")
+    gone = joined.unionByName(later).where("node <> first").select("node").distinct()
+    stay = nodes.join(gone, "node", "left_anti")
     # the rows that stay, by text and id, and how many rows are alike in both
     alike = table.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("alike"))
     stay = alike.join(stay.select(F.col("node").alias("its_node"), "least"), (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("alike").alias("__alike"))

@@ -310,6 +310,30 @@ def test_keep_one(docs, odd, none):
     assert sorted((x.doc_id is None, x.text or "") for x in simhash.keep_one(odd).collect()) == [(False, ""), (False, "a b c"), (False, "word " * 30_000)] and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_cut_and_appended(docs):
+    """Copies at the least similarity whose changed words stand together; SimHash alone misses some."""
+    r = random.Random(12)
+    fresh = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    footer, texts = fresh(40), []
+    for i in range(150):
+        n = r.choice([12, 30, 100, 300])
+        w = fresh(n)
+        shingles = n - 4
+        cut = w[: -(-shingles * 4 // 5) + 4]  # as short as a similarity of 0.8 allows
+        more = w + fresh(shingles // 4)
+        at = r.randrange(5, n // 2)
+        middle = w[:at] + fresh(max(shingles // 9 - 4, 0)) + w[at + max(shingles // 9 - 4, 0) :]
+        far = w[: -(-shingles * 3 // 4) + 3] + footer
+        texts += [" ".join(x) for x in (w, (cut, more, middle, far)[i % 4])]
+    texts = [(i, t) for i, t in enumerate(texts)]
+    r.shuffle(texts)
+    sets = [set(simhash.shingles_of(simhash.words_of(t), 5)) for _, t in texts]
+    root = grouped(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    want = sorted(min(d for (d, _), q in zip(texts, root, strict=True) if q == k) for k in set(root))
+    assert len(texts) > len(want) > len(texts) // 2
+    assert sorted(x.doc_id for x in simhash.keep_one(docs(texts)).collect()) == want
+
+
 # 7 PII
 
 BASE = {
