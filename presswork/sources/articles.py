@@ -141,7 +141,7 @@ def article_view(documents: DataFrame) -> DataFrame:
     published = F.date_format(F.timestamp_seconds(F.lit(1_767_225_600) + F.col("doc_id") * 600), ISO)
     return documents.select(
         F.col("doc_id"), T.news_id(F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id")).alias("news_id"), F.element_at(lines, 1).alias("title"),
-        F.array_join(F.slice(lines, 2, 1000), " ").alias("description"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("url"), "source", F.col("lang").alias("search_keyword"), published.alias("published_at"),
+        F.array_join(F.slice(lines, 2, F.size(lines)), " ").alias("description"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("url"), "source", F.col("lang").alias("search_keyword"), published.alias("published_at"),
     )
 
 

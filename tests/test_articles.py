@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators import articles as A
 from presswork.operators import comparison as C
+from presswork.sources import articles as S
 
 
 def test_documents_round_trip(spark):
@@ -60,3 +61,13 @@ def test_comparison(spark):
     assert [(r.stage, r.seconds) for r in C.stage_changes(polls, ["j"]).orderBy("at").collect()] == [("a", None), ("b", 5), (None, 4)]
     g = spark.createDataFrame([("running", "w", 9), ("cancel_requested", "w", 9), ("running", "x", 9), ("running", "w", 1)], "s string, o string, d int")
     assert [r.x for r in g.select(C.checkpoint_guard(F.col("s"), F.col("o"), F.lit("w"), F.col("d"), F.lit(5)).alias("x")).collect()] == [None, "cancelled", "lease_lost", "timeout"]
+
+
+def test_article_view_keeps_every_line(spark):
+    lines = [f"l{i}" for i in range(1500)]
+    other = [*lines[:-1], "else"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other)), (3, "only"), (4, None)], "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    view = S.article_view(df)
+    got = {r.doc_id: r for r in view.select("doc_id", "title", "description", A.summary_key(F.col("title"), F.col("description")).alias("key")).collect()}
+    assert got[1].description == " ".join(lines[1:]) and got[2].description == " ".join(other[1:]) and got[1].key != got[2].key
+    assert (got[3].title, got[3].description, got[4].title, got[4].description) == ("only", "", "", "")
