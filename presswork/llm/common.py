@@ -19,7 +19,8 @@ WORDS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256)).tran
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and one machine does all (local tests) a temporary folder is made and
+    set; on a cluster executors wouldn't see each other's files there, so it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
@@ -27,6 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     where = "file://" + tempfile.mkdtemp(prefix="presswork-")
     sc.setCheckpointDir(where)
     return where
@@ -44,6 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as keep it apart from df's columns in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(column: str, modulus: int) -> F.Column:
     """crc32 of an id's text, modulo; null ids have no fold."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -1,10 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The corpus is cut into segments of whole documents. For each segment the index stores, for every
-term of the benchmark's vocabulary, the ascending positions at which it occurs; documents lie one
-after another with a gap between them, so no phrase and no proximity match crosses a document.
-A query window is looked up from its corpus-wide rarest term: that term's positions, less its
-offset in the window, are the possible starts, and each further list, offset-adjusted alike,
+term, the ascending positions at which it occurs; documents lie one after another with a gap
+between them, so no phrase and no proximity match crosses a document. A query window is looked up
+from its corpus-wide rarest term, and only in segments that have that term: the term's positions, less
+its offset in the window, are the possible starts, and each further list, offset-adjusted alike,
 is intersected with what is left. Segments are independent, so the search shuffles no postings.
 
 Defined results: a null text has no words; a null benchmark text or item id is no item; repeated
@@ -22,14 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, materialize
+from .common import WORDS, free_name, materialize
 
 #: Words of a segment after which a new one begins. A longer document is a segment of its own.
 SEGMENT_WORDS = 2_000_000
 #: Positions between documents; proximity matches may span at most this many words.
 GAP = 64
-#: Terms that the benchmark may have for the index to hold just these; with more it holds all.
-MAX_VOCABULARY = 1_000_000
+#: Words around a window's rarest term within which a proximity match has all of its words.
+SLOP = 12
 #: Benchmark items searched with one broadcast; more are searched block by block.
 BLOCK_BYTES = 16 << 20
 
@@ -40,68 +40,68 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORDS).split() if text else []
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """One row per segment: its documents and the posting lists of the vocabulary's terms, or of all terms."""
-    spark = docs.sparkSession
-    terms = None if vocabulary is None else sorted(vocabulary)
-    shared = spark.sparkContext.broadcast(terms)
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """One row per segment: its documents and the posting lists of all of its terms."""
     kind = docs.schema[id_col].dataType
     schema = INDEX.format(id=kind.simpleString())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        names = shared.value or []
-        ids = {t: i for i, t in enumerate(names)}
-        lookup = (lambda w: ids.get(w, -1)) if shared.value is not None else (lambda w: ids.setdefault(w, len(ids)))
         target = None
 
-        def flush(doc_ids, starts, counts, tokens, at):
-            known = names or list(ids)
+        def flush(doc_ids, starts, counts, tokens, ids):
             token = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
-            place = np.concatenate(at) if at else np.empty(0, np.int32)
             order = np.argsort(token, kind="stable")
-            token, place = token[order], place[order]
-            present, first, n = np.unique(token, return_index=True, return_counts=True)
+            n = np.bincount(token, minlength=len(ids)).astype(np.int32)
+            first = np.cumsum(n) - n
+            base = np.repeat(np.array(starts, np.int32), counts) + np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int32)
+            place = base[order]
             steps = np.diff(place, prepend=np.int32(0))
             steps[first] = place[first]
-            packed = zstandard.ZstdCompressor(level=1).compress(steps.astype(np.int32).tobytes())
+            packed = zstandard.ZstdCompressor(level=1).compress(steps.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())  # like bytes side by side
             entries = [{"id": a, "start": b, "words": c} for a, b, c in zip(doc_ids, starts, counts, strict=True)]
             return pa.RecordBatch.from_pydict({
                 "segment": [uuid.uuid4().hex], "docs": pa.array([entries], target.field("docs").type),
-                "terms": pa.array([[known[i].decode("utf-8", "replace") for i in present]], pa.list_(pa.string())),
-                "counts": pa.array([n.astype(np.int32)], pa.list_(pa.int32())), "postings": [packed],
+                "terms": pa.array([[w.decode("utf-8", "replace") for w in ids]], pa.list_(pa.string())),
+                "counts": pa.array([n], pa.list_(pa.int32())), "postings": [packed],
             }, schema=target)
 
-        doc_ids, starts, counts, tokens, at, base = [], [], [], [], [], 0
+        doc_ids, starts, counts, tokens, base, ids = [], [], [], [], 0, {}
         for batch in batches:
             if target is None:
                 entry = pa.struct([("id", batch.schema.field(0).type), ("start", pa.int32()), ("words", pa.int32())])
                 target = pa.schema([("segment", pa.string()), ("docs", pa.list_(entry)), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                found = np.fromiter(map(lookup, words), np.int32, len(words))
-                here = np.flatnonzero(found >= 0)
-                tokens.append(found[here])
-                at.append((here + base).astype(np.int32))
+                tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
                 doc_ids.append(doc_id)
                 starts.append(base)
                 counts.append(len(words))
                 base += len(words) + GAP
                 if base >= segment_words:
-                    yield flush(doc_ids, starts, counts, tokens, at)
-                    doc_ids, starts, counts, tokens, at, base = [], [], [], [], [], 0
+                    yield flush(doc_ids, starts, counts, tokens, ids)
+                    doc_ids, starts, counts, tokens, base, ids = [], [], [], [], 0, {}
         if doc_ids:
-            yield flush(doc_ids, starts, counts, tokens, at)
+            yield flush(doc_ids, starts, counts, tokens, ids)
 
     index = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(rows, schema)
     return materialize(index, "posting-index")
 
 
-def term_frequencies(index: DataFrame) -> DataFrame:
-    """term, n over the whole corpus; at most a row per benchmark term."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    return pairs.groupBy(F.col("x.terms").alias("term")).agg(F.sum(F.col("x.counts").cast("long")).alias("n"))
+def term_frequencies(index: DataFrame, terms: set[str]) -> dict[bytes, int]:
+    """How often each of the terms (those of one block of queries) occurs in the whole corpus."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            for some, n in zip(batch.column(0), batch.column(1), strict=True):
+                found = [(t, k) for t, k in zip(some.as_py(), n.as_py(), strict=True) if t in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())], ["term", "n"])
+
+    counted = index.select("terms", "counts").mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"].encode(): r["n"] for r in counted.toLocalIterator()}
 
 
 def windows_of(items: list[tuple], size: int) -> dict[tuple[bytes, ...], list]:
@@ -117,12 +117,18 @@ def windows_of(items: list[tuple], size: int) -> dict[tuple[bytes, ...], list]:
 
 
 class Postings:
-    """The posting lists of one segment."""
-
-    def __init__(self, row: dict):
-        steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"]), np.int32)
-        ends = np.cumsum(row["counts"])
-        self.lists = {t.encode(): np.cumsum(steps[e - n : e], dtype=np.int64) for t, n, e in zip(row["terms"], row["counts"], ends, strict=True)}
+    """The posting lists of one segment, those of the wanted terms."""
+
+    def __init__(self, row: dict, wanted: set[bytes]):
+        counts = np.array(row["counts"], np.int64)
+        ends = np.cumsum(counts)
+        found = [(t.encode(), i) for i, t in enumerate(row["terms"]) if t.encode() in wanted]
+        self.lists = {}
+        if found:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"]), np.uint8).reshape(4, -1)
+            for t, i in found:
+                part = np.ascontiguousarray(raw[:, ends[i] - counts[i] : ends[i]].T).view(np.int32).ravel()
+                self.lists[t] = np.cumsum(part, dtype=np.int64)
 
     def phrase(self, words: tuple[bytes, ...], order: list[int]) -> np.ndarray:
         """Starts of the exact phrase; order: its offsets from the rarest term on."""
@@ -168,20 +174,25 @@ def search(index: DataFrame, items: list[tuple], frequencies: dict[bytes, int],
     if slop is not None and slop > GAP:
         raise ValueError(f"slop can be at most {GAP}")
     found = windows_of(items, size)
-    queries = [(w, sorted(range(len(w)), key=lambda k: (frequencies[w[k]], k)), ids) for w, ids in found.items() if all(x in frequencies for x in w)]
-    shared = index.sparkSession.sparkContext.broadcast(queries)
+    queries: dict[bytes, list] = {}  # by rarest term
+    for w, ids in found.items():
+        if all(x in frequencies for x in w):
+            order = sorted(range(len(w)), key=lambda k: (frequencies[w[k]], k))
+            queries.setdefault(w[order[0]], []).append((w, order, ids))
+    shared = index.sparkSession.sparkContext.broadcast((queries, {x for some in queries.values() for w, _, _ in some for x in w}))
     schema = "segment string, doc int, items array<string>, near array<string>, spans array<struct<start:int,end:int>>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, wanted = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                postings = Postings(row)
+                postings = Postings(row, wanted)
                 first = np.array([d["start"] for d in row["docs"]], np.int64)
                 hits: dict[int, tuple[set, set, list]] = {}
-                for words, order, ids in shared.value:
+                for words, order, ids in (q for t in postings.lists if t in queries for q in queries[t]):
                     at = postings.phrase(words, order)
-                    for doc, start in zip(np.searchsorted(first, at, "right") - 1, at, strict=True):
-                        hit = hits.setdefault(int(doc), (set(), set(), []))
+                    for doc, start in zip((np.searchsorted(first, at, "right") - 1).tolist(), at.tolist(), strict=True):
+                        hit = hits.setdefault(doc, (set(), set(), []))
                         hit[0].update(ids)
                         hit[2].append((int(start - first[doc]), int(start - first[doc]) + len(words)))
                     if slop is not None:
@@ -238,22 +249,12 @@ def union_of(spans: F.Column) -> F.Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """doc_id, n_words, items, near, spans of every row of docs.
 
-    The benchmark is streamed through the driver twice in blocks of block_bytes: for its
-    vocabulary, which decides what the index holds (every term, if there are more than
-    MAX_VOCABULARY), and for its windows, of which one block is broadcast at a time.
+    The benchmark is streamed through the driver in blocks of block_bytes; the windows of one block
+    and the frequencies of its terms are broadcast at a time, against the whole index.
     """
-    vocabulary: set[bytes] | None = set()
-    for block in blocks_of(benchmark, item_col, "text", block_bytes):
-        vocabulary.update(w for _, text in block for w in words_of(text))
-        if len(vocabulary) > MAX_VOCABULARY:
-            vocabulary = None
-            break
-    index = build_index(docs, vocabulary, id_col, text_col, segment_words)
-    counts, hits = materialize(term_frequencies(index), "term-counts"), []
+    index, hits = build_index(docs, id_col, text_col, segment_words), []
     for block in blocks_of(benchmark, item_col, "text", block_bytes):
-        terms = {w.decode("utf-8", "replace") for _, text in block for w in words_of(text)}
-        known = counts if vocabulary is not None else counts.join(index.sparkSession.createDataFrame([(t,) for t in sorted(terms)], "term string"), "term", "left_semi")
-        frequencies = {r["term"].encode(): r["n"] for r in known.toLocalIterator() if r["term"] in terms}
+        frequencies = term_frequencies(index, {w.decode("utf-8", "replace") for _, text in block for w in words_of(text)})
         hits.append(search(index, block, frequencies, size, slop))
     members = index.select("segment", F.posexplode("docs").alias("doc", "d")).select("segment", "doc", F.col("d.id").alias("doc_id"), F.col("d.words").cast("long").alias("n_words"))
     kinds = {"items": "array<string>", "near": "array<string>", "spans": "array<struct<start:int,end:int>>"}
@@ -271,11 +272,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near and near: items with a proximity match."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"),
     )
 
 
@@ -286,5 +288,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, t
     """
     named = docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("key"), F.col(text_col).alias("text"))
     found = decontaminate(named, benchmark, size, id_col="key")
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__hit"), "left_anti")
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(free_name(docs, "hit"))).distinct()
+    return docs.join(hit, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == hit[hit.columns[0]], "left_anti")

@@ -1,10 +1,12 @@
 """Language of a text from a bidirectional gated recurrent network over its bytes.
 
-The network reads a text word by word (runs of letters and digits, A-Z lower-cased), from an empty
-state in either direction, and gives every byte a distribution over the languages; a document's is
-the mean over its bytes. As a word's bytes get the same labels wherever it stands, an executor
-labels each distinct word once and keeps the sums. Training is backpropagation through time in
-numpy, on the words of a bounded sample of labelled documents.
+The network reads the whole text as one sequence of UTF-8 bytes (A-Z lower-cased, nothing left
+out) in both directions and gives every byte a distribution over the languages; a document's is
+the mean over the bytes of its letters. So that long texts are read side by side, a sequence is
+read in windows of WINDOW bytes at fixed places; the state runs over CONTEXT further bytes before a
+window (after it, backwards) and is empty before that, and a text's ends are padded by blanks.
+Training is backpropagation through time in numpy, on windows of a bounded sample of labelled
+documents.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text
 if nothing can be learned; a row with a null id is in no fold; repeated rows are reported each; an
@@ -19,27 +21,35 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORDS, fold
+from .common import LOWER, fold
 
-#: Bounds of the training sample: documents per language, their longest text, words per language.
+#: Bounds of the training sample: documents per language, their longest text, windows per language.
 SAMPLE_PER_LANGUAGE = 300
 SAMPLE_CHARS = 20_000
-SAMPLE_WORDS = 12_000
-#: Width of the state in either direction, and of training.
+SAMPLE_WINDOWS = 1500
+#: Width of the state in either direction, and of training: bytes of a window, windows of a batch.
 STATE = 12
-BATCH, EPOCHS, RATE = 256, 4, 0.01
-#: A longer word is cut into pieces of this many bytes.
-PIECE = 40
-KEPT_WORDS = 500_000
+TRAIN_BYTES, BATCH, EPOCHS, RATE = 48, 64, 4, 0.01
+#: Bytes of a window, bytes that its state runs over before it counts, and windows read at once.
+WINDOW, CONTEXT, LANES = 256, 32, 1024
 
+#: Whether a byte is part of a letter: a-z and all of what isn't ASCII.
+LETTERS = np.array([97 <= c <= 122 or c > 127 for c in range(256)], np.float32)
 
-def words_of(text: str | None) -> list[bytes]:
-    words = text.encode("utf-8", "surrogatepass").translate(WORDS).split() if text else []
-    if any(len(w) > PIECE for w in words):
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
-    return words
+
+def sequence(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+
+
+def windows_of(data: bytes, size: int = WINDOW, context: int = CONTEXT) -> np.ndarray:
+    """The windows of a sequence with their contexts, padded by blanks; one row each."""
+    n = -(-len(data) // size)
+    padded = np.full(n * size + 2 * context, 32, np.uint8)
+    padded[context : context + len(data)] = np.frombuffer(data, np.uint8)
+    return np.lib.stride_tricks.as_strided(padded, (n, size + 2 * context), (size, 1)) if n else np.empty((0, size + 2 * context), np.uint8)
 
 
 def has_letter(text: str | None) -> bool:
@@ -62,8 +72,7 @@ class Network:
 
     languages: list[str]
     weights: dict[str, np.ndarray]
-    kept: dict[bytes, int] = field(default_factory=dict)
-    sums: list[np.ndarray] = field(default_factory=list)
+    turned: dict[str, tuple] = field(default_factory=dict)
 
     @classmethod
     def fresh(cls, languages: list[str], seed: int = 0, state: int = STATE) -> Network:
@@ -75,7 +84,7 @@ class Network:
         return cls(languages, w | {"o": draw(2 * state, len(languages)), "ob": np.zeros(len(languages), np.float32)})
 
     def states(self, data: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
-        """State after each byte (word, step, unit), reading forwards (f) or backwards (b)."""
+        """State after each byte (window, step, unit), reading forwards (f) or backwards (b)."""
         x, u, c = self.weights[f"{d}x"], self.weights[f"{d}h"], self.weights[f"{d}c"]
         n, steps, s = len(data), data.shape[1], len(c)
         h, out = np.zeros((n, s), np.float32), np.empty((n, steps, s), np.float32)
@@ -92,19 +101,20 @@ class Network:
         return out
 
     def positions(self, data: np.ndarray) -> np.ndarray:
-        """Distribution over the languages at each byte of equally long words."""
+        """Distribution over the languages at each byte of equally long sequences."""
         both = np.concatenate([self.states(data, "f"), self.states(data, "b")], axis=2)
         return softmax(both @ self.weights["o"] + self.weights["ob"])
 
     def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions and its gradient, through time."""
+        """Mean cross entropy over the bytes of letters and its gradient, through time."""
         traces: dict[str, list] = {"f": [], "b": []}
         both = np.concatenate([self.states(data, d, traces[d]) for d in "fb"], axis=2)
         p = softmax(both @ self.weights["o"] + self.weights["ob"])
         n, steps = data.shape
-        loss = -float(np.log(p[np.arange(n), :, label] + 1e-9).mean())
+        weight = LETTERS[data] / max(float(LETTERS[data].sum()), 1.0)
+        loss = -float((np.log(p[np.arange(n), :, label] + 1e-9) * weight).sum())
         p[np.arange(n), :, label] -= 1
-        p /= n * steps
+        p *= weight[:, :, None]
         s = len(self.weights["fc"])
         grads = {"o": np.einsum("nts,ntl->sl", both, p), "ob": p.sum(axis=(0, 1))}
         back = p @ self.weights["o"].T
@@ -126,82 +136,121 @@ class Network:
             grads |= {f"{d}x": gx, f"{d}h": gu, f"{d}c": gc}
         return loss, grads
 
-    def label(self, words: list[bytes]) -> np.ndarray:
-        """Sum of each word's position distributions."""
-        fresh = sorted({w for w in words if w not in self.kept}, key=lambda w: (len(w), w))
-        if len(self.kept) + len(fresh) > KEPT_WORDS:
-            self.kept, self.sums = {}, []
-            fresh = sorted(set(words), key=lambda w: (len(w), w))
-        at, first = 0, len(self.kept)
-        while at < len(fresh):
-            end, size = at, len(fresh[at])
-            while end < len(fresh) and len(fresh[end]) == size and end - at < 8192:
-                end += 1
-            data = np.frombuffer(b"".join(fresh[at:end]), np.uint8).reshape(-1, size)
-            self.sums.append(self.positions(data).sum(axis=1))
-            at = end
-        self.kept.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-        if len(self.sums) > 1:
-            self.sums = [np.concatenate(self.sums)]
-        return self.sums[0][np.fromiter((self.kept[w] for w in words), np.int64, len(words))] if words else np.empty((0, len(self.languages)), np.float32)
+    def reader(self, d: str) -> tuple:
+        """Weights of a direction with units as rows, the gates' halved: a gate is 0.5 * tanh(0.5 * x) + 0.5."""
+        if d not in self.turned:
+            x, u, c = (self.weights[f"{d}{k}"].astype(np.float32) for k in "xhc")
+            half = np.where(np.arange(x.shape[1]) < 2 * len(c), np.float32(0.5), np.float32(1.0))
+            self.turned[d] = np.ascontiguousarray((x * half).T), np.ascontiguousarray((u * half).T), c[:, None].copy()
+        return self.turned[d]
+
+    def read(self, data: np.ndarray, d: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Step and state (unit, window) after each byte, in the direction's order. The state is reused."""
+        x, u, c = self.reader(d)
+        s, (n, steps) = len(c), data.shape
+        at = np.ascontiguousarray(data.T).astype(np.intp)
+        h, a, b = np.zeros((s, n), np.float32), np.empty((3 * s, n), np.float32), np.empty((3 * s, n), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(x, at[t], axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=b)
+            gates, new = a[: 2 * s], b[2 * s :]
+            gates += b[: 2 * s]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new += c
+            new *= gates[s:]
+            new += a[2 * s :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= gates[:s]
+            h += new
+            yield t, h
+
+    def labelled(self, data: np.ndarray, context: int = CONTEXT) -> Iterator[tuple[int, np.ndarray]]:
+        """Step and distributions (language, window) at each byte of windows, from their last one on."""
+        n, steps = data.shape
+        ahead = np.empty((steps - 2 * context, len(self.weights["fc"]), n), np.float32)
+        for t, h in self.read(data[:, : steps - context], "f"):
+            if t >= context:
+                ahead[t - context] = h
+        o, bias = np.ascontiguousarray(self.weights["o"].T), self.weights["ob"][:, None]
+        s = len(self.weights["fc"])
+        for t, h in self.read(data[:, context:], "b"):
+            if t < steps - 2 * context:
+                p = o[:, :s] @ ahead[t]
+                p += o[:, s:] @ h
+                p += bias
+                p -= p.max(axis=0)
+                np.exp(p, out=p)
+                p /= p.sum(axis=0)
+                yield t, p
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and probability of each text."""
-        split = [words_of(t) if has_letter(t) else [] for t in texts]
-        flat = [w for words in split for w in words]
-        if not self.languages or not flat:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        sums = np.concatenate([self.label(flat[i : i + KEPT_WORDS // 2]) for i in range(0, len(flat), KEPT_WORDS // 2)])
-        names, scores, at = [], [], 0
-        for words in split:
-            if not words:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            p = sums[at : at + len(words)].sum(axis=0, dtype=np.float64) / sum(map(len, words))
-            at += len(words)
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        which = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
+        totals = np.zeros((len(texts), len(self.languages)))
+        held: list[np.ndarray] = []
+        owner: list[int] = []
+
+        def flush() -> None:
+            every, whose = np.concatenate(held), np.array(owner)
+            for a in range(0, len(every), LANES):
+                data = np.ascontiguousarray(every[a : a + LANES])
+                letters = np.ascontiguousarray(LETTERS[data[:, CONTEXT : CONTEXT + WINDOW]].T)
+                sums = np.zeros((len(self.languages), len(data)), np.float32)
+                for t, p in self.labelled(data):
+                    p *= letters[t]
+                    sums += p
+                np.add.at(totals, whose[a : a + LANES], sums.T)
+            held.clear()
+            owner.clear()
+
+        for i in which:
+            windows = windows_of(sequence(texts[i]))
+            for a in range(0, len(windows), 16 * LANES):
+                held.append(windows[a : a + 16 * LANES])
+                owner.extend([i] * len(held[-1]))
+                if len(owner) >= 16 * LANES:
+                    flush()
+        if owner:
+            flush()
+        for i in which:
+            p = totals[i] / max(totals[i].sum(), 1e-9)
             best = int(p.argmax())
-            names.append(self.languages[best])
-            scores.append(float(min(p[best], 1.0)))
+            names[i], scores[i] = self.languages[best], float(min(p[best], 1.0))
         return names, scores
 
 
-def label_positions(text: str, network: Network) -> list[str | None]:
-    """The language of every byte of the text's UTF-8; none outside words."""
-    import re
-
-    data = text.encode("utf-8", "surrogatepass").translate(WORDS)
-    out: list[str | None] = [None] * len(data)
-    for m in re.finditer(rb"[^ ]+", data):
-        for a in range(m.start(), m.end(), PIECE):
-            piece = data[a : min(a + PIECE, m.end())]
-            best = network.positions(np.frombuffer(piece, np.uint8)[None])[0].argmax(axis=1)
-            out[a : a + len(piece)] = [network.languages[i] for i in best]
-    return out
+def label_positions(text: str, network: Network) -> list[str]:
+    """The language of every byte of the text's UTF-8."""
+    data = sequence(text)
+    windows = windows_of(data)
+    out = np.zeros((len(windows), WINDOW), np.int64)
+    for a in range(0, len(windows), LANES):
+        for t, p in network.labelled(np.ascontiguousarray(windows[a : a + LANES])):
+            out[a : a + LANES, t] = p.argmax(axis=0)
+    return [network.languages[i] for i in out.ravel()[: len(data)]]
 
 
-def fit_network(words: dict[str, list[bytes]], epochs: int = EPOCHS, seed: int = 0) -> Network:
-    """A network from words per language: Adam over batches of equally long words."""
-    languages = sorted(words)
+def fit_network(windows: dict[str, np.ndarray], epochs: int = EPOCHS, seed: int = 0) -> Network:
+    """A network from equally long windows of bytes per language: Adam over batches."""
+    languages = sorted(windows)
     network = Network.fresh(languages, seed)
     if len(languages) < 2:
         return network
     r = np.random.default_rng(seed)
-    by_length: dict[int, list[tuple[bytes, int]]] = {}
-    for k, name in enumerate(languages):
-        for w in words[name]:
-            by_length.setdefault(len(w), []).append((w, k))
+    data = np.concatenate([windows[name] for name in languages])
+    label = np.repeat(np.arange(len(languages)), [len(windows[name]) for name in languages])
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
     step = 0
     for _ in range(epochs):
-        batches = []
-        for some in by_length.values():
-            order = r.permutation(len(some))
-            batches += [[some[i] for i in order[a : a + BATCH]] for a in range(0, len(some), BATCH)]
-        for b in r.permutation(len(batches)):
-            data = np.frombuffer(b"".join(w for w, _ in batches[b]), np.uint8).reshape(len(batches[b]), -1)
-            _, grads = network.gradients(data, np.array([k for _, k in batches[b]]))
+        order = r.permutation(len(data))
+        for a in range(0, len(order), BATCH):
+            some = order[a : a + BATCH]
+            _, grads = network.gradients(data[some], label[some])
             step += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -210,33 +259,28 @@ def fit_network(words: dict[str, list[bytes]], epochs: int = EPOCHS, seed: int =
     return network
 
 
-def train(docs: DataFrame, held_out: int = 2, folds: int = 4, per_language: int = SAMPLE_PER_LANGUAGE, max_chars: int = SAMPLE_CHARS, max_words: int = SAMPLE_WORDS) -> Network:
+def train(docs: DataFrame, held_out: int = 2, folds: int = 4, per_language: int = SAMPLE_PER_LANGUAGE, max_chars: int = SAMPLE_CHARS, most: int = SAMPLE_WINDOWS) -> Network:
     """Network from labelled documents outside the held-out fold.
 
     The sample: of each language the per_language documents with the least hashes of their ids,
-    without texts of over max_chars characters, and of their words the max_words that an even
-    stride over them takes.
+    without texts of over max_chars characters, and of their windows the ``most`` that an even
+    stride over them takes. One pass over the documents finds all languages' samples.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_out) & (F.length("text") <= max_chars))
-    rows = rows.select(F.col("doc_id"), F.col("lang"), F.xxhash64("doc_id").alias("h"))
-    best: list = []
-    for name in sorted(r["lang"] for r in rows.select("lang").distinct().collect()):
-        best.append(rows.where(F.col("lang") == name).orderBy("h", "doc_id").limit(per_language))
-    if not best:
-        return Network([], {})
-    chosen = best[0]
-    for more in best[1:]:
-        chosen = chosen.unionByName(more)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.select("doc_id", "lang").withColumn("n", rank).where(F.col("n") <= per_language)
     found = docs.select("doc_id", F.col("lang").alias("its"), "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id").where("its = lang")
     texts: dict[str, set[str]] = {}
-    for r in found.select("lang", "text").collect():
+    for r in found.select("lang", "text").toLocalIterator():
         if len(r["text"] or "") <= max_chars:
             texts.setdefault(r["lang"], set()).add(r["text"])
-    words = {}
+    windows = {}
     for name, some in texts.items():
-        every = [w for t in sorted(some) for w in words_of(t)]
-        words[name] = every[:: max(1, -(-len(every) // max_words))]
-    return fit_network({k: v for k, v in words.items() if v})
+        each = [windows_of(sequence(t), TRAIN_BYTES, 0) for t in sorted(some)]
+        every = np.concatenate(each) if each else np.empty((0, TRAIN_BYTES), np.uint8)
+        if len(every):
+            windows[name] = every[:: max(1, -(-len(every) // most))]
+    return fit_network(windows)
 
 
 def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", part: int = 1000) -> DataFrame:

@@ -9,7 +9,7 @@ from .common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontamination.SLOP)
     return decontamination.digest(found)
 
 
@@ -68,8 +68,13 @@ OP1 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
   hit AS (SELECT DISTINCT doc_id, s, n, item_id FROM g JOIN win USING (n, k)),
   c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY 1),
   t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
-  SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+  every AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d), freq AS (SELECT word, count(*) AS f FROM every GROUP BY word),
+  q AS (SELECT item_id, v, unnest(v) AS word, generate_subscripts(v, 1) AS k FROM (SELECT DISTINCT item_id, v FROM x)),
+  rare AS (SELECT item_id, v, arg_min(word, (f, k)) AS word FROM q JOIN freq USING (word) GROUP BY item_id, v HAVING count(*) = len(v)),
+  close AS (SELECT DISTINCT e.doc_id, r.item_id::VARCHAR AS item FROM every e JOIN rare r USING (word) JOIN d USING (doc_id) WHERE list_has_all(d.w[greatest(e.pos - {decontamination.SLOP}, 1):e.pos + {decontamination.SLOP}], r.v)),
+  a AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM close GROUP BY 1)
+  SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near, '') AS near
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 OP4 = r"""WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15) AS h FROM documents),
   s AS (SELECT source, sum(size)::BIGINT AS source_size FROM b GROUP BY source),

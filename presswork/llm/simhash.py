@@ -30,6 +30,11 @@ from .components import components
 SEED = 42
 #: Rows compared at once: a block of homes times a block of the group.
 COMPARE_CELLS = 4_000_000
+#: Members of an anchor that one task compares; a larger group is dealt out as pairs of blocks. Groups
+#: are counted by slots of anchors, so that what is broadcast about them has at most a row per slot.
+GROUP_ROWS, GROUP_SLOTS = 20_000, 1 << 16
+#: Copies from which on a name's rows are joined by a broadcast of such names, and how many there may be.
+HOT_ROWS, HOT_NAMES = 1000, 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -124,6 +129,11 @@ class AnchorCode:
             at += 15
         return out
 
+    def slots(self, anchor: np.ndarray, k: int) -> np.ndarray:
+        """The slot of anchors of the code that is number k, by which groups are counted."""
+        mixed = (anchor | (k << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(48)).astype(np.int64) % GROUP_SLOTS
+
     def block(self, fp: np.ndarray) -> np.ndarray:
         return ((fp.view(np.uint64) >> np.uint64(self.low)) & np.uint64(2**self.width - 1)).astype(np.int64)
 
@@ -144,8 +154,49 @@ def codes_for(distance: int, blocks: int) -> list[AnchorCode]:
     return [AnchorCode(a, b - a, distance // blocks) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def anchored(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """anchor (block number and codeword), home, fp: each distinct fingerprint at its anchors."""
+def group_blocks(nodes: DataFrame, sides: tuple[str, ...], codes: Callable[[], list[AnchorCode]], most: int) -> np.ndarray:
+    """For each slot into how many blocks of members its anchors' groups are dealt: 1 as a rule."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, total = codes(), np.zeros(GROUP_SLOTS, np.int64)
+        for batch in batches:
+            for side in range(len(sides)):
+                every = batch.column(side).to_numpy(zero_copy_only=False)
+                for at in range(0, len(every), 4096):
+                    for k, code in enumerate(made):
+                        slot = code.slots(code.anchors(every[at : at + 4096])[0], side * len(made) + k)
+                        total += np.bincount(slot, minlength=GROUP_SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    counted = nodes.select(*sides).mapInArrow(rows, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.ones(GROUP_SLOTS, np.int64)
+    for r in counted.where(F.col("n") > most).toLocalIterator():
+        out[r["slot"]] = -(-r["n"] // most)
+    return out
+
+
+def dealt(anchor: np.ndarray, home: np.ndarray, blocks: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """rows (indices), cell, whether a home there, whether another there.
+
+    A group of s blocks has a cell for each pair of a block of homes and a block of members; cell 0
+    is all there is of an undivided group.
+    """
+    whole = np.flatnonzero(blocks == 1)
+    yield whole, np.zeros(len(whole), np.int64), home[whole], np.ones(len(whole), bool)
+    for s in np.unique(blocks[blocks > 1]).tolist():
+        some = np.flatnonzero(blocks == s)
+        mine = own[some] % s
+        for j in range(s):
+            here = home[some]
+            yield some[here], mine[here] * s + j, np.ones(int(here.sum()), bool), mine[here] == j
+            rest = ~here | (mine != j)  # the home's own cell (mine, mine) has it as both
+            yield some[rest], j * s + mine[rest], np.zeros(int(rest.sum()), bool), np.ones(int(rest.sum()), bool)
+
+
+def anchored(fps: DataFrame, distance: int, blocks: int, most: int = GROUP_ROWS) -> DataFrame:
+    """anchor (block number and codeword), cell, home, member, fp: each distinct fingerprint at its anchors."""
+    split = fps.sparkSession.sparkContext.broadcast(group_blocks(fps, ("fp",), lambda: codes_for(distance, blocks), most))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codes_for(distance, blocks)
@@ -155,28 +206,12 @@ def anchored(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
                 fp = every[at : at + 4096]
                 for k, code in enumerate(codes):
                     anchor, row, home = code.anchors(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (k << 40)), pa.array(home), pa.array(fp[row])], ["anchor", "home", "fp"])
+                    own = ((fp[row].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64)
+                    for some, cell, is_home, member in dealt(anchor, home, split.value[code.slots(anchor, k)], own):
+                        if len(some):
+                            yield pa.RecordBatch.from_arrays([pa.array(anchor[some] | (k << 40)), pa.array(cell), pa.array(is_home), pa.array(member), pa.array(fp[row[some]])], ["anchor", "cell", "home", "member", "fp"])
 
-    return fps.select("fp").mapInArrow(rows, "anchor long, home boolean, fp long")
-
-
-def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """anchor, home flags, fingerprints of each run of one anchor in sorted batches."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    last = None
-    for batch in batches:
-        anchor, home, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(anchor):
-            continue
-        cuts = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if last is not None and anchor[a] != last:
-                yield last, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                held = []
-            last = int(anchor[a])
-            held.append((home[a:b].astype(bool), fp[a:b]))
-    if held:
-        yield last, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    return fps.select("fp").mapInArrow(rows, "anchor long, cell long, home boolean, member boolean, fp long")
 
 
 def least_linked(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -218,12 +253,13 @@ def links_at_anchors(at: DataFrame, distance: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         held = 0
-        for _, home, fp in by_group(batches):
+        for _, _, home, member, fp in groups_of(batches):
+            home, member = home.astype(bool), member.astype(bool)
             if len(fp) < 2 or not home.any():
                 continue
             order = np.argsort(fp, kind="stable")
-            home, fp = home[order], fp[order]
-            edges = star_edges(fp, least_linked(len(fp), near_pairs(fp, np.flatnonzero(home), distance)))
+            home, member, fp = home[order], member[order], fp[order]
+            edges = star_edges(fp, least_linked(len(fp), near_pairs(fp, np.flatnonzero(home), np.flatnonzero(member), distance)))
             if len(edges):
                 out.append(edges)
                 held += len(edges)
@@ -235,19 +271,32 @@ def links_at_anchors(at: DataFrame, distance: int) -> DataFrame:
             every = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
 
-    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "a long, b long").distinct()
+    return at.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(rows, "a long, b long").distinct()
 
 
-def near_pairs(fp: np.ndarray, homes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (home, other) of fingerprints at distance or less, in bounded blocks."""
+def near_pairs(fp: np.ndarray, homes: np.ndarray, members: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, member) of fingerprints at distance or less, in bounded blocks."""
     every = fp.view(np.uint64)
-    step = max(1, COMPARE_CELLS // len(fp))
+    step = max(1, COMPARE_CELLS // max(1, len(members)))
     for at in range(0, len(homes), step):
         part = homes[at : at + step]
-        close = np.bitwise_count(every[part][:, None] ^ every[None, :]) <= distance
-        close[np.arange(len(part)), part] = False
-        a, b = np.nonzero(close)
-        yield part[a], b
+        a, b = np.nonzero(np.bitwise_count(every[part][:, None] ^ every[members][None, :]) <= distance)
+        a, b = part[a], members[b]
+        other = a != b
+        yield a[other], b[other]
+
+
+def joined_by_name(rows: DataFrame, names: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of names (one row each: key, ..., copies) of the same key.
+
+    Names of very many rows, at most HOT_NAMES of them, are broadcast, so that their rows stay where they are.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_NAMES))
+    hot, cold = names.where(F.col("copies") >= least), names.where(F.col("copies") < least)
+    known = hot.select(F.col(key).alias("hot_key"))
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(known), F.col(key) == F.col("hot_key"), "left_anti").join(cold, key)
+    return few.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, blocks: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,14 +309,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, blocks: i
     empty table gives no row; columns other than id and text are not read.
     """
     table = materialize(fingerprint_table(docs, size, seed, id_col, text_col), "fingerprints")
-    least = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    least = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     edges = links_at_anchors(anchored(least, distance, blocks), distance)
     roots = materialize(components(edges), "fingerprint-components")
     linked = least.join(roots, least["fp"] == roots["node"])
     per_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     other = linked.join(per_root, "root").select(F.col("fp").alias("linked_fp"), "component_id")
-    owner = least.join(other, least["fp"] == other["linked_fp"], "left").select(F.col("fp").alias("own_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return table.join(owner, table["fp"] == owner["own_fp"]).select("doc_id", "fp", "component_id")
+    owner = least.join(other, least["fp"] == other["linked_fp"], "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "copies")
+    owner = materialize(owner, "fingerprint-owners")
+    return joined_by_name(table, owner, "fp", table.count()).select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -287,6 +337,8 @@ NEAR_BITS = 26
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 65_536
 #: Slots by which texts of no candidate are left out before they are joined.
 TEXT_SLOTS = 2**20
+#: Texts that are compared with one other in a task.
+CENTRE_PAIRS = 500
 
 
 def sketches(docs: DataFrame, text_col: str) -> DataFrame:
@@ -311,38 +363,45 @@ def sketches(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select("doc_id", "node", text_col).mapInArrow(rows, f"doc_id {kind}, node long, a long, b long")
 
 
-def anchored_pairs(nodes: DataFrame) -> DataFrame:
-    """anchor, home, node, a, b: each node at the anchors of both of its fingerprints."""
+def anchored_pairs(nodes: DataFrame, most: int = GROUP_ROWS) -> DataFrame:
+    """anchor, cell, home, member, node, a, b: each node at the anchors of both of its fingerprints."""
+    make = lambda: codes_for(SKETCH_DISTANCE, SKETCH_BLOCKS)
+    split = nodes.sparkSession.sparkContext.broadcast(group_blocks(nodes, ("a", "b"), make, most))
+    names = ["anchor", "cell", "home", "member", "node", "a", "b"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = codes_for(SKETCH_DISTANCE, SKETCH_BLOCKS)
+        codes = make()
         for batch in batches:
             node, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for at in range(0, len(node), 4096):
                 part = slice(at, at + 4096)
                 for side, fp in enumerate((a[part], b[part])):
                     for k, code in enumerate(codes):
+                        number = side * len(codes) + k
                         anchor, row, home = code.anchors(fp)
-                        key = anchor | ((side * len(codes) + k) << 40)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, home, node[part][row], a[part][row], b[part][row])], ["anchor", "home", "node", "a", "b"])
+                        for some, cell, is_home, member in dealt(anchor, home, split.value[code.slots(anchor, number)], node[part][row] >> 8):
+                            if len(some):
+                                of = row[some]
+                                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[some] | (number << 40), cell, is_home, member, node[part][of], a[part][of], b[part][of])], names)
 
-    return nodes.select("node", "a", "b").mapInArrow(rows, "anchor long, home boolean, node long, a long, b long")
+    return nodes.select("node", "a", "b").mapInArrow(rows, "anchor long, cell long, home boolean, member boolean, node long, a long, b long")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of one value of the first column in sorted batches."""
+    """Columns of each run of one value of the first two columns in sorted batches."""
     held: list[list[np.ndarray]] = []
     last = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(columns[0]):
             continue
-        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
+        cuts = [0, *(np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1).tolist(), len(columns[0])]
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if held and columns[0][x] != last:
+            own = columns[0][x], columns[1][x]
+            if held and own != last:
                 yield [np.concatenate(c) for c in zip(*held, strict=True)]
                 held = []
-            last = columns[0][x]
+            last = own
             held.append([c[x:y] for c in columns])
     if held:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -351,24 +410,25 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 def sketch_links(at: DataFrame, near_bits: int) -> DataFrame:
     """a, b: nodes within near_bits of each other at each anchor, as stars."""
 
-    def pairs(a: np.ndarray, b: np.ndarray, homes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(a: np.ndarray, b: np.ndarray, homes: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a, b = a.view(np.uint64), b.view(np.uint64)
-        step = max(1, COMPARE_CELLS // len(a))
+        step = max(1, COMPARE_CELLS // max(1, len(members)))
         for i in range(0, len(homes), step):
             part = homes[i : i + step]
-            bits = np.bitwise_count(a[part][:, None] ^ a[None, :]) + np.bitwise_count(b[part][:, None] ^ b[None, :])
-            bits[np.arange(len(part)), part] = 255
+            bits = np.bitwise_count(a[part][:, None] ^ a[members][None, :]) + np.bitwise_count(b[part][:, None] ^ b[members][None, :])
             x, y = np.nonzero(bits <= near_bits)
-            yield part[x], y
+            x, y = part[x], members[y]
+            other = x != y
+            yield x[other], y[other]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for _, home, node, a, b in groups_of(batches):
+        for _, _, home, member, node, a, b in groups_of(batches):
             order = np.argsort(node, kind="stable")
-            home, node, a, b = home[order], node[order], a[order], b[order]
-            homes = np.flatnonzero(home.astype(bool))
+            home, member, node, a, b = home[order].astype(bool), member[order].astype(bool), node[order], a[order], b[order]
+            homes = np.flatnonzero(home)
             if len(node) > 1 and len(homes):
-                edges = star_edges(node, least_linked(len(node), pairs(a, b, homes)))
+                edges = star_edges(node, least_linked(len(node), pairs(a, b, homes, np.flatnonzero(member))))
                 if len(edges):
                     out.append(edges)
                     held += len(edges)
@@ -378,7 +438,7 @@ def sketch_links(at: DataFrame, near_bits: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)[:, i]) for i in (0, 1)], ["a", "b"])
 
-    return at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "a long, b long").distinct()
+    return at.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(rows, "a long, b long").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
@@ -397,46 +457,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
 
 
-def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """node, first: for each node that similar ones reach within its sketch group, the component's first.
-
-    texts: root, node, rank, text; a component's first has its least rank. A member is compared
-    until it is joined with every component of the group that it has a link to, so what is found
-    are all components of the links. Members of a group share a task; each takes 8 bytes a shingle.
-    """
-
-    def solve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        parts: list[list[int]] = []  # in order of their first members
-        for i, own in enumerate(sets):
-            linked = [p for p in parts if any(similar(own, sets[j], least) for j in p)]
-            if linked:
-                linked[0].append(i)
-                for more in linked[1:]:
-                    linked[0].extend(more)
-                    parts.remove(more)
-            else:
-                parts.append([i])
-        return [(nodes[i], nodes[min(p)]) for p in parts if len(p) > 1 for i in p]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, nodes, sets = None, [], []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for r, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if r != root:
-                    out += solve(nodes, sets)
-                    root, nodes, sets = r, [], []
-                if not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    sets.append(shingle_set(text.as_py(), size))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "first"])
-        out = solve(nodes, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "first"])
-
-    at = texts.repartition("root").sortWithinPartitions("root", F.col("rank").asc_nulls_last(), "node")
-    return at.select("root", "node", "text").mapInArrow(rows, "node long, first long")
-
-
 def shingle_keys(text: str | None, size: int) -> np.ndarray:
     """Distinct 60-bit hashes of the shingles, in ascending order, made of hashes of single words."""
     words = words_of(text)
@@ -604,74 +624,93 @@ def texts_near(named: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.mapInArrow(rows, named.schema)
 
 
-def confirmed(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """a, b: parts of a centre and of another text with a similarity of least or more.
+def confirmed(named: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: the pairs (a, b: nodes) whose texts have a similarity of least or more.
 
-    texts: centre, own (whether the text is the centre's), part, text.
+    Pairs meet at their a, whose text comes once for CENTRE_PAIRS of them; so a text that very many
+    are compared with is no single task.
     """
+    pairs = materialize(pairs, "pairs")
+    per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / CENTRE_PAIRS).cast("int"))
+    hot = per.where("salts > 1").select("a", "salts")
+    members = pairs.join(hot, "a", "left").select(F.col("a").alias("centre"), F.pmod("b", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("b").alias("node"))
+    centres = per.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("own"), F.col("a").alias("node"))
+    members = centres.unionByName(members)
+    wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("its_node"), "least")
+    texts = texts_near(named, members).join(wanted, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("its_node", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, its_part, its_set = None, None, None
+        last, its_set = None, None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for centre, own, part, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for centre, salt, own, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own:
-                    if centre != last:
-                        last, its_part, its_set = centre, part, shingle_set(text, size)
+                    if (centre, salt) != last:
+                        last, its_set = (centre, salt), shingle_set(text, size)
                 elif similar(its_set, shingle_set(text, size), least):
-                    out.append((its_part, part))
+                    out.append((centre, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    at = texts.repartition("centre").sortWithinPartitions("centre", F.desc("own"))
-    return at.select("centre", "own", "part", "text").mapInArrow(rows, "a long, b long").distinct()
+    at = members.join(texts, F.col("node") == F.col("its_node")).select("centre", "salt", "own", "node", "text")
+    return at.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own")).mapInArrow(rows, "a long, b long").distinct()
 
 
-def missed_links(named: DataFrame, nodes: DataFrame, joined: DataFrame, size: int, least: float) -> DataFrame:
-    """a, b: firsts of groups (or texts in no group) that similar texts link; with joined's, all links.
+def missed_links(named: DataFrame, nodes: DataFrame, parts: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: pairs of similar texts of different parts (node, root); with those of one part, all links.
 
     An exact prefix join: each text is listed at the first of its shingles in one order of all,
     and two texts at a common shingle whose sizes and common prefix allow it are compared.
     """
     prefix = prefixes(named, common_shingles(named, nodes.count(), size), size, least)
     held = materialize(held_by_several(prefix), "prefixes")
-    parts = joined.select(F.col("node").alias("its_node"), "first")
-    held = held.join(parts, F.col("node") == F.col("its_node"), "left").select("key", "node", "n", F.coalesce("first", "node").alias("part"))
-    pairs = materialize(candidates(held, least), "candidates")
-    centres = pairs.select(F.col("a").alias("centre"), F.col("a").alias("node"), F.lit(True).alias("own"), F.col("part_a").alias("part")).distinct()
-    members = centres.unionByName(pairs.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(False).alias("own"), F.col("part_b").alias("part")))
-    wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("its_node"), "least")
-    near = texts_near(named, members)
-    texts = near.join(wanted, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("its_node", "text")
-    return confirmed(members.join(texts, F.col("node") == F.col("its_node")), size, least)
+    parts = parts.select(F.col("node").alias("its_node"), "root")
+    held = held.join(parts, F.col("node") == F.col("its_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
+    return confirmed(named, nodes, candidates(held, least).select("a", "b"), size, least)
+
+
+def unique_names(docs: DataFrame, text_col: str) -> F.Column:
+    """A 64-bit name of each row's text that no other text has.
+
+    The hash of the text; should 128 bits of two texts with one hash differ, such hashes are
+    replaced by salted ones, until none is left. Expected is one round.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name, salt = F.xxhash64(text), 0
+    while True:
+        twice = docs.select(name.alias("name"), F.md5(text).alias("key")).groupBy("name").agg((F.min("key") != F.max("key")).alias("twice")).where("twice")
+        clash = [r["name"] for r in twice.select("name").toLocalIterator()]
+        if not clash:
+            return name
+        salt += 1
+        name = F.when(name.isin(clash), F.xxhash64(F.lit(salt), F.md5(text))).otherwise(name)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, of each group of near duplicates only the one with the least id.
 
     Two texts are linked if their sets of size-word shingles have a Jaccard similarity of
-    similarity or more; groups are what links connect. SimHash proposes groups that are compared
-    exactly, and an exact prefix join finds the links that it misses. Defined results: equal texts are linked, texts without words too (null is
-    empty); null ids come last; of repeated rows one stays; an empty table stays empty. Columns of
-    any name are kept.
+    similarity or more; groups are what links connect. SimHash proposes pairs that are compared
+    exactly, and an exact prefix join finds the links between what these connect. Defined results:
+    equal texts are linked, texts without words too (null is empty); null ids come last; of repeated
+    rows one stays; an empty table stays empty. Columns of any name are kept.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = unique_names(docs, text_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), name.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = materialize(sketches(named, "text"), "sketches")
     nodes = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(nodes, "distinct-texts")
-    groups = materialize(components(sketch_links(anchored_pairs(nodes), NEAR_BITS)), "sketch-groups")
-    grouped = nodes.join(groups, "node").select(F.col("node").alias("its_node"), "root", "least")
-    texts = named.join(grouped, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "node", F.col("least").alias("rank"), "text")
-    joined = materialize(verified(texts, size, similarity), "verified-groups")
-    merged = materialize(components(missed_links(named, nodes, joined, size, similarity)), "merged-groups")
+    proposed = sketch_links(anchored_pairs(nodes), NEAR_BITS).groupBy(F.col("a").alias("member")).agg(F.min("b").alias("centre"))
+    links = materialize(confirmed(named, nodes, proposed.select(F.col("centre").alias("a"), F.col("member").alias("b")), size, similarity), "sketch-links")
+    missed = materialize(missed_links(named, nodes, components(links), size, similarity), "missed-links")
+    merged = materialize(components(links.unionByName(missed)), "merged-groups")
     firsts = merged.join(nodes.select("node", "least"), "node")
     best = firsts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")).select(F.col("root").alias("its_root"), F.col("best.node").alias("first"))
-    later = firsts.join(best, F.col("root") == F.col("its_root")).select("node", "first")
-    gone = joined.unionByName(later).where("node <> first").select("node").distinct()
+    gone = firsts.join(best, F.col("root") == F.col("its_root")).where("node <> first").select("node").distinct()
     stay = nodes.join(gone, "node", "left_anti")
     # the rows that stay, by text and id, and how many rows are alike in both
     alike = table.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("alike"))
-    stay = alike.join(stay.select(F.col("node").alias("its_node"), "least"), (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("alike").alias("__alike"))
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    left = keyed.join(stay, (F.col("__own") == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    once = left.where("__alike = 1").unionByName(left.where("__alike > 1").dropDuplicates(["__node", "__id"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = alike.join(stay.select(F.col("node").alias("its_node"), "least"), (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "doc_id", "alike")
+    keyed = docs.select(name.alias("own"), F.col(id_col).alias("own_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = keyed.join(stay, (F.col("own") == F.col("node")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    once = left.where("alike = 1").unionByName(left.where("alike > 1").dropDuplicates(["node", "doc_id"]))
+    return once.select("row.*")

@@ -1,14 +1,17 @@
 """Exact removal of repeated 400-byte strings, decided by suffix arrays of shards.
 
-1. Each text is cut into runs of consecutive windows (400-byte strings) that share the least hash
-   of their 128-byte pieces. Equal windows have equal least hashes, so a window can repeat only if
-   its run's hash stands at another place of the corpus; counting hashes, combined before the
-   shuffle, rules out all other runs.
+1. Prune. Each text is cut into runs of consecutive windows (400-byte strings) that share the first
+   of their 128-byte pieces in one order of all: by hash, pieces that a sample shows to be common
+   last. Equal windows have equal first pieces, so a window can repeat only if its run's piece
+   stands at another place of the corpus; counting pieces, combined before the shuffle, rules out
+   all other runs. As common pieces come last, a window that goes beyond a common passage is named by a piece
+   of its own, and what a third of all documents share doesn't draw their other bytes into one task.
 2. The bytes under a remaining run (its segment) are folded with those of equal content, so what a
    third of all documents share is one segment with a mark.
-3. Segments with one hash go to one shard. A shard's suffixes are sorted with their common-prefix
-   lengths by external induced sorting (induced.py); a window is repeated iff its suffix shares
-   400 bytes with a neighbour in that order, or its segment stands at several places.
+3. Segments with one piece go to one shard. A shard's text is a scratch file, and its suffixes are
+   sorted with their common-prefix lengths by external induced sorting (induced.py) as they are
+   taken out of disk-backed queues; a window is repeated iff its suffix shares 400 bytes with a
+   neighbour in that order, or its segment stands at several places.
 4. The repeated windows go back to every text that holds the segment.
 
 Equal texts are one text with a count; a text of 400 bytes or more that stands in several rows is
@@ -20,7 +23,7 @@ than id and text are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .induced import suffix_array
+from .induced import Pool, Suffixes, mapped
 
 LENGTH = 400
 PIECE = 128  # 8 times a power of two
-#: Bytes of segments after which a shard is closed, at the next change of hash.
-SHARD_BYTES = 2 << 20
+#: Bytes of segments after which a shard is closed, at the next change of piece.
+SHARD_BYTES = 8 << 20
+#: Texts that are sampled for common pieces, in how many of them a piece is common, and how many
+#: are put last. Any order gives the same result; this one makes less to sort.
+ORDER_TEXTS, ORDER_LEAST, ORDER_PIECES = 10_000, 8, 65_536
+#: Pieces of which so many leading hash bits are 0 can be common.
+ORDER_BITS = 5
+#: Symbols of a shard's text: a byte b of UTF-8 is b + 1, so that 255 ends a segment and 0 the text.
+SHIFTED = bytes((i + 1) % 256 for i in range(256))
 
 
 def key_of(data: bytes) -> bytes:
@@ -72,12 +82,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def runs_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first window, windows and places of the hash, of each run of windows."""
+def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The hashes with their lowest bit lost, those of common (ascending) behind all others."""
+    out = hashes >> np.uint64(1)
+    if len(common):
+        low = np.flatnonzero(hashes >> np.uint64(64 - ORDER_BITS) == 0)
+        at = np.minimum(np.searchsorted(common, hashes[low]), len(common) - 1)
+        out[low[common[at] == hashes[low]]] |= np.uint64(1 << 63)
+    return out
+
+
+def runs_of(data: bytes, length: int = LENGTH, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """piece, first window, windows and places of the piece, of each run of windows."""
     if len(data) < length:
         none = np.empty(0, np.int64)
         return none, none, none, none
-    hashes = piece_hashes(data)
+    hashes = ordered(piece_hashes(data), common)
     width = length - PIECE + 1
     least = sliding_least(hashes, width)
     start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
@@ -90,10 +110,29 @@ def runs_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 RUN = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("places", pa.int32())])
 
 
-def text_runs(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+def common_pieces(docs: DataFrame, text_col: str, length: int, texts: int, least: int = ORDER_LEAST) -> np.ndarray:
+    """Hashes, ascending, of the most common pieces among those that can be, in a sample of the texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                data = data_of(text.as_py())
+                if len(data) >= length:
+                    hashes = piece_hashes(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes[hashes >> np.uint64(64 - ORDER_BITS) == 0]).view(np.int64))], ["h"])
+
+    some = docs.where(F.pmod(F.xxhash64(text_col, *[c for c in docs.columns if c == "doc_id"]), F.lit(max(1, texts // ORDER_TEXTS))) == 0)
+    counted = some.select(text_col).mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    top = counted.orderBy(F.desc("n"), "h").limit(ORDER_PIECES).toPandas()["h"].to_numpy(np.int64)
+    return np.sort(top.view(np.uint64))
+
+
+def text_runs(docs: DataFrame, text_col: str, length: int, common: np.ndarray) -> DataFrame:
     """key, n_bytes, runs of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 keys, sizes, runs = [], [], []
@@ -101,7 +140,7 @@ def text_runs(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                     data = data_of(text.as_py())
                     keys.append(key_of(data))
                     sizes.append(len(data))
-                    runs.append(runs_of(data, length))
+                    runs.append(runs_of(data, length, common))
                 flat = [np.concatenate([r[i] for r in runs]) for i in range(4)]
                 values = pa.StructArray.from_arrays([pa.array(f, t.type) for f, t in zip((flat[0], *(x.astype(np.int32) for x in flat[1:])), RUN, strict=True)], fields=list(RUN))
                 ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
@@ -138,20 +177,37 @@ def segment_batch(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["h", "content", "key", "start", "windows", "data"])
 
 
-def repeated_windows(segments: list[bytes], length: int, memory: int, base: int) -> list[np.ndarray]:
-    """For each segment the windows that another place of the segments holds too, as flags."""
-    sizes = np.array([len(s) for s in segments])
-    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
-    symbols = np.zeros(int(sizes.sum()) + len(segments), np.int32)  # 0 between segments
-    for s, at in zip(segments, starts, strict=True):
-        symbols[at : at + len(s)] = np.frombuffer(s, np.uint8)
-        symbols[at : at + len(s)] += 1
-    order, lcp = suffix_array(symbols, 257, memory, base, cap=length)
-    hit = np.zeros(len(symbols), bool)
-    near = np.flatnonzero(lcp >= length)
-    hit[order[near]] = True
-    hit[order[near - 1]] = True
-    return [hit[at : at + n - length + 1] for at, n in zip(starts, sizes, strict=True)]
+class Shard:
+    """Segments of a task: their bytes in a scratch file, and what is told of each."""
+
+    def __init__(self) -> None:
+        self.file, self.size = tempfile.TemporaryFile(), 0
+        self.rows: list[tuple[int, bytes, bool, int, int]] = []  # h, content, several, start, bytes
+
+    def add(self, h: int, content: bytes, several: bool, data: bytes) -> None:
+        self.rows.append((h, content, several, self.size, len(data)))
+        self.file.write(data.translate(SHIFTED))
+        self.file.write(b"\xff")
+        self.size += len(data) + 1
+
+    def repeated(self, length: int, pool: Pool) -> np.ndarray:
+        """Whether each byte begins a string of length bytes that begins elsewhere in the shard too."""
+        self.file.write(b"\0")
+        self.file.flush()
+        text = np.memmap(self.file, np.uint8, "r", shape=(self.size + 1,)).view(np.ndarray)
+        hit = mapped(self.size + 1, np.bool_)
+        last: list[np.ndarray] = []
+
+        def taken(at: np.ndarray, prefix: np.ndarray) -> None:
+            near = np.flatnonzero(prefix >= length)
+            hit[at[near]] = True
+            hit[at[near[near > 0] - 1]] = True
+            if len(near) and near[0] == 0:
+                hit[last[0]] = True
+            last[:] = [at[-1:].copy()]
+
+        Suffixes(text, 256, pool, length).descending(taken)
+        return hit
 
 
 def flag_spans(flags: np.ndarray, length: int) -> list[dict]:
@@ -164,43 +220,43 @@ def flag_spans(flags: np.ndarray, length: int) -> list[dict]:
     return [{"start": int(a), "end": int(b) + length} for a, b in zip(first, last, strict=True)]
 
 
-def decide(segments: DataFrame, length: int, shard_bytes: int, memory: int, base: int) -> DataFrame:
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def decide(segments: DataFrame, length: int, shard_bytes: int, limits: dict[str, int]) -> DataFrame:
     """h, content, spans: the repeated byte spans of each segment, relative to its start.
 
     segments: h, content, several (it stands at several places), data; one row per content.
+    limits: those of induced.Pool.
     """
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        held = Counter(r[0] for r in rows)
-        known = [r for r in rows if r[2] and held[r[0]] == 1]  # all its windows repeat, and it is nobody's neighbour
-        rows = [r for r in rows if not (r[2] and held[r[0]] == 1)]
-        flags = repeated_windows([r[3] for r in rows], length, memory, base) if rows else []
-        spans = [[{"start": 0, "end": len(r[3])}] if r[2] else flag_spans(f, length) for r, f in zip(rows, flags, strict=True)]
-        spans += [[{"start": 0, "end": len(r[3])}] for r in known]
-        rows = rows + known
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(spans, spans_type)], ["h", "content", "spans"])
+
+    def solve(shard: Shard) -> Iterator[pa.RecordBatch]:
+        hit = shard.repeated(length, Pool(**limits))
+        for i in range(0, len(shard.rows), 10_000):
+            part = shard.rows[i : i + 10_000]
+            spans = [[{"start": 0, "end": n}] if several else flag_spans(hit[at : at + n - length + 1], length) for _, _, several, at, n in part]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array(spans, SPANS)], ["h", "content", "spans"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple] = []
-        held, last = 0, None
+        shard, last = Shard(), None
         for batch in batches:
-            for h, content, several, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= shard_bytes and h != last:
-                    yield solve(shard)
-                    shard, held = [], 0
-                shard.append((h, content, several, data))
-                held, last = held + len(data), h
-        if shard:
-            yield solve(shard)
+            for h, content, several, data in zip(*batch.columns, strict=True):
+                own = h.as_py()
+                if shard.size >= shard_bytes and own != last:
+                    yield from solve(shard)
+                    shard = Shard()
+                shard.add(own, content.as_py(), several.as_py(), data.as_py())
+                last = own
+        if shard.rows:
+            yield from solve(shard)
 
     at = segments.select("h", "content", "several", "data").repartition("h").sortWithinPartitions("h")
     return at.mapInArrow(rows, "h long, content binary, spans array<struct<start:int,end:int>>")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, memory: int = 1 << 24, base: int = 1 << 23) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
     """key, spans: for each text that loses bytes the spans, not yet joined, that it loses."""
-    runs = text_runs(docs, text_col, length)
+    runs = text_runs(docs, text_col, length, common_pieces(docs, text_col, length, docs.count()))
     texts = runs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
     texts = materialize(texts.where(F.col("n_bytes") >= length), "text-runs")
     each = texts.select("key", F.explode("runs").alias("r")).select("key", "r.*")
@@ -212,7 +268,7 @@ def removals(docs: DataFrame, length: int = LENGTH, text_col: str = "text", shar
     segments = materialize(cut_segments(found, length), "segments")
     place = F.struct("key", "start")
     folded = segments.groupBy("h", "content").agg((F.min(place) != F.max(place)).alias("several"), F.first("data").alias("data"))
-    decided = decide(folded, length, shard_bytes, memory, base).where(F.size("spans") > 0)
+    decided = decide(folded, length, shard_bytes, limits).where(F.size("spans") > 0)
     back = segments.select("h", "content", "key", "start").join(decided, ["h", "content"])
     shifted = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
     of_runs = back.select("key", F.explode(shifted).alias("s")).distinct()
