@@ -574,12 +574,12 @@ def by_doubling(symbols: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def suffix_array(symbols: np.ndarray, count: int, cap: int = 60_000, pool: Pool | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(symbols: np.ndarray, count: int, memory: int = MEMORY, base: int = BASE, cap: int = 60_000, pool: Pool | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of symbols (0..count-1) in order, and their common prefix with the one before, counted
     up to cap. The result is in memory; a shard's consumer takes the rows as they come."""
     if not len(symbols):
         return np.empty(0, np.int32), np.empty(0, np.uint16)
-    pool = pool or Pool()
+    pool = pool or Pool(memory, base)
     text = mapped(len(symbols) + 1, np.uint8 if count < 255 else np.uint16 if count < 65535 else np.int32)
     text[:-1] = symbols
     text[:-1] += 1

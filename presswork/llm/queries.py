@@ -67,7 +67,7 @@ OP1 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
   g AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM p),
   hit AS (SELECT DISTINCT doc_id, s, n, item_id FROM g JOIN win USING (n, k)),
   c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY 1),
-  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1),
   every AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d), freq AS (SELECT word, count(*) AS f FROM every GROUP BY word),
   q AS (SELECT item_id, v, unnest(v) AS word, generate_subscripts(v, 1) AS k FROM (SELECT DISTINCT item_id, v FROM x)),
   rare AS (SELECT item_id, v, arg_min(word, (f, k)) AS word FROM q JOIN freq USING (word) GROUP BY item_id, v HAVING count(*) = len(v)),
