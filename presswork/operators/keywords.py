@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from . import judgment as J
+from ..functions import words as P
 
 #: Fixed values. Thresholds of clustering, labels and entities.
 MAX_ARTICLES = 50
@@ -78,8 +78,8 @@ def clustered(titles: list[str], vectors: np.ndarray, query: np.ndarray, thresho
     if threshold is None:
         background = float(semantic[np.triu_indices(n, 1)].mean())
         threshold = min(THRESHOLD_MAX, THRESHOLD + GAIN * max(0.0, background - BACKGROUND))
-    grams = [J.pairs_of(J.tokens(t)) for t in titles]
-    lexical = np.array([[1.0 if i == j else J.dice(grams[i], grams[j]) for j in range(n)] for i in range(n)])
+    grams = [P.grams(P.tokens(t)) for t in titles]
+    lexical = np.array([[1.0 if i == j else P.dice(grams[i], grams[j]) for j in range(n)] for i in range(n)])
     signs = [polarity(t) for t in titles]
     sums, words = SEMANTIC * semantic + LEXICAL * lexical, lexical.copy()  # sums over pairs of clusters
     groups, sizes = [[i] for i in range(n)], np.ones(n)
@@ -150,7 +150,7 @@ def phrases(title: str, query_key: str) -> list[tuple[str, list[str], bool, bool
         run: list[tuple[str, bool]] = []
         runs = [run]
         for word in clause.split():
-            base = J.stem(word.casefold())
+            base = P.stem(word.casefold())
             shown = word[: len(base)] if base else word
             if re.search(L.PREDICATE, word) or not re.search("[가-힣a-zA-Z0-9]", word):
                 run = []
@@ -217,9 +217,9 @@ def label_scores(members: list[int], found: list[list[tuple]], texts: list[str],
 
 def too_close(label: str, other: str, query_key: str) -> bool:
     a, b = (re.sub(r"\s+", "", x).casefold() for x in (label, other))
-    x, y = ({t for t in J.tokens(v) if t != query_key} for v in (label, other))
+    x, y = ({t for t in P.tokens(v) if t != query_key} for v in (label, other))
     near = len(x & y) / min(len(x), len(y)) >= 0.5 if x and y else False
-    return a in b or b in a or near or J.dice(J.pairs_of(J.tokens(label)), J.pairs_of(J.tokens(other))) >= 0.55
+    return a in b or b in a or near or P.dice(P.grams(P.tokens(label)), P.grams(P.tokens(other))) >= 0.55
 
 
 def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str, ...]]) -> list[tuple]:

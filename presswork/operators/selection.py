@@ -18,7 +18,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import vectors as V
 from .blocks import blocks
-from .judgment import Evidence, decide_plain, features
+from . import judgment as J
 
 #: Query vectors that are broadcast at once.
 CENTRE_BLOCK = 1000
@@ -201,67 +201,58 @@ def role_picks(df: DataFrame, by: list[str], limit: int, key: str = "news_id", s
     return few.groupBy(*by).applyInPandas(pick, f"{kinds}, pick_order int")
 
 
-def staged_map(df: DataFrame, target: int, stages: str = "stage", threshold: float = L.MIN_RELEVANCE) -> DataFrame:
+def staged_map(df: DataFrame, target: int, stages: str = "stage", most: int = L.MAX_CANDIDATES) -> DataFrame:
     """The whole selection of each centre: gate, judgment against the centre, diverse picks, in stages.
 
     df: centre_id, query, centre_title, centre_description, centre_published_at, news_id, title,
-    description, published_at, score, cosine, embedding, gate (reason or null), stage (0 first). A
-    later stage is looked at only while picks are missing, and never replaces earlier picks.
+    description, published_at, score, cosine, embedding, gate (reason or null), stage (0 first); a
+    centre's candidates are at most ``most`` (with a pool_rank, those up to it). A later stage is looked
+    at only while picks are missing, and never replaces earlier picks. All judgments are joins of the articles' evidence;
+    only the greedy choice among a centre's judged candidates is a grouped function.
     Gives centre_id, news_id, outcome (picked or why not), pick_order.
     """
-    few = df.where(F.col("pool_rank") <= L.MAX_CANDIDATES) if "pool_rank" in df.columns else df
+    few = df.where(F.col("pool_rank") <= most) if "pool_rank" in df.columns else df
+    texts = ("title", "description", "published_at")
+    name = lambda *some: F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in some])
+    few = few.withColumns({"__own": name(*texts), "__centre": name(*(f"centre_{c}" for c in texts))})
+    articles = few.select(F.col("__own").alias("news"), *texts).unionByName(few.select(F.col("__centre").alias("news"), *[F.col(f"centre_{c}").alias(c) for c in texts])).dropDuplicates(["news"])
+    told = J.evidence(articles, "news")
+    judged = J.judge(few, told, "__centre", "__own", "cosine", "query")
+    state = F.when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("relation") == "repeat", "center_repeat").when(F.col("withheld"), "withheld").when(~F.col("features.is_connected"), "unconnected")
+    judged = judged.withColumn("__state", state)
+    ready = judged.where(F.col("__state").isNull()).select("centre_id", "news_id", "__own", "embedding")
+    other = ready.select(F.col("centre_id").alias("__c"), F.col("news_id").alias("by"), F.col("__own").alias("__by"), F.col("embedding").alias("__v"))
+    pairs = ready.join(other, (F.col("centre_id") == F.col("__c")) & (F.col("news_id") != F.col("by"))).withColumn("__near", V.cosine(F.col("__v"), F.col("embedding"))).select("centre_id", "news_id", "by", "__by", "__own", "__near")
+    against = J.judge(pairs, told, "__by", "__own", "__near").where((F.col("relation") == "repeat") | F.col("withheld"))
+    against = against.groupBy("centre_id", "news_id").agg(F.map_from_entries(F.collect_list(F.struct("by", F.when(F.col("withheld"), "withheld").otherwise("neighbour_repeat")))).alias("barred"))
+    rows = judged.select("centre_id", "news_id", F.col(stages).alias("stage"), "score", F.length(F.coalesce("description", F.lit(""))).alias("size"), "embedding", "__state")
+    rows = rows.join(against.withColumnsRenamed({"centre_id": "__c", "news_id": "__n"}), (F.col("centre_id") == F.col("__c")) & (F.col("news_id") == F.col("__n")), "left").drop("__c", "__n")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        first = g.iloc[0]
-        centre = Evidence(first.centre_title, first.centre_description, first.centre_published_at)
-        rows = list(g.sort_values([stages, "news_id"]).itertuples(index=False))
-        told = [Evidence(r.title, r.description, r.published_at) for r in rows]
-        unit = unit_rows([r.embedding for r in rows])
-        cosines = unit @ unit.T
-        outcome: dict[int, str] = {}
+        g = g.sort_values(["stage", "news_id"], ignore_index=True)
+        unit = unit_rows(g["embedding"].tolist())
+        cosines, ids, outcome = unit @ unit.T, g["news_id"].tolist(), g["__state"].tolist()
+        barred = [dict(x) if isinstance(x, (dict, list)) else {} for x in g["barred"]]
+        keys = list(zip(-g["score"], -g["size"], ids, strict=True))
         chosen: list[int] = []
-        ready: list[int] = []
-        for stage in sorted({r.stage for r in rows}):
-            for i, r in enumerate(rows):
-                if r.stage != stage:
-                    continue
-                f = features(centre, told[i], first["query"])
-                relation, reason = decide_plain(f, r.cosine)
-                if r.gate:
-                    outcome[i] = r.gate
-                elif relation == "repeat":
-                    outcome[i] = "center_repeat"
-                elif relation == "insufficient_evidence" and reason in ("short_text_covered", "low_overlap", "semantic_difference"):
-                    outcome[i] = "withheld"
-                elif not f[-1]:
-                    outcome[i] = "unconnected"
-                else:
-                    ready.append(i)
-
-            def blocked(picks: list[int], i: int) -> str | None:
-                for j in picks:
-                    relation, reason = decide_plain(features(told[j], told[i]), float(cosines[i, j]))
-                    if relation == "repeat":
-                        return "neighbour_repeat"
-                    if relation == "insufficient_evidence" and reason in ("short_text_covered", "low_overlap", "semantic_difference"):
-                        return "withheld"
-                return None
-
-            order = [i for i in range(len(rows)) if i in ready or i in chosen]
-            at = {i: k for k, i in enumerate(order)}
-            keys = [(-rows[i].score, -len(rows[i].description or ""), rows[i].news_id) for i in order]
-            picks, dropped = mmr_picks([rows[i].score for i in order], cosines[np.ix_(order, order)], keys, target, L.MMR_LAMBDA, lambda p, i: blocked([order[x] for x in p], order[i]), [at[i] for i in chosen])
-            chosen = [order[k] for k in picks]
-            outcome |= {order[k]: v for k, v in dropped.items()}
-            ready = [i for i in ready if i not in chosen and i not in outcome]
+        seen: list[int] = []
+        reached = -1
+        for stage in sorted(set(g["stage"])):
+            reached = stage
+            seen += [i for i in np.flatnonzero(g["stage"] == stage).tolist() if outcome[i] is None]
+            left = [i for i in seen if outcome[i] is None]
+            picks, dropped = mmr_picks([g["score"][i] for i in left], cosines[np.ix_(left, left)], [keys[i] for i in left], target, L.MMR_LAMBDA, lambda p, i, at=left: next((barred[at[i]][ids[at[j]]] for j in p if ids[at[j]] in barred[at[i]]), None), [left.index(i) for i in chosen])
+            chosen = [left[k] for k in picks]
+            for k, reason in dropped.items():
+                outcome[left[k]] = reason
             if len(chosen) >= target:
                 break
         place = {i: k + 1 for k, i in enumerate(chosen)}
-        names = [("picked" if i in place else outcome.get(i, "remaining" if i in ready else "not_reached")) for i in range(len(rows))]
-        return pd.DataFrame({"centre_id": first.centre_id, "news_id": [r.news_id for r in rows], "outcome": names, "pick_order": pd.array([place.get(i) for i in range(len(rows))], dtype="Int32")})
+        names = ["not_reached" if s > reached else "picked" if i in place else o or "remaining" for i, (o, s) in enumerate(zip(outcome, g["stage"], strict=True))]
+        return pd.DataFrame({"centre_id": g["centre_id"], "news_id": ids, "outcome": names, "pick_order": pd.array([place.get(i) for i in range(len(g))], dtype="Int32")})
 
-    kind = df.schema["centre_id"].dataType.simpleString()
-    return few.groupBy("centre_id").applyInPandas(run, f"centre_id {kind}, news_id {df.schema['news_id'].dataType.simpleString()}, outcome string, pick_order int")
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return rows.groupBy("centre_id").applyInPandas(run, f"centre_id {kind('centre_id')}, news_id {kind('news_id')}, outcome string, pick_order int")
 
 
 def selection_status(picked: Column, target: Column, reached_all: Column) -> Column:
@@ -281,4 +272,5 @@ def tier_allows(tier: Column, needed: str) -> Column:
 def distinct_issues(judged: DataFrame, batch: str = "batch") -> DataFrame:
     """Candidates that are a different event for every centre of theirs, of the first batch that has any."""
     every = judged.groupBy("news_id", batch).agg(F.bool_and(F.col("relation") == "different_event").alias("distinct")).where("distinct")
-    return every.withColumn("__first", F.min(batch).over(Window.partitionBy(F.lit(0)))).where(F.col(batch) == F.col("__first")).select("news_id", batch)
+    first = every.agg(F.min(batch).alias("__first"))
+    return every.join(F.broadcast(first), F.col(batch) == F.col("__first")).select("news_id", batch)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from presswork.functions import text as T
 from presswork.functions import udfs as U
 from presswork.functions import vectors as V
-from presswork.operators import judgment as J
+from presswork.functions import words as P
 from presswork.sources import articles as A
 from presswork.sources import html as H
 
@@ -24,7 +24,7 @@ def test_content_tokens_equal_the_plain_ones(spark):
     r = random.Random(0)
     texts = [" ".join(r.choices(WORDS, k=r.randint(0, 12))) for _ in range(60)] + ["", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.content_tokens(F.col("t")).alias("x")).collect()
-    assert [g.x for g in got] == [J.tokens(t or "") for t in texts]
+    assert [g.x for g in got] == [P.tokens(t or "") for t in texts]
 
 
 def test_bigrams_and_similarities(spark):
@@ -104,5 +104,9 @@ def test_body():
     got = H.body(page)
     assert len(got.split("\n")) == 12 and "광고" not in got and "제목" not in got
     assert H.body("<p>short</p>") == "" and H.body(None) == ""
+    assert H.body(page.replace("article_body", "x")).split("\n") == got.split("\n")  # no block: the paragraphs
+    assert H.body(page.replace("article_body", "related")) == ""  # noise is cut off with all that is in it
+    wide = f"<div id='content'><p>앞에 있는 짧은 안내 문장입니다</p><div class='story-body'>{text}</div></div>"
+    assert H.body(wide).startswith("앞에 있는") and len(H.body(wide).split("\n")) == 13  # a block around it that adds little
     labels, image = H.page_labels("<em class='media_end_categorize_item'>경제</em><em class='media_end_categorize_item'>경제</em><meta property='og:image' content='i.png'>")
     assert labels == ["경제"] and image == "i.png"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import lexicon as L
+from presswork.functions import words as P
 from presswork.operators import dedupe as D
 from presswork.operators import evidence as E
 from presswork.operators import judgment as J
@@ -23,11 +24,6 @@ T0, T1 = "2026-10-10T00:00:00Z", "2026-10-10T05:00:00Z"
 LONG = "한국은행 금융통화위원회는 이날 기준금리를 연 2.5%로 동결한다고 밝혔다. 물가 상승률이 목표 수준에 근접했다는 판단에 따른 것이다."
 
 
-def judged(a, b, cosine):
-    f = J.features(J.Evidence(*a), J.Evidence(*b))
-    return J.decide_plain(f, cosine)
-
-
 CASES = [
     ((("코스피 급등", "", T0), ("새 스마트폰 공개", "", T0), 0.99), ("different_event", "no_shared_event")),
     ((("갤럭시 S12 공개", "", T0), ("갤럭시 S13 공개", "", T0), 0.95), ("different_event", "model")),
@@ -44,31 +40,43 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("case,want", CASES)
-def test_judgment_rules(case, want):
-    assert judged(*case) == want
+def judged(spark, cases):
+    """Relation and reason of each ((article, article, cosine)) of cases."""
+    articles = [(2 * i + k, *x[k]) for i, x in enumerate(cases) for k in (0, 1)]
+    told = J.evidence(spark.createDataFrame(articles, "news_id int, title string, description string, published_at string"))
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, float(x[2])) for i, x in enumerate(cases)], "a_id int, b_id int, cosine double")
+    return [((r.relation, r.reason), r.features) for r in sorted(J.judge(pairs, told).collect(), key=lambda r: r.a_id)]
+
+
+def test_judgment_rules(spark):
+    got = judged(spark, [c for c, _ in CASES])
+    assert [x for x, _ in got] == [want for _, want in CASES]
 
 
-def test_judgment_column_equals_the_plain_rule(spark):
-    rows = [(*a, *b, c) for (a, b, c), _ in CASES]
-    names = [f"{s}_{c}" for s in "ab" for c in ("title", "description", "published_at")]
-    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", cosine double")
-    got = J.judge(df).collect()
-    assert [(r.relation, r.reason) for r in got] == [w for _, w in CASES]
-    r = random.Random(1)
-    pairs = [(r.choice(CASES)[0][0], r.choice(CASES)[0][1], r.random() / 5 + 0.8) for _ in range(40)]
-    df = spark.createDataFrame([(*a, *b, c) for a, b, c in pairs], ", ".join(f"{n} string" for n in names) + ", cosine double")
-    assert [(x.relation, x.reason) for x in J.judge(df).collect()] == [judged(a, b, c) for a, b, c in pairs]
+def test_judgment_is_directional_and_counts_what_is_new(spark):
+    short, more = ("기준금리 동결", LONG, T0), ("기준금리 동결", LONG + " 이창용 한국은행 총재는 가계부채 누증과 수도권 집값 불안이 통화 완화를 늦췄다고 밝혔다.", T1)
+    model = ("갤럭시 S12 울트라 공개", "", T0), ("갤럭시 S12 공개", "울트라 갤럭시 S12 울트라", T0)
+    (there, f), (back, g), (_, m) = judged(spark, [(short, more, 0.99), (more, short, 0.99), (*model, 0.95)])
+    assert there == ("same_event_new_info", "description_addition") and f.attributed and back == ("repeat", "repeated_information") and not g.attributed
+    assert m.anchored and not m.model_clash and f.gap_hours == 5 and f.covered < 1 == g.covered
+    empty = (None, None, None)
+    assert judged(spark, [(empty, empty, 0.99)])[0][0] == ("different_event", "no_shared_event")
 
 
-def test_figures_and_dates():
-    assert J.amount("1조 2,000억") == (1.2e12, 1e8) and J.amount("3천") == (3000.0, 1000.0)
-    a, b = J.figures("수출 1209억달러")[0], J.figures("수출 1200억달러")[0]
-    assert J.same_figure(a, b) and a[2] == "달러" and a[3] == "수출"
-    assert J.dates("10월 12일 발표, 3일간 진행") == [(None, 10, 12)] and J.same_date((None, 10, 12), (2026, None, 12))
-    assert J.targets("우유 원유 가격") == set() and "oil" in J.targets("국제 원유 가격")
-    assert J.covered("bond:us:10y", {"bond:?:10y"}) and not J.covered("bond:us:10y", {"bond:us:2y"})
-    assert J.people("이창용 한국은행 총재는") == {"이창용"} and J.people("산업통상부 장관은") == set()
+def test_figures_and_dates(spark):
+    texts = ["수출 1209억달러", "수출 1200억달러", "10월 12일 발표, 3일간 진행", "우유 원유 가격", "국제 원유 가격", "이창용 한국은행 총재는", "산업통상부 장관은", "미국의 10년물 금리", "10년물 금리", "미국 2년물", "갤럭시 탭 S12 울트라"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    row = df.select("i", J.figures(t).alias("f"), J.dates(t).alias("d"), J.targets(t).alias("k"), J.people(t).alias("p"), J.model_lines(t).alias("m")).orderBy("i").collect()
+    assert [(x.value, x.grain, x.unit, x.label, x.rounded) for x in row[0].f] == [(1209e8, 1e8, "달러", "수출", True)]
+    assert [tuple(x) for x in row[2].d] == [(None, 10, 12)] and row[3].k == [] and "oil" in [x.family for x in row[4].k]
+    assert row[5].p == ["이창용"] and row[6].p == [] and [tuple(x) for x in row[10].m] == [("s12울트라", "갤럭시탭")]
+    assert [[tuple(x) for x in row[i].k if x.family == "bond"] for i in (7, 8, 9)] == [[("bond", "us", "10")], [("bond", "?", "10")], [("bond", "us", "2")]]
+    pair = df.alias("a").join(df.alias("b")).where("a.i <= 9 and b.i <= 9").select(F.col("a.i").alias("a"), F.col("b.i").alias("b"), J.figures(F.col("a.t")).alias("x"), J.figures(F.col("b.t")).alias("y"), J.targets(F.col("a.t")).alias("p"), J.targets(F.col("b.t")).alias("q"))
+    got = {(r.a, r.b): (r.same, r.known) for r in pair.select("a", "b", F.exists("x", lambda f: F.exists("y", lambda g: J.same_figure(f, g))).alias("same"), F.exists("p", lambda k: J.covered_by(k, F.col("q"))).alias("known")).collect()}
+    assert got[0, 1][0] and got[7, 8][1] and not got[7, 9][1]
+    amounts = spark.createDataFrame([("1조 2,000억",), ("3천",), ("3천만",), ("2.5",)], "n string").select(J.amount(F.col("n")).alias("x")).collect()
+    assert [tuple(r.x) for r in amounts] == [(1.2e12, 1e8), (3000.0, 1000.0), (30_010_000.0, 10_000.0), (2.5, 0.1)]
 
 
 def test_identity_dedupe_is_first_wins(spark):
@@ -141,8 +149,8 @@ def linkage(titles, vectors, query, threshold):
     rest = vectors - np.outer(vectors @ q, q)
     rest /= np.linalg.norm(rest, axis=1, keepdims=True)
     n = len(titles)
-    grams = [J.pairs_of(J.tokens(t)) for t in titles]
-    lex = np.array([[1.0 if i == j else J.dice(grams[i], grams[j]) for j in range(n)] for i in range(n)])
+    grams = [P.grams(P.tokens(t)) for t in titles]
+    lex = np.array([[1.0 if i == j else P.dice(grams[i], grams[j]) for j in range(n)] for i in range(n)])
     sim = 0.65 * rest @ rest.T + 0.35 * lex
     groups = [[i] for i in range(n)]
     while len(groups) > 1:
