@@ -1,12 +1,16 @@
 """Ordered first-wins dedupes: rows that are dropped contribute no key.
 
-The folds run inside one array per group, ordered by position, so they need no Python and no
-second shuffle; callers bound a group (a search result is at most a few hundred rows). Dedupes
-with a single key are windows or aggregates and have no such bound.
+What a row meets depends on which rows before it stayed, so a group is read in order by one task,
+sorted by Spark's shuffle and batch by batch; a task holds the keys of the rows that stayed, never
+a group's rows. Dedupes with a single key are windows or aggregates.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +24,26 @@ def identity_keys(article_id: Column, *urls: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def _fold(df: DataFrame, by: list[str], order: list[Column], keep, remember, start: Column, kind: str) -> DataFrame:
-    """Rows of df that keep(acc, row) accepts in order; remember(acc, row) is the state after one."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    ordered = df.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    grouped = ordered.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("__at"), row.alias("row")))).alias("rows"))
-    zero = F.struct(F.array().cast(f"array<{df.schema.simpleString()}>").alias("kept"), start.cast(kind).alias("seen"))
+def kept_in_order(df: DataFrame, by: list[str], order: list[Column], reads: list[Column], judge: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Rows of df that a group's judge accepts, asked in order; judge() begins a group, its result takes
+    the values of reads (one row's) and remembers what it accepts."""
+    n, k = len(df.columns), len(by)
+    names = [*(f"__by{i}" for i in range(k)), *(f"__read{i}" for i in range(len(reads)))]
+    work = df.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(x) for c, x in zip([*map(F.col, by), *reads], names, strict=True)])
+    sort = [*names[:k], *order]
 
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.struct(F.concat(acc["kept"], F.array(x["row"])).alias("kept"), remember(acc["seen"], x["row"]).alias("seen"))
-        return F.when(keep(acc["seen"], x["row"]), taken).otherwise(acc)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, accepts = None, None
+        for batch in batches:
+            told = [c.to_pylist() for c in batch.columns[n:]]
+            keep = []
+            for values in zip(*told, strict=True):
+                if accepts is None or values[:k] != group:
+                    group, accepts = values[:k], judge()
+                keep.append(bool(accepts(*values[k:])))
+            yield batch.select(list(range(n))).filter(pa.array(keep, pa.bool_()))
 
-    return grouped.select(F.inline(F.aggregate("rows", zero, step, lambda acc: acc["kept"])))
+    return work.repartition(*names[:k]).sortWithinPartitions(*sort).mapInArrow(rows, df.schema)
 
 
 def identity_dedupe(df: DataFrame, by: list[str], order: list[Column], keys: str = "keys", seed: str | None = None, usable: str | None = None) -> DataFrame:
@@ -40,28 +52,54 @@ def identity_dedupe(df: DataFrame, by: list[str], order: list[Column], keys: str
     seed: array column of keys that count as seen (the same in a whole group); usable: boolean
     column, rows without it are passed over. An empty group stays empty.
     """
-    work = df.withColumn("__seed", F.col(seed) if seed else F.array().cast("array<string>")).withColumn("__ok", F.col(usable) if usable else F.lit(True))
-    known = lambda seen, r: F.arrays_overlap(F.concat(seen, r["__seed"]), r[keys])
-    out = _fold(work, by, order, lambda seen, r: r["__ok"] & ~F.coalesce(known(seen, r), F.lit(False)), lambda seen, r: F.concat(seen, r[keys]), F.array(), "array<string>")
-    return out.drop("__seed", "__ok")
+
+    def judge() -> Callable[..., bool]:
+        seen: set[str] = set()
+
+        def accepts(own: list[str] | None, known: list[str] | None, ok: bool) -> bool:
+            if not ok or not seen.isdisjoint(own or ()) or not set(known or ()).isdisjoint(own or ()):
+                return False
+            seen.update(own or ())
+            return True
+
+        return accepts
+
+    known = F.col(seed) if seed else F.array().cast("array<string>")
+    return kept_in_order(df, by, order, [F.col(keys), known, F.coalesce(F.col(usable), F.lit(False)) if usable else F.lit(True)], judge)
 
 
 def title_overlap_dedupe(df: DataFrame, by: list[str], order: list[Column], url: str = "url", title: str = "title", threshold: float = 0.4) -> DataFrame:
-    """First row of each url whose title tokens overlap with no kept title's by the threshold or more."""
-    work = df.withColumn("__url", F.trim(T.text_or_empty(F.col(url)))).withColumn("__tokens", T.title_tokens(F.col(title)))
-    near = lambda seen, r: F.exists(seen, lambda s: (s["url"] == r["__url"]) | (T.overlap(s["tokens"], r["__tokens"]) >= threshold))
-    mark = lambda seen, r: F.concat(seen, F.array(F.struct(r["__url"].alias("url"), r["__tokens"].alias("tokens"))))
-    out = _fold(work, by, order, lambda seen, r: (r["__url"] != "") & ~near(seen, r), mark, F.array(), "array<struct<url:string,tokens:array<string>>>")
-    return out.drop("__url", "__tokens")
+    """First row of each url whose title tokens overlap with no kept title's by the threshold or more.
+
+    Kept titles are listed by token, so a title meets those alone that share one with it.
+    """
+
+    def judge() -> Callable[..., bool]:
+        urls: set[str] = set()
+        sizes: list[int] = []
+        listed: dict[str, list[int]] = defaultdict(list)
+
+        def accepts(address: str, tokens: list[str]) -> bool:
+            common = Counter(i for t in tokens for i in listed.get(t, ()))
+            if not address or address in urls or any(c / min(len(tokens), sizes[i]) >= threshold for i, c in common.items()):
+                return False
+            urls.add(address)
+            for t in tokens:
+                listed[t].append(len(sizes))
+            sizes.append(len(tokens))
+            return True
+
+        return accepts
+
+    return kept_in_order(df, by, order, [F.trim(T.text_or_empty(F.col(url))), T.title_tokens(F.col(title))], judge)
 
 
 def url_or_title_dedupe(df: DataFrame, by: list[str], order: list[Column], url_key: str = "url_key", title_key: str = "title_key", least: int = 12) -> DataFrame:
     """First row by url key, and by title key where that is long enough to tell articles apart."""
     u = F.when(F.col(url_key) != "", F.concat(F.lit("u:"), F.col(url_key)))
     t = F.when(F.length(title_key) >= least, F.concat(F.lit("t:"), F.col(title_key)))
-    work = df.withColumn("__keys", F.array_compact(F.array(u, t)))
-    seen_one = lambda seen, r: F.coalesce(F.arrays_overlap(seen, r["__keys"]), F.lit(False))
-    return _fold(work, by, order, lambda seen, r: ~seen_one(seen, r), lambda seen, r: F.concat(seen, r["__keys"]), F.array(), "array<string>").drop("__keys")
+    free = "__keys"
+    return identity_dedupe(df.withColumn(free, F.array_compact(F.array(u, t))), by, order, free).drop(free)
 
 
 def first_by_key(df: DataFrame, key: Column, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,14 +6,15 @@ parsed with explicit schemas. A failed parse is a status, never a made-up report
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs as U
-from .blocks import blocks
 
 #: Fixed values. Most claims, stocks, arguments a target, characters of a reason and of a note.
 MAX_CLAIMS, MAX_STOCKS, MAX_ARGUMENTS, MAX_REASON, NOTE_TARGET = 12, 6, 2, 80, 120
@@ -130,13 +131,47 @@ def check_quotes(claims: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
 def loose_quotes(quotes: DataFrame, bodies: DataFrame, quote: str, body: str) -> DataFrame:
     """Pairs of bodies and quotes that stand in them, white space aside.
 
-    quotes is a stated query set: its size is measured, and it is broadcast in blocks of about
-    QUOTE_BYTES. Both sides are collapsed once, before the join.
+    quotes is a stated query set: it goes through the driver in blocks of about QUOTE_BYTES, and each
+    block is one automaton that reads every body once, however many quotes it holds. What it finds is joined by
+    the quote.
     """
     q = quotes.withColumn("__quote", T.collapse(F.col(quote))).where("__quote <> ''")
     b = bodies.withColumn("__body", T.collapse(F.col(body)))
-    pairs = [b.join(F.broadcast(some), F.col("__body").contains(F.col("__quote"))) for some in blocks(q, F.octet_length("__quote"), QUOTE_BYTES, F.col("__quote"))]
-    return reduce(DataFrame.unionByName, pairs).drop("__quote", "__body")
+    every = [b.withColumn("__found", quotes_in(some)("__body")) for some in text_blocks(q.select("__quote").distinct(), QUOTE_BYTES)]
+    if not every:
+        return b.join(q, F.lit(False)).drop("__quote", "__body")
+    found = reduce(DataFrame.unionByName, [x.where(F.size("__found") > 0).withColumn("__hit", F.explode("__found")) for x in every])
+    return found.join(q, F.col("__hit") == F.col("__quote")).drop("__quote", "__body", "__found", "__hit")
+
+
+def text_blocks(texts: DataFrame, most: int) -> Iterator[list[str]]:
+    """A column of texts, in lists of about most bytes each."""
+    block, held = [], 0
+    for row in texts.toLocalIterator():
+        block.append(row[0])
+        held += len(row[0].encode())
+        if held >= most:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def quotes_in(quotes: list[str]) -> Callable[[str], Column]:
+    """Function column: the quotes that a text holds."""
+
+    @F.pandas_udf("array<string>")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in quotes:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for texts in parts:
+            yield pd.Series([sorted({x for _, x in automaton.iter(t or "")}) for t in texts])
+
+    return found
 
 
 def usable_verdicts(verdicts: DataFrame, by: list[str]) -> DataFrame:

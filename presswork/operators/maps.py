@@ -29,27 +29,24 @@ def descendants(nodes: DataFrame, depth: int | None = None, map_id: str = "map_i
     Semi-naive: each round joins only what the last one found, so a tree of n levels takes n joins.
     """
     edges = nodes.where(F.col(parent).isNotNull()).select(F.col(map_id).alias("m"), F.col(parent).alias("p"), F.col(node).alias("c"))
-    spark = nodes.sparkSession
-    nodes.select(map_id, node).createOrReplaceTempView("__map_nodes")
-    edges.createOrReplaceTempView("__map_edges")
     bound = f"AND w.level < {depth}" if depth is not None else ""
-    return spark.sql(f"""
+    return nodes.sparkSession.sql(f"""
         WITH RECURSIVE walk(map_id, root, node_id, level) AS (
-            SELECT {map_id}, {node}, {node}, 0 FROM __map_nodes
+            SELECT m, n, n, 0 FROM {{nodes}}
             UNION ALL
-            SELECT w.map_id, w.root, e.c, w.level + 1 FROM walk w JOIN __map_edges e ON w.map_id = e.m AND w.node_id = e.p {bound})
-        SELECT map_id, root, node_id, level FROM walk""")
+            SELECT w.map_id, w.root, e.c, w.level + 1 FROM walk w JOIN {{edges}} e ON w.map_id = e.m AND w.node_id = e.p {bound})
+        SELECT map_id, root, node_id, level FROM walk""", nodes=nodes.select(F.col(map_id).alias("m"), F.col(node).alias("n")), edges=edges)
 
 
 def ancestors(chain: DataFrame, row_id: str = "map_id", previous: str = "previous_map_id", most: int = MAX_MAPS) -> DataFrame:
     """map_id, ancestor, distance: the maps that came before each map."""
-    chain.select(F.col(row_id).alias("id"), F.col(previous).alias("prev")).createOrReplaceTempView("__map_chain")
+    links = chain.select(F.col(row_id).alias("id"), F.col(previous).alias("prev")).where("prev IS NOT NULL")
     return chain.sparkSession.sql(f"""
         WITH RECURSIVE back(map_id, ancestor, distance) AS (
-            SELECT id, prev, 1 FROM __map_chain WHERE prev IS NOT NULL
+            SELECT id, prev, 1 FROM {{links}}
             UNION ALL
-            SELECT b.map_id, c.prev, b.distance + 1 FROM back b JOIN __map_chain c ON b.ancestor = c.id WHERE c.prev IS NOT NULL AND b.distance < {most})
-        SELECT map_id, ancestor, distance FROM back""")
+            SELECT b.map_id, c.prev, b.distance + 1 FROM back b JOIN {{links}} c ON b.ancestor = c.id WHERE b.distance < {most})
+        SELECT map_id, ancestor, distance FROM back""", links=links)
 
 
 def map_step(state: dict, row: dict) -> dict:

@@ -7,6 +7,7 @@ that a rank filter has let through before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import vectors as V
-from .blocks import blocks
 from . import judgment as J
 
 #: Query vectors that are broadcast at once.
@@ -85,19 +85,54 @@ def top_by_relevance(df: DataFrame, by: list[str], limit: int, score: str = "sco
 
 
 def vector_top_k(every: DataFrame, centres: DataFrame, k: int, vector: str = "embedding", row_id: str = "vec_id", dims: int = 64) -> DataFrame:
-    """centre, row_id, cosine, rank: the k nearest of each centre, itself excluded.
+    """centre, row_id, cosine, rank: the k nearest of each centre, itself excluded; ties by row_id.
 
-    centres is a stated query set: it is counted and broadcast in blocks of CENTRE_BLOCK against
-    all rows; each task keeps its best before the ranks are taken.
+    centres is a stated query set: it goes through the driver in blocks of CENTRE_BLOCK, each block is
+    multiplied with all rows batch by batch, and a task hands on its k best of each centre only.
     """
-    mine = centres.where(V.is_valid(F.col(vector), dims)).select(F.col(row_id).alias("centre"), F.col(vector).alias("__v"))
-    valid = every.where(V.is_valid(F.col(vector), dims))
-    parts = [valid.join(F.broadcast(some), F.col(row_id) != F.col("centre")) for some in blocks(mine, F.lit(1), CENTRE_BLOCK, F.col("centre"))]
-    scored = reduce(DataFrame.unionByName, parts).select("centre", row_id, V.cosine(F.col(vector), F.col("__v")).alias("cosine"))
+    centres = centres.where(V.is_valid(F.col(vector), dims)).select(F.col(row_id).alias("centre"), V.normalised(F.col(vector), dims).alias("v"))
+    valid = every.where(V.is_valid(F.col(vector), dims)).select(row_id, V.normalised(F.col(vector), dims).alias("v"))
+    kind = every.schema[row_id].dataType.simpleString()
+    schema = f"centre {kind}, `{row_id}` {kind}, cosine double"
+    parts = [valid.mapInPandas(nearest(*some, row_id, k), schema) for some in centre_blocks(centres, CENTRE_BLOCK)]
+    scored = reduce(DataFrame.unionByName, parts) if parts else valid.select(F.col(row_id).alias("centre"), row_id, F.lit(0.0).alias("cosine")).where(F.lit(False))
     w = Window.partitionBy("centre").orderBy(F.round("cosine", 12).desc(), row_id)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def centre_blocks(centres: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of at most ``most`` centres at a time."""
+    ids, rows = [], []
+    for r in centres.toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == most:
+            yield np.array(ids), np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids), np.array(rows, np.float64)
+
+
+def nearest(ids: np.ndarray, centres: np.ndarray, row_id: str, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas: the k rows of a task that are nearest to each centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"at": np.empty(0, np.int64), row_id: ids[:0], "cosine": np.empty(0)})
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = batch[row_id].to_numpy()
+            score = np.clip(centres @ np.array(batch["v"].tolist(), np.float64).T, -1.0, 1.0)
+            score[ids[:, None] == own[None, :]] = -2.0
+            bar = np.partition(score, -k, axis=1)[:, -k, None] - 1e-12 if score.shape[1] > k else -1.5
+            at, col = np.nonzero((score >= bar) & (score > -1.5))
+            best = pd.concat([best, pd.DataFrame({"at": at, row_id: own[col], "cosine": score[at, col]})], ignore_index=True)
+            best = best.iloc[np.lexsort((best[row_id], -best["cosine"].round(12), best["at"]))].groupby("at", sort=False).head(k)
+        yield pd.DataFrame({"centre": ids[best["at"].to_numpy(np.int64)], row_id: best[row_id].to_numpy(), "cosine": best["cosine"].to_numpy()})
+
+    return run
+
+
 def route(occurrence: Column, contribution: Column, helpfulness: Column) -> Column:
     """struct<bucket, reason, role> from a candidate's answer probabilities (maps)."""
     useful = reduce(lambda a, b: a + b, [contribution[k] for k in L.USEFUL_ROLES])

@@ -27,7 +27,7 @@ def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(doc_id.alias("doc_id"), "news_id", F.col("source.name").alias("source_name"), F.col("source.domain").alias("domain"), "language", F.unix_seconds("published_at").alias("published"))
 
 
-BODY = r"trim(regexp_replace(array_to_string(string_split(text, chr(10))[2:1001], ' '), '\s+', ' ', 'g'))"
+BODY = r"trim(regexp_replace(array_to_string(string_split(text, chr(10))[2:], ' '), '\s+', ' ', 'g'))"
 TITLE = r"trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))"
 
 
@@ -48,8 +48,8 @@ def shared_title_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("conv_id", "turn", F.array_join(A.shared_tokens(F.col("a"), F.col("b")), ",").alias("shared"))
 
 
-@plans.add("""SELECT doc_id, md5(substr(CASE WHEN trim(array_to_string(string_split(text, chr(10))[2:1001], ' ')) <> '' THEN trim(array_to_string(string_split(text, chr(10))[2:1001], ' ')) ELSE split_part(text, chr(10), 1) END, 1, 120)) AS cut_md5,
-    md5(split_part(text, chr(10), 1) || '|' || array_to_string(string_split(text, chr(10))[2:1001], ' ')) AS cache_key FROM documents""")
+@plans.add("""SELECT doc_id, md5(substr(CASE WHEN trim(array_to_string(string_split(text, chr(10))[2:], ' ')) <> '' THEN trim(array_to_string(string_split(text, chr(10))[2:], ' ')) ELSE split_part(text, chr(10), 1) END, 1, 120)) AS cut_md5,
+    md5(split_part(text, chr(10), 1) || '|' || array_to_string(string_split(text, chr(10))[2:], ' ')) AS cache_key FROM documents""")
 def summary_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     a = SRC.article_view(table(spark, sf, "documents"))
     return a.select("doc_id", F.md5(A.summary_or_cut(F.lit(None).cast("string"), F.col("title"), F.col("description"))).alias("cut_md5"), A.summary_key(F.col("title"), F.col("description")).alias("cache_key"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import maps as M
 from ..operators import state as S
 from ..operators import tracking as K
-from ..sources.tables import table
+from ..sources.tables import shared_dir, table
 from ..streaming import state as W
 from .registered import Plans
 
@@ -119,8 +118,7 @@ def hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """All that a stream gives of what is there now, written to the session's shared folder and read back."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="presswork-")
-    base = f"{where}/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

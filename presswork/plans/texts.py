@@ -134,7 +134,7 @@ def category_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plans.add("""SELECT doc_id, md5(CASE WHEN t = '' AND d = '' THEN '' ELSE 'Title: ' || t || chr(10) || 'Description: ' || d END) AS map_text_md5, news_id, published_at FROM (
-    SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 500) AS t, substr(array_to_string(string_split(text, chr(10))[2:1001], ' '), 1, 6000) AS d,
+    SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 500) AS t, substr(array_to_string(string_split(text, chr(10))[2:], ' '), 1, 6000) AS d,
       substr(md5('https://' || source || '.example.com/' || doc_id), 1, 12) AS news_id, strftime(make_timestamp((1767225600 + doc_id * 600) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS published_at FROM documents)""")
 def article_texts(spark: SparkSession, sf: str) -> DataFrame:
     a = A.article_view(table(spark, sf, "documents"))

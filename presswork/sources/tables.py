@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
+
+    Only where it is unset and one machine does all (local tests) a temporary folder serves; on a
+    cluster executors wouldn't see each other's files there, so it is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="presswork-")

@@ -59,17 +59,22 @@ def split_bad(batch: DataFrame, raw: str, schema: str) -> tuple[DataFrame, DataF
     return parsed.where("__ok").select("__m.*"), parsed.where(~F.col("__ok")).select(*batch.columns)
 
 
-def once_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that adds rows whose key is not stored; a repeated batch adds nothing."""
+def once_sink(path: str, key: str, slots: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that adds rows whose key is not stored; a repeated batch adds nothing.
 
-    def write(batch: DataFrame, _: int) -> None:
+    Rows are stored by slot (of the key's hash) and batch. A batch reads only its own slots, of the
+    batches before it, and overwrites what an earlier try of it left.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(path)
+        own = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+        fresh = batch.dropDuplicates([key]).withColumns({"slot": own, "batch": F.lit(number).cast("long")})
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            met = [r[0] for r in fresh.select("slot").distinct().collect()]  # at most ``slots``
+            stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("slot").isin(met) & (F.col("batch") < number))
+            fresh = fresh.join(stored.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(path)
 
     return write

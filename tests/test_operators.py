@@ -17,7 +17,6 @@ from presswork.operators import maps as M
 from presswork.operators import selection as S
 from presswork.operators import state as Q
 from presswork.operators import tracking as T
-from presswork.operators.blocks import blocks
 from presswork.sources import sinks
 
 T0, T1 = "2026-10-10T00:00:00Z", "2026-10-10T05:00:00Z"
@@ -258,11 +257,30 @@ def test_entry_days_by_bisection(spark):
     assert got == {d: (k if (k := bisect.bisect_right(days, d)) < len(days) else None) for d in at}
 
 
-def test_blocks_cover_all(spark):
-    df = spark.range(500).withColumn("s", F.lit(10))
-    some = blocks(df, F.col("s"), 1000, F.col("id"))
-    assert len(some) == 5 and sorted(x.id for b in some for x in b.collect()) == list(range(500))
-    assert len(blocks(df.limit(0), F.col("s"), 1000, F.col("id"))) == 1
+def test_vector_top_k_of_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(S, "CENTRE_BLOCK", 4)
+    r = np.random.default_rng(8)
+    v = np.repeat(r.standard_normal((40, 6)), 3, axis=0)  # ties by the row's id
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(120)] + [(500, None), (501, [0.0] * 6)], "vec_id int, embedding array<double>").repartition(5)
+    got = sorted((x.centre, x["rank"], x.vec_id) for x in S.vector_top_k(df, df.where("vec_id % 11 = 0"), 5, dims=6).collect())
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(c, k + 1, i) for c in range(0, 120, 11) for k, i in enumerate(sorted((i for i in range(120) if i != c), key=lambda i: (-round(float(u[c] @ u[i]), 12), i))[:5])]
+    assert got == sorted(want)
+    assert S.vector_top_k(df, df.where("vec_id < 0"), 5, dims=6).count() == 0
+
+
+def test_loose_quotes(spark, monkeypatch):
+    monkeypatch.setattr(E, "QUOTE_BYTES", 6)
+    q = spark.createDataFrame([(1, "ab  cd"), (2, "ab cd"), (3, "b c"), (4, " "), (5, None), (6, "zz")], "q int, quote string")
+    b = spark.createDataFrame([(1, "x ab\ncd y"), (2, None), (3, "xab cdz ab cd"), (4, "none")], "b int, body string")
+    assert sorted((x.b, x.q) for x in E.loose_quotes(q, b, "quote", "body").collect()) == [(i, k) for i in (1, 3) for k in (1, 2, 3)]
+    assert E.loose_quotes(q.where("q = 4"), b, "quote", "body").count() == 0
+
+
+def test_trees_of_two_calls_dont_mix(spark):
+    a = M.descendants(spark.createDataFrame([(1, 1, None), (1, 2, 1)], "map_id int, node_id int, parent_id int"))
+    b = M.descendants(spark.createDataFrame([(2, 7, None)], "map_id int, node_id int, parent_id int"))
+    assert a.count() == 3 and b.count() == 1 and not [t.name for t in spark.catalog.listTables() if "map" in t.name]
 
 
 def test_sinks(spark, tmp_path):

@@ -38,4 +38,6 @@ def test_bad_messages_and_sink(spark, tmp_path):
     write = W.once_sink(str(tmp_path / "out"), "id")
     write(good, 0)
     write(good, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    write(good.unionByName(spark.createDataFrame([(3,)], "id int")), 1)
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.batch) for r in stored.collect()) == [(1, 0), (2, 0), (3, 1)]
