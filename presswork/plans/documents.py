@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import articles as A
@@ -102,31 +102,63 @@ def cached_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return A.with_cached_vectors(p, cache).select("page_id", "url", "reused")
 
 
-@plans.add()
+@plans.add("""WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS tm, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    f AS (SELECT user_id, n, event_id, false AS hit, tm + CASE WHEN ok THEN 60 ELSE 5 END AS ends FROM r WHERE n = 1 UNION ALL
+      SELECT r.user_id, r.n, r.event_id, f.ends > r.tm, CASE WHEN f.ends > r.tm THEN f.ends ELSE r.tm + CASE WHEN r.ok THEN 60 ELSE 5 END END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+    SELECT event_id, hit FROM f""")
 def cache_reads(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return S.cache_replay(e).select("event_id", "hit")
 
 
-@plans.add()
+JOBS = """WITH RECURSIVE r AS (SELECT event_id, event_id // 20 AS job, event_id::DOUBLE AS tm, ['claim', 'heartbeat', 'cancel', 'claim', 'succeeded'][event_id % 5 + 1] AS c, user_id % 2 AS worker FROM events),
+    f AS (SELECT job, -1::BIGINT AS event_id, 'queued' AS status, '' AS outcome, 0::DOUBLE AS lease, 0 AS starts, -1::BIGINT AS owner, 1e18 AS deadline, job * 20 - 1 AS last FROM (SELECT DISTINCT job FROM r)
+      UNION ALL SELECT job, id, CASE WHEN ended THEN st WHEN c = 'claim' THEN CASE WHEN lease > tm THEN st WHEN starts >= 2 THEN 'failed' WHEN st = 'cancel_requested' THEN st ELSE 'running' END WHEN c = 'cancel' THEN CASE WHEN st = 'queued' THEN 'cancelled' ELSE 'cancel_requested' END
+          WHEN owner <> worker OR lease <= tm OR c = 'heartbeat' THEN st WHEN st = 'cancel_requested' THEN 'cancelled' ELSE c END,
+        CASE WHEN ended THEN 'ended' WHEN c = 'claim' AND lease > tm THEN 'busy' WHEN c = 'claim' AND starts >= 2 THEN 'worker_lost' WHEN c IN ('heartbeat', 'succeeded') AND (owner <> worker OR lease <= tm) THEN 'lease_lost' ELSE 'ok' END,
+        CASE WHEN NOT ended AND ((c = 'claim' AND lease <= tm AND starts < 2) OR (c = 'heartbeat' AND owner = worker AND lease > tm)) THEN tm + 60 ELSE lease END,
+        CASE WHEN NOT ended AND c = 'claim' AND lease <= tm AND starts < 2 THEN starts + 1 ELSE starts END, CASE WHEN NOT ended AND c = 'claim' AND lease <= tm AND starts < 2 THEN worker ELSE owner END,
+        CASE WHEN NOT ended AND c = 'claim' AND lease <= tm AND starts < 2 AND deadline = 1e18 THEN tm + 1800 ELSE deadline END, id
+      FROM (SELECT *, st IN ('succeeded', 'partial', 'failed', 'cancelled') AS ended FROM (SELECT f.job, r.event_id AS id, r.tm, r.c, r.worker, f.lease, f.starts, f.owner, f.deadline, CASE WHEN f.status NOT IN ('succeeded', 'partial', 'failed', 'cancelled') AND r.tm >= f.deadline THEN 'failed' ELSE f.status END AS st
+        FROM f JOIN r ON r.job = f.job AND r.event_id = f.last + 1)))
+    SELECT event_id, status, outcome FROM f WHERE event_id >= 0"""
+
+
+@plans.add(JOBS)
 def job_commands(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("claim", "heartbeat", "cancel", "claim", "succeeded")]), (F.col("event_id") % 5 + 1).cast("int"))
     e = table(spark, sf, "events").select("event_id", F.concat(F.lit("j"), F.floor(F.col("event_id") / 20)).alias("job_id"), F.col("event_id").cast("double").alias("at"), kind.alias("command"), (F.col("user_id") % 2).cast("string").alias("worker"))
     return S.jobs(e).select("event_id", "status", "outcome")
 
 
-@plans.add()
+SESSIONS = """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS tm, ['create', 'view', 'expand', 'touch', 'collapse'][event_id % 5 + 1] AS c, event_type AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS code, 0::DOUBLE AS ends, []::VARCHAR[] AS viewed FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT r.user_id, r.n, r.event_id, CASE WHEN f.ends > r.tm OR r.c = 'create' THEN 200 ELSE 404 END, CASE WHEN f.ends > r.tm OR r.c = 'create' THEN r.tm + 86400 ELSE f.ends END,
+        CASE WHEN f.ends > r.tm AND r.c = 'view' THEN list_append(list_filter(f.viewed, lambda x: x <> r.item), r.item)[-50:] WHEN f.ends <= r.tm AND r.c = 'create' THEN [] ELSE f.viewed END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+    SELECT event_id, code, CASE WHEN code = 200 THEN len(viewed)::INT ELSE 0 END AS n_viewed FROM f WHERE n > 0"""
+
+
+@plans.add(SESSIONS)
 def session_commands(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("create", "view", "expand", "touch", "collapse")]), (F.col("event_id") % 5 + 1).cast("int"))
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("sid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("command"), F.col("event_type").alias("item"))
     return S.sessions(e).select("event_id", "code", F.size(F.coalesce("viewed", F.array().cast("array<string>"))).alias("n_viewed"))
 
 
-@plans.add()
+MAPS = """WITH RECURSIVE r AS (SELECT l_orderkey AS map_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE WHEN l_linenumber = 1 THEN 'create' WHEN l_linenumber % 3 = 0 THEN 'research' ELSE 'expand' END AS c, l_linenumber - 1 AS expected, list_filter(list_distinct([l_partkey, l_suppkey]), lambda x: x <> l_orderkey) AS found,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+    f AS (SELECT map_id, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS code, 0::BIGINT AS rev, []::BIGINT[] AS below FROM (SELECT DISTINCT map_id FROM r)
+      UNION ALL SELECT r.map_id, r.n, r.seq, CASE WHEN r.c = 'create' THEN CASE WHEN f.rev > 0 THEN 'exists' ELSE 'ok' END WHEN f.rev = 0 THEN 'missing' WHEN r.expected <> f.rev THEN 'revision_conflict' ELSE 'ok' END,
+        CASE WHEN r.c = 'create' AND f.rev = 0 THEN 1 WHEN r.c <> 'create' AND f.rev > 0 AND r.expected = f.rev THEN f.rev + 1 ELSE f.rev END,
+        CASE WHEN r.c = 'create' AND f.rev = 0 THEN r.found WHEN r.c = 'create' OR f.rev = 0 OR r.expected <> f.rev THEN f.below WHEN r.c = 'research' THEN r.found ELSE list_distinct(list_concat(f.below, r.found)) END FROM f JOIN r ON r.map_id = f.map_id AND r.n = f.n + 1)
+    SELECT map_id, seq, code, rev AS revision, CASE WHEN rev = 0 THEN 0 ELSE 1 + len(below) END::INT AS nodes FROM f WHERE n > 0"""
+
+
+@plans.add(MAPS)
 def map_commands(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("l_linenumber")
     li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("map_id"), k.alias("seq"), F.when(k == 1, "create").when(k % 3 == 0, "research").otherwise("expand").alias("command"), (k - 1).alias("expected"), F.lit("n1").alias("node_id"),
+        F.col("l_orderkey").alias("map_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(k, "l_partkey", "l_suppkey")).cast("long").alias("seq"), F.when(k == 1, "create").when(k % 3 == 0, "research").otherwise("expand").alias("command"), (k - 1).alias("expected"), F.lit("n1").alias("node_id"),
         F.col("l_orderkey").cast("string").alias("article"), F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("found"),
     )
     return M.replay(li).select("map_id", "seq", "code", "revision", "nodes")

@@ -75,7 +75,17 @@ def cluster_medoids(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.medoids(table(spark, sf, "embeddings").withColumnRenamed("label", "cluster"))
 
 
-@plans.add()
+MMR = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS len FROM embeddings),
+    e AS (SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM e GROUP BY 1),
+    s AS (SELECT v.*, list_cosine_similarity(v, c) AS score FROM v JOIN c USING (label)), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 50),
+    p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / (a.len * b.len) AS cos FROM k a JOIN k b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    w AS (SELECT label, 1 AS pick_order, arg_min(vec_id, (-round(score, 12), vec_id)) AS vec_id, [arg_min(vec_id, (-round(score, 12), vec_id))] AS chosen FROM k GROUP BY label
+      UNION ALL SELECT label, pick_order + 1, pick, list_append(chosen, pick) FROM (SELECT label, pick_order, chosen, arg_min(i, (-round(0.7 * score - 0.3 * near, 12), i)) AS pick FROM (
+        SELECT w.label, w.pick_order, w.chosen, p.i, any_value(k.score) AS score, max(p.cos) AS near FROM w JOIN p ON p.label = w.label AND list_contains(w.chosen, p.j) AND NOT list_contains(w.chosen, p.i) JOIN k ON k.vec_id = p.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) WHERE pick_order < 10)
+    SELECT label, vec_id, pick_order FROM w"""
+
+
+@plans.add(MMR)
 def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
     """Ten diverse picks per label, from its fifty best by cosine to the label's centroid."""
     e = table(spark, sf, "embeddings")

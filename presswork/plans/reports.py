@@ -146,7 +146,7 @@ def evidence_budget(spark: SparkSession, sf: str) -> DataFrame:
     return E.evidence_budget(d, ["source"]).select("doc_id", "source", "budget")
 
 
-@plans.add()
+@plans.add("""WITH q AS (SELECT doc_id, coalesce(split_part(text, chr(10), 1), '') AS line FROM documents) SELECT doc_id, regexp_matches(line, '[\\p{L}\\p{N}%]') AS sentence_found FROM q""")
 def quotes_checked(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's first line as a quote of its own text, numbers uncut."""
     d = table(spark, sf, "documents")

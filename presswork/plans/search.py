@@ -12,6 +12,7 @@ from ..sources import articles as A
 from ..sources import html as H
 from ..sources.tables import table
 from .registered import Plans, sql_list
+from .texts import tokens_sql
 
 plans = Plans()
 
@@ -124,13 +125,19 @@ def html_body_extract(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", H.extract_body("html", F.lit("")).alias("body")).select("page_id", F.length("body").alias("n"), F.md5("body").alias("body_md5"))
 
 
-@plans.add()
+@plans.add("SELECT page_id, 0 AS n, false AS allowed FROM pages WHERE NOT contains(html, 'media_end_categorize_item')")
 def page_categories(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", H.page_categories("html").alias("c"))
     return p.select("page_id", F.size(F.coalesce("c.labels", F.array().cast("array<string>"))).alias("n"), A.allowed_categories(F.col("c.labels")).alias("allowed"))
 
 
-@plans.add()
+@plans.add(f"""WITH RECURSIVE p AS (SELECT page_id, trim(url) AS url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {tokens_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS t FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM p),
+    f AS (SELECT host, 0::BIGINT AS n, NULL::BIGINT AS page_id, false AS kept, []::STRUCT(url VARCHAR, t VARCHAR[])[] AS seen FROM (SELECT DISTINCT host FROM r)
+      UNION ALL SELECT host, n, page_id, fresh, CASE WHEN fresh THEN list_append(seen, {{'url': url, 't': t}}) ELSE seen END FROM (
+        SELECT r.host, r.n, r.page_id, r.url, r.t, f.seen, r.url <> '' AND len(list_filter(f.seen, lambda s: s.url = r.url OR (len(s.t) > 0 AND len(r.t) > 0 AND len(list_intersect(s.t, r.t))::DOUBLE / least(len(s.t), len(r.t)) >= 0.4))) = 0 AS fresh
+        FROM f JOIN r ON r.host = f.host AND r.n = f.n + 1))
+    SELECT page_id, host FROM f WHERE kept""")
 def greedy_title_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of each site's pages, first wins, an overlap of 0.4 or more dropped."""
     p = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))

@@ -70,18 +70,38 @@ def selection_states(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("map_id", s["status"].alias("status"), s["shortage"].alias("shortage"), M.can_find_next(F.lit("n1"), F.lit(False), F.col("status"), F.col("previous")).alias("next"))
 
 
-@plans.add()
+QUOTA = """WITH RECURSIVE r AS (SELECT event_id, event_type, user_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
+    f AS (SELECT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted, 0::BIGINT AS retry_after, 0 AS gc, 0::DOUBLE AS ge, MAP([-1::BIGINT], [{'c': 0, 'e': 0::DOUBLE}]) AS u FROM (SELECT DISTINCT event_type FROM events)
+      UNION ALL SELECT s.event_type, s.n, s.event_id, wait = 0, ceil(wait)::BIGINT, CASE WHEN wait = 0 THEN gc2 + 1 ELSE gc END, CASE WHEN wait = 0 THEN ge2 ELSE ge END,
+        CASE WHEN wait = 0 THEN map_concat(u, MAP([s.user_id], [{'c': uc + 1, 'e': ue}])) ELSE u END
+      FROM (SELECT *, greatest(CASE WHEN gc2 >= 30 THEN ge2 - tm ELSE 0 END, CASE WHEN uc >= 3 THEN ue - tm ELSE 0 END) AS wait FROM (
+        SELECT r.event_type, r.n, r.event_id, r.user_id, r.tm, f.gc, f.ge, f.u, CASE WHEN f.ge <= r.tm THEN 0 ELSE f.gc END AS gc2, CASE WHEN f.ge <= r.tm THEN r.tm + 3600 ELSE f.ge END AS ge2,
+          CASE WHEN coalesce(f.u[r.user_id].e, 0) <= r.tm THEN 0 ELSE f.u[r.user_id].c END AS uc, CASE WHEN coalesce(f.u[r.user_id].e, 0) <= r.tm THEN r.tm + 3600 ELSE f.u[r.user_id].e END AS ue
+        FROM f JOIN r ON r.event_type = f.event_type AND r.n = f.n + 1)) s)
+    SELECT event_id, accepted, retry_after FROM f WHERE n > 0"""
+
+
+@plans.add(QUOTA)
 def quota_fixed_window(spark: SparkSession, sf: str) -> DataFrame:
     """At most 30 requests an hour of each event type, and 3 of a user, the window from the first accepted one."""
     e = _events(spark, sf).select("event_id", F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("user"), (F.unix_micros("ts") / 1e6).alias("at"))
     return S.quota(e, {"": 30, "user": 3}).select("event_id", "accepted", "retry_after")
 
 
-@plans.add()
+BUDGET = """WITH RECURSIVE r AS (SELECT event_id, event_type, user_id, epoch_us(ts) / 1e6 AS tm, floor((epoch_us(ts) / 1e6 + 32400) / 86400) AS day, event_id % 3 + 1 AS units, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
+    f AS (SELECT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, '' AS status, 0::BIGINT AS retry_after, -1::DOUBLE AS day, 0::BIGINT AS used, MAP([-1::BIGINT], [0::BIGINT]) AS jobs FROM (SELECT DISTINCT event_type FROM events)
+      UNION ALL SELECT event_type, n, event_id, status, CASE WHEN status = 'daily_exceeded' THEN greatest(1, ceil((d + 1) * 86400 - 32400 - tm))::BIGINT ELSE 0 END, CASE WHEN status = 'charged' THEN d ELSE day END, CASE WHEN status = 'charged' THEN u + units ELSE used END,
+        CASE WHEN status = 'charged' THEN map_concat(jobs, MAP([user_id], [j + units])) ELSE jobs END
+      FROM (SELECT *, CASE WHEN j + units > 32 THEN 'job_exceeded' WHEN u + units > 80 THEN 'daily_exceeded' ELSE 'charged' END AS status FROM (
+        SELECT r.event_type, r.n, r.event_id, r.user_id, r.tm, r.units, r.day AS d, f.day, f.used, f.jobs, coalesce(f.jobs[r.user_id], 0) AS j, CASE WHEN f.day = r.day THEN f.used ELSE 0 END AS u FROM f JOIN r ON r.event_type = f.event_type AND r.n = f.n + 1)))
+    SELECT event_id, status, retry_after FROM f WHERE n > 0"""
+
+
+@plans.add(BUDGET)
 def budget_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Units charged to a day and a job in order, denied ones not counted."""
-    e = _events(spark, sf).select("event_id", F.lit("all").alias("ledger"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 3 + 1).alias("units"))
-    return S.budget(e, daily=400, per_job=32).select("event_id", "status", "retry_after")
+    """Units charged to a day and a job of each ledger in order, denied ones not counted."""
+    e = _events(spark, sf).select("event_id", F.col("event_type").alias("ledger"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 3 + 1).alias("units"))
+    return S.budget(e, daily=80, per_job=32).select("event_id", "status", "retry_after")
 
 
 WRITES = """WITH RECURSIVE w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END AS expected FROM events),
@@ -129,11 +149,22 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@plans.add("SELECT event_id, user_id FROM events")
+@plans.add("SELECT DISTINCT user_id, event_type FROM events")
 def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
-    """Events by a stream, each id once within two minutes of event time."""
-    s = W.deduplicated(_event_stream(spark, sf), "event_id", "ts")
-    return _drained(spark, s.select("event_id", "user_id"), "dedup")
+    """Users' kinds of events by a stream, each once within a window longer than the table."""
+    e = _event_stream(spark, sf).withColumn("pair", F.concat_ws("/", "user_id", "event_type"))
+    return _drained(spark, W.deduplicated(e, "pair", "ts", 40 * 86400).select("user_id", "event_type"), "dedup")
+
+
+@plans.add("""WITH r AS (SELECT event_id, user_id, event_id::DOUBLE AS tm, [200, 429, 500, 404][event_id % 4 + 1] AS code, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, min(event_id) OVER (PARTITION BY user_id) AS began FROM events)
+    SELECT event_id, CASE WHEN tm - began >= 2000 THEN 'expired' WHEN code = 200 THEN 'done' WHEN code IN (429, 500) THEN 'requeued' ELSE 'failed' END AS fate,
+      (count(*) FILTER (code = 429 AND tm - began < 2000) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::INT AS key_index FROM r""")
+def retry_fates(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each attempt of a job, and which provider key it has come to."""
+    codes = F.array(*[F.lit(x) for x in (200, 429, 500, 404)])
+    code = F.element_at(codes, (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("job_id"), F.col("event_id").cast("double").alias("at"), F.lit("x").alias("item"), code.alias("code"), code.isin(429, 500).alias("retryable"))
+    return S.retry_queue(e, seconds=2000).select("event_id", "fate", "key_index")
 
 
 @plans.add(WRITES)

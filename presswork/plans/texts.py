@@ -157,17 +157,37 @@ def date_formats(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", A.rfc822(rfc).cast("timestamp_ntz").alias("parsed"), F.try_to_timestamp(short, F.lit("yyyyMMdd'T'HHmmssX")).cast("timestamp_ntz").alias("compact_parsed"))
 
 
-@plans.add()
+URLS = """WITH u AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS q FROM pages),
+    k AS (SELECT *, list_sort(list_filter(q, lambda x: contains(x, '=') AND split_part(x, '=', 2) <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid'))) AS few,
+      list_sort(list_filter(q, lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'source'))) AS wide FROM u)
+    SELECT page_id, lower(scheme) || '://' || lower(host) || rtrim(path, '/') || CASE WHEN len(few) > 0 THEN '?' || array_to_string(few, '&') ELSE '' END AS canonical,
+      regexp_replace(lower(host), '^(www|m)[.]', '') || CASE WHEN rtrim(path, '/') = '' THEN path ELSE rtrim(path, '/') END || CASE WHEN len(wide) > 0 THEN '?' || array_to_string(wide, '&') ELSE '' END AS host_key FROM k"""
+
+
+@plans.add(URLS)
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", U.canonical_url("url").alias("canonical"), U.host_url_key("url").alias("host_key"))
 
 
-@plans.add()
+#: For texts without entities, tags, compatibility forms and press tags, as the table's are.
+CLEAN = r"""WITH c AS (SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c FROM documents),
+    s AS (SELECT *, trim(regexp_replace(replace(replace(text, 's&p', 'snp'), '⋯', '...'), '\s+', ' ', 'g')) AS n FROM c)
+    SELECT doc_id, md5(c) AS clean_md5, md5(CASE WHEN ends_with(n, '...') THEN regexp_replace(n, '\s*\S*\.{3,}$', '') ELSE n END) AS normal_md5 FROM s"""
+
+
+@plans.add(CLEAN)
 def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(U.clean_text("text")).alias("clean_md5"), F.md5(U.normalise("text")).alias("normal_md5"))
 
 
-@plans.add()
+def content_tokens_sql(c: str) -> str:
+    cut = lambda w, some: f"regexp_replace({w}, '^(.{{2,}}?)({'|'.join(sorted(some, key=len, reverse=True))})$', '\\1')"
+    stem = f"CASE WHEN regexp_matches(w, '^[0-9]') THEN w ELSE {cut(cut('w', L.ENDINGS), L.PARTICLES)} END"
+    found = f"regexp_extract_all(lower(coalesce({c}, '')), '[가-힣]+|[a-z][a-z0-9+]*|[0-9]+(?:[.][0-9]+)?%?')"
+    return f"list_filter(list_transform({found}, lambda w: {stem}), lambda w: length(w) >= 2 AND NOT list_contains({sql_list(L.CONTENT_STOPWORDS)}, w))"
+
+
+@plans.add(f"SELECT doc_id, len({content_tokens_sql('text')})::BIGINT AS n, md5(array_to_string({content_tokens_sql('text')}, ' ')) AS tokens_md5 FROM documents")
 def content_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = T.content_tokens(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import documents, related, reports, search, states, texts, tracked
+from .plans import documents, drafts, judged, related, reports, search, states, texts, tracked
 
-MODULES = (related, texts, search, reports, tracked, states, documents)
+MODULES = (related, judged, texts, search, reports, drafts, tracked, states, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
