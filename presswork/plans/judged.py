@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import judgment as J
+from ..operators import keywords as K
 from ..operators import selection as S
 from ..sources.tables import table
 from .registered import Plans
@@ -178,4 +179,39 @@ def decision_checks(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", S.redundant(F.col("p")).alias("redundant"), S.is_distribution(F.when(F.col("vec_id") % 3 == 1, bad).otherwise(F.col("p")), ("redundant", "useful")).alias("valid"))
 
 
+ISSUES = ("조선소 증설", "항만 파업", "쌀값 협상", "철강 담합", "우주 발사", "백신 승인")
+UPTO = (14, 24, 31, 36, 39, 40)  # ranks at which an issue's articles end
+MENTIONS = (("삼성전자", 4, 0), ("엔비디아", 8, 1), ("테슬라", 16, 2), ("한국은행", 40, 39))
+
+
+def _keyword_map_sql() -> str:
+    topic = "CASE " + " ".join(f"WHEN r <= {n} THEN {i}" for i, n in enumerate(UPTO)) + " END"
+    names = ", ".join(f"('{n}', {m}, {k})" for n, m, k in MENTIONS)
+    titles = "[" + ", ".join(f"'{t}'" for t in ISSUES) + "]"
+    return f"""WITH a AS (SELECT label, r, ({topic} + label) % 6 AS topic FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 40), t AS (SELECT label, count(*) AS n FROM a GROUP BY 1),
+    i AS (SELECT label, {titles}[topic + 1] AS keyword, count(*) AS c, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC) AS k FROM a GROUP BY label, topic HAVING count(*) >= 2),
+    e AS (SELECT label, name AS keyword, count(*) AS c, row_number() OVER (PARTITION BY label ORDER BY count(*) * ln(1 + any_value(n) / count(*)) DESC) AS k FROM a JOIN t USING (label) JOIN (VALUES {names}) AS m(name, every, rest) ON r % every = rest GROUP BY label, name HAVING count(*) >= 2 AND count(*) <= floor(any_value(n) * 0.85)),
+    u AS (SELECT label, 0 AS part, 0 AS k, '경제' || label AS keyword, 'center' AS kind, n AS article_count FROM t UNION ALL SELECT label, 1, k, keyword, 'issue', c FROM i WHERE k <= 4 UNION ALL SELECT label, 2, k, keyword, 'entity', c FROM e WHERE k <= 4)
+    SELECT '경제' || label AS query, (row_number() OVER (PARTITION BY label ORDER BY part, k) - 1)::INT AS position, keyword, kind, CASE WHEN kind = 'center' THEN keyword ELSE '경제' || label || ' ' || keyword END AS search_query, article_count::INT AS article_count FROM u"""
+
+
+@plans.add(_keyword_map_sql())
+def keyword_map_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The map of a search for each label: its issues by size, then the names that its articles mention."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.row_number().over(S.Window.partitionBy("label").orderBy("vec_id")).alias("r")).where("r <= 40")
+    rank = F.lit(len(UPTO) - 1)
+    for i in range(len(UPTO) - 1, -1, -1):
+        rank = F.when(F.col("r") <= UPTO[i], i).otherwise(rank)
+    e = e.withColumn("topic", (rank + F.col("label")) % len(ISSUES))
+    told = F.concat_ws(" ", F.lit("소식"), *[F.when(F.col("r") % every == rest, name) for name, every, rest in MENTIONS])
+    unit = lambda at: [F.when(F.lit(i) == at, 1.0).otherwise(0.0) for i in range(8)]
+    vector = F.zip_with(F.array(*unit(F.col("topic"))), F.array(*unit(F.lit(7))), lambda x, y: x + y * (F.col("r") % 5) / 50)
+    vector = F.zip_with(vector, F.array(*unit(F.lit(6))), lambda x, y: x + y / 2)
+    articles = e.select(
+        F.concat(F.lit("경제"), F.col("label").cast("string")).alias("query"), F.array(*unit(F.lit(6))).alias("query_vector"), F.col("r").alias("search_rank"), F.col("vec_id").cast("string").alias("news_id"),
+        F.element_at(F.array(*[F.lit(t) for t in ISSUES]), (F.col("topic") + 1).cast("int")).alias("title"), told.alias("description"), vector.alias("embedding"),
+    )
+    return K.keyword_map(articles).select("query", "position", "keyword", "kind", "search_query", "article_count")
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle
