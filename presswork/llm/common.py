@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _made:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+#: Lists of the tables written within discarding() blocks that are open.
+_made: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a materialized frame that nothing will read any more."""
+    remove(df.sparkSession, df.scratch_path)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is materialized in the block at its end, but for the frames given to what it yields.
+
+    All that reads such a table has to be materialized in the block too.
+    """
+    mine: list[str] = []
+    kept: set[str] = set()
+    _made.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.remove(mine)
+        for path in mine:
+            if path not in kept:
+                remove(spark, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         now = materialize(small.where("a <> b").distinct(), "star-edges")
-        if now.count() == before.count() and now.join(before, ["a", "b"], "left_anti").isEmpty():
+        settled = now.count() == before.count() and now.join(before, ["a", "b"], "left_anti").isEmpty()
+        discard(before)
+        if settled:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -143,13 +143,16 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat
 
     mix_copy numbers a row's copies from 1, mix_taken is how many words the mix takes from this
     copy (all of them but at a tied threshold), mix_size and mix_target are the row's words and its
-    source's target. The texts are not shuffled: thresholds, a row per source, join them.
+    source's target; columns of docs of these names, in any case, are those of an earlier mix and replaced. The
+    texts are not shuffled: thresholds, a row per source, join them.
     """
     base = materialize(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     cuts = cuts_of(base, weights, max_repeats)
-    rows = docs.withColumns({"__size": size_of(text_col), "__h": hash_of(id_col, text_col)}).join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__extra", extra_words())
+    made = ("mix_copy", "mix_taken", "mix_size", "mix_target")
+    held = [c for c in docs.columns if c.lower() not in made]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"), size_of(text_col).alias("__size"), hash_of(id_col, text_col).alias("__h"), F.col(source_col).alias("own_source"))
+    rows = rows.join(cuts, F.col("own_source").eqNullSafe(F.col("__source"))).withColumn("__extra", extra_words())
     copies = F.transform(F.sequence(F.lit(1), F.col("__copies") + 1), lambda k: F.struct(k.alias("k"), F.when(k <= F.col("__copies"), F.col("__size")).otherwise(F.col("__extra")).cast("long").alias("words")))
     rows = rows.withColumn("__copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
-    more = {"mix_copy": F.col("__copy.k").cast("long"), "mix_taken": F.col("__copy.words"), "mix_size": F.col("__size"), "mix_target": F.col("__target")}
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in more.items() if k not in docs.columns])
+    values = (F.col("__copy.k").cast("long"), F.col("__copy.words"), F.col("__size"), F.col("__target"))
+    return rows.select("row.*", *[v.alias(k) for k, v in zip(made, values, strict=True)])

@@ -30,6 +30,8 @@ ADDED = {
 }
 #: Cheap test that a text can hold a match of the kind at all.
 CUES = {"access": "AKIA", "pem": "PRIVATE KEY-----", "bearer": "earer "}
+#: Spans that are gathered before they are set aside.
+RUN = 256
 #: A value held by more owners than this is a copied example, as is one in more repositories.
 MAX_LIVE_OWNERS = 1
 MAX_LIVE_REPOSITORIES = 5
@@ -41,16 +43,19 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
     parts = F.arrays_zip(between.alias("gap"), whole.alias("hit"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"), F.array().cast("array<array<struct<kind:string,start:int,end:int,value:string>>>").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
         keep = x["hit"].isNotNull() & (F.length(x["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        over = keep & (F.size(acc["out"]) >= RUN)  # appending copies a run, not all spans
+        out = F.when(over, F.array(span)).when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"), F.when(over, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"]).alias("full"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
 
 
 def ranked(spans: Column, rank: int) -> Column:
