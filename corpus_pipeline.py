@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from presswork.llm import decontamination, mixing, pii, simhash, toxicity
-from presswork.llm.common import materialize, table
+from presswork.llm.common import discarding, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage writes for itself is deleted when its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with discarding(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
