@@ -80,24 +80,22 @@ def ticker(c: Column) -> Column:
 
 def title_tokens(c: Column) -> Column:
     """Distinct lower-case letter runs of three or more characters that aren't stop words."""
-    found = F.regexp_extract_all(text_or_empty(c), F.lit(f"[A-Za-z{HANGUL}]+"), F.lit(0))
-    found = F.transform(found, F.lower)
-    stop = words(L.TITLE_STOPWORDS)
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))
+    found = F.regexp_extract_all(text_or_empty(c), F.lit(f"[A-Za-z{HANGUL}]{{3,}}"), F.lit(0))
+    return F.array_except(F.transform(found, F.lower), words(L.TITLE_STOPWORDS))
 
 
-def _stripped(word: Column, suffixes: tuple[str, ...]) -> Column:
-    """word without its longest suffix of the list, if two characters or more are left."""
+def _stripped(text: Column, suffixes: tuple[str, ...]) -> Column:
+    """text, each of its Hangul runs without its longest suffix of the list, if two characters or more are left."""
     some = "|".join(sorted(suffixes, key=len, reverse=True))
-    return F.regexp_replace(word, f"^(.{{2,}}?)(?:{some})$", "$1")
+    return F.regexp_replace(text, f"(?<![{HANGUL}])([{HANGUL}]{{2,}}?)(?:{some})(?![{HANGUL}])", "$1")
 
 
 def content_tokens(c: Column) -> Column:
     """Tokens in order, repeats kept: Hangul runs without ending and particle, latin words, numbers."""
-    found = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(rf"[{HANGUL}]+|[a-z][a-z0-9+]*|[0-9]+(?:\.[0-9]+)?%?"), F.lit(0))
-    stem = lambda w: F.when(w.rlike("^[0-9]"), w).otherwise(_stripped(_stripped(w, L.ENDINGS), L.PARTICLES))
-    stop = words(L.CONTENT_STOPWORDS)
-    return F.filter(F.transform(found, stem), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    text = _stripped(_stripped(F.lower(text_or_empty(c)), L.ENDINGS), L.PARTICLES)
+    number = r"[0-9]{2,}(?:\.[0-9]+)?%?|[0-9](?:\.[0-9]+%?|%)"  # two characters or more, as of the others
+    found = F.regexp_extract_all(text, F.lit(rf"[{HANGUL}]{{2,}}|[a-z][a-z0-9+]+|{number}"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(list(L.CONTENT_STOPWORDS)))
 
 
 def bigrams(tokens: Column) -> Column:

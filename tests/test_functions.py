@@ -23,6 +23,7 @@ def one(spark, column, **values):
 def test_content_tokens_equal_the_plain_ones(spark):
     r = random.Random(0)
     texts = [" ".join(r.choices(WORDS, k=r.randint(0, 12))) for _ in range(60)] + ["", None]
+    texts += ["".join(r.choices([*WORDS, "이다", "에서", "는", "5", "1.", "7%", ".3", "+", " ", "b", "가"], k=r.randint(1, 9))) for _ in range(300)]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.content_tokens(F.col("t")).alias("x")).collect()
     assert [g.x for g in got] == [P.tokens(t or "") for t in texts]
 
