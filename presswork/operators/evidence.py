@@ -271,6 +271,24 @@ def debate_rows(stocks: DataFrame, debate: DataFrame, by: list[str]) -> DataFram
     return joined.select(*stocks.columns, cut(F.col("__bull")).alias("bull"), cut(F.col("__bear")).alias("bear"), F.substring(F.coalesce("__verdict", "impact"), 1, 200).alias("verdict"))
 
 
+def debate_outcome(bull: Column, bear: Column, judge: Column, fallback: Column) -> Column:
+    """struct<text, basis>: the judge's word where a side was heard and it gave one, else the fallback."""
+    heard = bull.isNotNull() | bear.isNotNull()
+    judged = heard & judge.isNotNull()
+    return F.struct(F.when(judged, judge).otherwise(fallback).alias("text"), F.when(judged, "judged").when(heard, "no_judge").otherwise("no_debate").alias("basis"))
+
+
+def job_result(stored_report: Column, report: Column, stored_strategy: Column, strategy: Column) -> Column:
+    """struct<report, strategy, status> of a job: what is stored is used again, and a report stays where the strategy fails.
+
+    A strategy that is stored belongs to the stored report: it isn't used with a new one.
+    """
+    kept = F.coalesce(stored_report, report)
+    plan = F.when(stored_report.isNotNull(), F.coalesce(stored_strategy, strategy)).otherwise(strategy)
+    status = F.when(kept.isNull(), "failed").when(plan.isNull(), "partial").otherwise("succeeded")
+    return F.struct(kept.alias("report"), F.when(kept.isNotNull(), plan).alias("strategy"), status.alias("status"))
+
+
 def resolve_targets(items: DataFrame, stocks: DataFrame, by: list[str]) -> DataFrame:
     """Strategy items with their stock's name and ticker by target_index, and the draft's status."""
     joined = items.join(stocks.select(*by, F.col("position").alias("target_index"), F.col("name").alias("stock_name"), "ticker"), [*by, "target_index"], "left")

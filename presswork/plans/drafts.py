@@ -170,4 +170,16 @@ def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.when(whole, F.length("x")).when(cut, -1).alias("n"), cut.alias("longer"))
 
 
+@plans.add("""WITH k AS (SELECT event_id AS k FROM events) SELECT k AS event_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'no_debate' WHEN k % 5 = 0 THEN 'no_judge' ELSE 'judged' END AS debate, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 11 > 0 THEN 'new' ELSE '-' END AS report,
+    CASE WHEN k % 7 = 0 THEN CASE WHEN k % 4 = 0 THEN 'old' WHEN k % 13 > 0 THEN 'new' ELSE '-' END WHEN k % 11 > 0 AND k % 13 > 0 THEN 'new' ELSE '-' END AS strategy,
+    CASE WHEN k % 7 > 0 AND k % 11 = 0 THEN 'failed' WHEN k % 13 = 0 AND NOT (k % 7 = 0 AND k % 4 = 0) THEN 'partial' ELSE 'succeeded' END AS status FROM k""")
+def job_results(spark: SparkSession, sf: str) -> DataFrame:
+    """How a debate ends, and what a job keeps when parts of it are stored or fail."""
+    k = F.col("event_id")
+    some = lambda test, v: F.when(test, v)
+    d = E.debate_outcome(some(k % 2 > 0, "bull"), some(k % 3 > 0, "bear"), some(k % 5 > 0, "judge"), F.lit("impact"))
+    r = E.job_result(some(k % 7 == 0, "old"), some(k % 11 > 0, "new"), some(k % 4 == 0, "old"), some(k % 13 > 0, "new"))
+    return table(spark, sf, "events").select(k, d["basis"].alias("debate"), F.coalesce(r["report"], F.lit("-")).alias("report"), F.coalesce(r["strategy"], F.lit("-")).alias("strategy"), r["status"].alias("status"))
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle

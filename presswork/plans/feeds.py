@@ -81,6 +81,17 @@ def relevant_rows(spark: SparkSession, sf: str) -> DataFrame:
     return some.unionByName(SRC.first_available([every.where("doc_id < 0"), every]))
 
 
+@plans.add("SELECT 'gdelt' AS provider, o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'newsapi', o_orderkey FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'mock', o_orderkey FROM orders WHERE o_orderkey % 3 = 2 UNION ALL SELECT 'fallback', o_orderkey FROM orders WHERE o_orderkey % 3 = 1")
+def provider_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of the provider that is set; gdelt falls back where it has no titled article."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.lit("t").alias("title"))
+    own = {name: o.where(F.col("o_orderkey") % 3 == i) for i, name in enumerate(("gdelt", "newsapi", "mock"))}
+    untitled = own | {"gdelt": own["gdelt"].withColumn("title", F.lit(""))}
+    rows = {"gdelt": SRC.from_provider("gdelt", own), "newsapi": SRC.from_provider("newsapi", own), "mock": SRC.from_provider("naver", own, mock=True), "fallback": SRC.from_provider("gdelt", untitled)}
+    every = [df.select(F.lit(name).alias("provider"), "o_orderkey") for name, df in rows.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
 @plans.add("SELECT event_id, CASE WHEN q = 'big view' THEN 'whole' ELSE CASE WHEN q LIKE 'big %' THEN 'great ' || CASE WHEN q = 'big click' THEN 'press' ELSE split_part(q, ' ', 2) END END END AS query, CASE event_id % 4 WHEN 0 THEN event_id % 100 WHEN 1 THEN 86400 + event_id % 60 WHEN 2 THEN 3600 ELSE -1 END AS retry_after FROM (SELECT event_id, 'big ' || event_type AS q FROM events)")
 def provider_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Queries by phrase or word, and seconds that a provider asks to wait."""

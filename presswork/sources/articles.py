@@ -108,6 +108,17 @@ def first_available(sources: list[DataFrame]) -> DataFrame:
     return next((s for s in sources if not s.isEmpty()), sources[-1])
 
 
+def from_provider(provider: str, sources: dict[str, DataFrame], mock: bool = False) -> DataFrame:
+    """Articles (of one shape) of the provider that is set: its own alone, but gdelt falls back to newsapi
+    and then to the fixtures where it gives no titled article; fixtures alone where mock is set."""
+    if mock:
+        return sources["mock"]
+    if provider != "gdelt":
+        return sources[provider]
+    order = [sources["gdelt"].where("title <> ''"), *[sources[s] for s in ("newsapi", "mock") if s in sources]]
+    return first_available(order)
+
+
 def translated(query: Column, dictionary: dict[str, str]) -> Column:
     """Whole phrase, else word by word, else as it is."""
     pairs = F.create_map(*[F.lit(x) for k, v in dictionary.items() for x in (k, v)])
