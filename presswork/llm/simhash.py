@@ -339,6 +339,9 @@ ORDER_TEXTS, ORDER_SHINGLES = 10_000, 65_536
 TEXT_SLOTS = 2**20
 #: Texts that are compared with one other in a task.
 CENTRE_PAIRS = 500
+#: Texts with one shingle in their prefixes up to which their pairs are listed; those of more meet at a
+#: pivot, by what each has lost and gained against it. Columns of such differences that are multiplied at once.
+LISTED, COLUMNS = 64, 1024
 
 
 def sketches(docs: DataFrame, text_col: str) -> DataFrame:
@@ -566,46 +569,52 @@ def held_by_several(prefix: DataFrame) -> DataFrame:
 
 
 def candidates(held: DataFrame, least: float) -> DataFrame:
-    """a, b, part_a, part_b: nodes of different parts that may have a similarity of least or more.
+    """a, b, at_pivot: nodes of different parts that may have a similarity of least or more.
 
     held: key, node, n, part. Beyond the prefix that ends first a text has less than
-    at_least(least, n) shingles; what else the similarity needs must be in both prefixes.
+    at_least(least, n) shingles; what else the similarity needs must be in both prefixes. Where a key has more than
+    LISTED nodes, each of them (b) is told the key's pivot (a) instead of all others: the node of the
+    least mixed number, which is the same for most keys of a group of copies.
     """
 
-    def pairs(node: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def pairs(node: np.ndarray, n: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(n, kind="stable")
         node, n, part = node[order], n[order].astype(np.int64), part[order]
-        ends = np.searchsorted(n, np.floor(n / least + 1e-9), "right")
-        step, every = max(1, COMPARE_CELLS // len(n)), np.arange(len(n))
-        for at in range(0, len(n), step):
-            i = every[at : at + step, None]
-            x, y = np.nonzero((every > i) & (every < ends[i]) & (part != part[i]))
-            x += at
-            need = at_least(least / (1 + least), n[x] + n[y]) - at_least(least, n[y]) + 1
-            swap = node[x] > node[y]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            yield node[x], node[y], part[x], part[y], need
+        ends, every = np.searchsorted(n, np.floor(n / least + 1e-9), "right"), np.arange(len(n))
+        x, y = np.nonzero((every > every[:, None]) & (every < ends[:, None]) & (part != part[:, None]))
+        need = at_least(least / (1 + least), n[x] + n[y]) - at_least(least, n[y]) + 1
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return node[x], node[y], need
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "part_a", "part_b", "need"]
         out, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "need", "at_pivot"])
+
         for key, node, n, part in whole_runs(batches):
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             ends = np.append(first[1:], len(key))
             mixed = np.add.reduceat(part != np.repeat(part[first], ends - first), first) > 0
             for x, y in zip(first[mixed].tolist(), ends[mixed].tolist(), strict=True):
-                for found in pairs(node[x:y], n[x:y], part[x:y]):
-                    out.append(found)
-                    size += len(found[0])
-                    if size > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                        out, size = [], 0
+                some = node[x:y]
+                if y - x <= LISTED:
+                    a, b, need = pairs(some, n[x:y], part[x:y])
+                else:
+                    pivot = some[np.argmin(some.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+                    b = some[some != pivot]
+                    a, need = np.full(len(b), pivot), np.ones(len(b), np.int64)
+                out.append((a, b, need, np.full(len(a), y - x > LISTED)))
+                size += len(a)
+                if size > 50_000:
+                    yield batch()
+                    out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+            yield batch()
 
-    kind = "a long, b long, part_a long, part_b long, need long"
-    found = held.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "part").mapInArrow(rows, kind)
-    return found.groupBy("a", "b", "part_a", "part_b", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b", "part_a", "part_b")
+    found = held.repartition("key").sortWithinPartitions("key").select("key", "node", "n", "part").mapInArrow(rows, "a long, b long, need long, at_pivot boolean")
+    return found.groupBy("a", "b", "at_pivot", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("a", "b", "at_pivot")
 
 
 def texts_near(named: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -624,13 +633,12 @@ def texts_near(named: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.mapInArrow(rows, named.schema)
 
 
-def confirmed(named: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
-    """a, b: the pairs (a, b: nodes) whose texts have a similarity of least or more.
+def texts_at_centres(named: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """centre, salt, own, node, text: the text of each pair's b (node) at its a (centre), sorted, the centre's own first.
 
-    Pairs meet at their a, whose text comes once for CENTRE_PAIRS of them; so a text that very many
-    are compared with is no single task.
+    A centre's text comes once for CENTRE_PAIRS of its pairs; so a text that very many are compared
+    with is no single task.
     """
-    pairs = materialize(pairs, "pairs")
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / CENTRE_PAIRS).cast("int"))
     hot = per.where("salts > 1").select("a", "salts")
     members = pairs.join(hot, "a", "left").select(F.col("a").alias("centre"), F.pmod("b", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("b").alias("node"))
@@ -638,34 +646,142 @@ def confirmed(named: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, l
     members = centres.unionByName(members)
     wanted = nodes.join(members.select("node").distinct(), "node").select(F.col("node").alias("its_node"), "least")
     texts = texts_near(named, members).join(wanted, (F.col("node") == F.col("its_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("its_node", "text")
+    at = members.join(texts, F.col("node") == F.col("its_node")).select("centre", "salt", "own", "node", "text")
+    return at.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own"))
+
+
+def beside_centre(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """centre, node and both shingle sets of rows of texts_at_centres."""
+    last, its_set = None, np.empty(0, np.uint64)
+    for batch in batches:
+        for centre, salt, own, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own:
+                if (centre, salt) != last:
+                    last, its_set = (centre, salt), shingle_set(text, size)
+            else:
+                yield centre, node, its_set, shingle_set(text, size)
+
+
+def confirmed(named: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: the pairs (a, b: nodes) whose texts have a similarity of least or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, its_set = None, None
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for centre, salt, own, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own:
-                    if (centre, salt) != last:
-                        last, its_set = (centre, salt), shingle_set(text, size)
-                elif similar(its_set, shingle_set(text, size), least):
-                    out.append((centre, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = [(centre, node) for centre, node, x, y in beside_centre(batches, size) if similar(x, y, least)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    at = members.join(texts, F.col("node") == F.col("its_node")).select("centre", "salt", "own", "node", "text")
-    return at.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.desc("own")).mapInArrow(rows, "a long, b long").distinct()
+    return texts_at_centres(named, nodes, pairs).mapInArrow(rows, "a long, b long").distinct()
+
+
+def pivot_links(named: DataFrame, nodes: DataFrame, pairs: DataFrame, parts: DataFrame, size: int, least: float, most: int = GROUP_ROWS) -> DataFrame:
+    """a, b: links of a similarity of least or more between different parts among the b of each a (a pivot), and with it.
+
+    A text is its pivot's set less what it lost and with what it gained, so what two texts share is the pivot's size
+    less what either lost, and what both gained. Groups beyond ``most`` are dealt out as pairs of blocks.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "node", "size", "n", "lost", "gained"]
+        out: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
+
+        for pivot, node, whole, own in beside_centre(batches, size):
+            lost = np.flatnonzero(~np.isin(whole, own, assume_unique=True)).astype(np.int32)
+            gained = own[~np.isin(own, whole, assume_unique=True)]
+            out.append((pivot, node, len(whole), len(own), lost.tobytes(), gained.tobytes()))
+            held += 4 * len(lost) + 8 * len(gained)
+            if held > 4 << 20:
+                yield batch()
+                out, held = [], 0
+        if out:
+            yield batch()
+
+    at = texts_at_centres(named, nodes, pairs).mapInArrow(told, "pivot long, node long, size int, n int, lost binary, gained binary")
+    at = materialize(at.join(parts, F.col("node") == F.col("its_node"), "left").select("pivot", "node", "size", "n", "lost", "gained", F.coalesce("root", "node").alias("part")), "pivot-differences")
+    own = at.groupBy("pivot").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("members"))
+    none = F.lit(b"").cast("binary")
+    own = own.join(parts, F.col("pivot") == F.col("its_node"), "left").select("pivot", F.col("pivot").alias("node"), "size", F.col("size").alias("n"), none.alias("lost"), none.alias("gained"), F.coalesce("root", "pivot").alias("part"), "members")
+    blocks = own.where(F.col("members") > most).select(F.col("pivot").alias("hot"), F.ceil(F.col("members") / most).cast("int").alias("blocks"))
+    every = at.unionByName(own.drop("members")).join(F.broadcast(blocks), F.col("pivot") == F.col("hot"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = every.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pivot, group in runs_of_pivots(batches):
+            edges = difference_links(*group, least)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    dealt_out = every.select("pivot", cell.alias("cell"), "node", "part", "size", "n", "lost", "gained").repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "node")
+    return dealt_out.mapInArrow(rows, "a long, b long").distinct()
+
+
+def runs_of_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+    """(pivot, cell) and its rows' node, part, size, n, lost, gained."""
+    last, held = None, []
+    for batch in batches:
+        for pivot, cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (pivot, cell) != last:
+                yield last, tuple(zip(*held, strict=True))
+                held = []
+            last = pivot, cell
+            held.append(row)
+    if held:
+        yield last, tuple(zip(*held, strict=True))
+
+
+def difference_links(node: tuple, part: tuple, size: tuple, n: tuple, lost: tuple, gained: tuple, least: float) -> np.ndarray:
+    """Star edges of the links between different parts of a pivot's members, from their differences to it."""
+    node, part, n = np.array(node, np.int64), np.array(part, np.int64), np.array(n, np.int64)
+    lost = [np.frombuffer(x, np.int32) for x in lost]
+    gained = [np.frombuffer(x, np.uint64) for x in gained]
+    rows = np.repeat(np.arange(len(node)), [len(x) for x in gained])
+    known, column, times = np.unique(np.concatenate(gained), return_inverse=True, return_counts=True)
+    again = times[column] > 1
+    sizes = np.array([len(x) for x in lost], np.int64)
+    row = np.concatenate([np.repeat(np.arange(len(node)), sizes), rows[again]])
+    column = np.concatenate([np.concatenate(lost).astype(np.int64), size[0] + column[again]])
+    used, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    parts, members = np.unique(part, return_counts=True)
+    some = np.flatnonzero(part != parts[members.argmax()])  # members of the largest part needn't be compared with each other
+    step = max(1, COMPARE_CELLS // max(1, len(node)))
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(some), step):
+            x = some[at : at + step]
+            same = np.zeros((len(x), len(node)), np.float32)
+            for low in range(0, len(used), COLUMNS):
+                a, b = np.searchsorted(column, (low, low + COLUMNS))
+                has = np.zeros((len(node), min(COLUMNS, len(used) - low)), np.float32)
+                has[row[a:b], column[a:b] - low] = 1
+                same += has[x] @ has.T
+            common = size[0] - sizes[x][:, None] - sizes[None, :] + same
+            i, j = np.nonzero((common >= least * (n[x][:, None] + n[None, :] - common) - 1e-9) & (part[x][:, None] != part[None, :]))
+            yield x[i], j
+
+    return star_edges(node, least_linked(len(node), pairs()))
 
 
 def missed_links(named: DataFrame, nodes: DataFrame, parts: DataFrame, size: int, least: float) -> DataFrame:
     """a, b: pairs of similar texts of different parts (node, root); with those of one part, all links.
 
     An exact prefix join: each text is listed at the first of its shingles in one order of all,
-    and two texts at a common shingle whose sizes and common prefix allow it are compared.
+    and two texts at a common shingle whose sizes and common prefix allow it are compared. At a shingle that
+    very many texts are listed at they are compared by their differences to one of them.
     """
     prefix = prefixes(named, common_shingles(named, nodes.count(), size), size, least)
     held = materialize(held_by_several(prefix), "prefixes")
     parts = parts.select(F.col("node").alias("its_node"), "root")
     held = held.join(parts, F.col("node") == F.col("its_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
-    return confirmed(named, nodes, candidates(held, least).select("a", "b"), size, least)
+    found = materialize(candidates(held, least), "candidates")
+    pivoted = pivot_links(named, nodes, found.where("at_pivot").select("a", "b"), parts, size, least)
+    return confirmed(named, nodes, found.where("NOT at_pivot").select("a", "b"), size, least).unionByName(pivoted)
 
 
 def unique_names(docs: DataFrame, text_col: str) -> F.Column:
@@ -700,7 +816,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     nodes = table.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("a").alias("a"), F.min("b").alias("b"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(nodes, "distinct-texts")
     proposed = sketch_links(anchored_pairs(nodes), NEAR_BITS).groupBy(F.col("a").alias("member")).agg(F.min("b").alias("centre"))
-    links = materialize(confirmed(named, nodes, proposed.select(F.col("centre").alias("a"), F.col("member").alias("b")), size, similarity), "sketch-links")
+    proposed = materialize(proposed.select(F.col("centre").alias("a"), F.col("member").alias("b")), "sketch-pairs")
+    links = materialize(confirmed(named, nodes, proposed, size, similarity), "sketch-links")
     missed = materialize(missed_links(named, nodes, components(links), size, similarity), "missed-links")
     merged = materialize(components(links.unionByName(missed)), "merged-groups")
     firsts = merged.join(nodes.select("node", "least"), "node")
