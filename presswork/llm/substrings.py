@@ -14,6 +14,10 @@
    neighbour in that order, or its segment stands at several places.
 4. The repeated windows go back to every text that holds the segment.
 
+Beside this a text's shared passages are counted, as the byte rule alone misses those of over 50 short
+words: of each PASSAGE words in a row the string of ANCHOR words with the least hash is an anchor, so two
+texts that have as many words in common, in a row, have an anchor in common.
+
 Equal texts are one text with a count; a text of 400 bytes or more that stands in several rows is
 repeated whole. Defined results: a null text is empty; a text under 400 bytes keeps all; repeated
 rows are texts of their own and so remove each other; an empty table gives no row; columns other
@@ -43,6 +47,8 @@ SHARD_BYTES = 8 << 20
 ORDER_TEXTS, ORDER_LEAST, ORDER_PIECES = 10_000, 8, 65_536
 #: Pieces of which so many leading hash bits are 0 can be common.
 ORDER_BITS = 5
+#: Words of a passage that is told for certain, and of the anchors that tell it.
+PASSAGE, ANCHOR = 51, 34
 #: Symbols of a shard's text: a byte b of UTF-8 is b + 1, so that 255 ends a segment and 0 the text.
 SHIFTED = bytes((i + 1) % 256 for i in range(256))
 
@@ -107,6 +113,55 @@ def runs_of(data: bytes, length: int = LENGTH, common: np.ndarray = np.empty(0,
     return own.view(np.int64), start, count, places
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: A number for each byte, none for blanks, and one for each place in a word (the same again after 64).
+BYTES = np.where(BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+PLACES = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash."""
+    blank = BLANK[raw]
+    begins = ~blank & np.concatenate([[True], blank[:-1]])
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return first, np.empty(0, np.uint64)
+    lead = int(first[0])
+    place = np.arange(lead, len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    return first, mixed(np.add.reduceat(BYTES[raw[lead:]] * PLACES[place & 63], first - lead))
+
+
+def joined_hashes(h: np.ndarray, count: int) -> np.ndarray:
+    """A hash of each count (above 1) values in a row: of two, then of twice as many, and so on."""
+    width = 1
+    while 2 * width <= count:
+        h, width = mixed(h[:-width]) + h[width:], 2 * width
+    return mixed(mixed(h[: len(h) - count + width]) + h[count - width :]) if count > width else mixed(h)
+
+
+def anchors_of(texts: list[bytes], passage: int = PASSAGE, anchor: int = ANCHOR) -> list[np.ndarray]:
+    """Hashes of each text's anchors, each once; none if it has fewer words than a passage."""
+    first, words = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    none = np.empty(0, np.int64)
+    if len(words) < passage:
+        return [none] * len(texts)
+    owner = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts)]), first, "right") - 1
+    least = sliding_least(joined_hashes(words, anchor), passage - anchor + 1)
+    whole = np.flatnonzero(owner[: len(least)] == owner[passage - 1 :])
+    own, found = owner[whole], least[whole]
+    fresh = np.append(True, (own[1:] != own[:-1]) | (found[1:] != found[:-1]))[: len(own)]
+    own, found = own[fresh], found[fresh]
+    order = np.lexsort((found, own))
+    own, found = own[order], found[order]
+    fresh = np.append(True, (own[1:] != own[:-1]) | (found[1:] != found[:-1]))[: len(own)]
+    return np.split(found[fresh].view(np.int64), np.searchsorted(own[fresh], np.arange(1, len(texts))))
+
+
 RUN = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("places", pa.int32())])
 
 
@@ -128,25 +183,34 @@ def common_pieces(docs: DataFrame, text_col: str, length: int, texts: int, least
 
 
 def text_runs(docs: DataFrame, text_col: str, length: int, common: np.ndarray) -> DataFrame:
-    """key, n_bytes, runs of every row."""
+    """key, n_bytes, runs, anchors of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                keys, sizes, runs = [], [], []
+                keys, sizes, runs, anchors = [], [], [], []
+                waiting, held = [], 0
                 for text in batch.column(0).slice(at, 1000):
                     data = data_of(text.as_py())
                     keys.append(key_of(data))
                     sizes.append(len(data))
                     runs.append(runs_of(data, length, common))
+                    waiting.append(data)
+                    held += len(data)
+                    if held > 1 << 20:
+                        anchors += anchors_of(waiting)
+                        waiting, held = [], 0
+                anchors += anchors_of(waiting) if waiting else []
                 flat = [np.concatenate([r[i] for r in runs]) for i in range(4)]
                 values = pa.StructArray.from_arrays([pa.array(f, t.type) for f, t in zip((flat[0], *(x.astype(np.int32) for x in flat[1:])), RUN, strict=True)], fields=list(RUN))
                 ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["key", "n_bytes", "runs"])
+                of = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
+                told = pa.ListArray.from_arrays(pa.array(of), pa.array(np.concatenate(anchors)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), told], ["key", "n_bytes", "runs", "anchors"])
 
-    return docs.select(F.col(text_col)).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int>>")
+    return docs.select(F.col(text_col)).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int>>, anchors array<long>")
 
 
 def cut_segments(texts: DataFrame, length: int) -> DataFrame:
@@ -254,11 +318,28 @@ def decide(segments: DataFrame, length: int, shard_bytes: int, limits: dict[str,
     return at.mapInArrow(rows, "h long, content binary, spans array<struct<start:int,end:int>>")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
-    """key, spans: for each text that loses bytes the spans, not yet joined, that it loses."""
+def distinct_texts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
+    """key, copies, n_bytes, runs, anchors of each text that can lose bytes or share a passage."""
     runs = text_runs(docs, text_col, length, common_pieces(docs, text_col, length, docs.count()))
-    texts = runs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"))
-    texts = materialize(texts.where(F.col("n_bytes") >= length), "text-runs")
+    texts = runs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("runs").alias("runs"), F.first("anchors").alias("anchors"))
+    return materialize(texts.where((F.col("n_bytes") >= length) | (F.size("anchors") > 0)), "text-runs")
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """key, n_shared: how many of its anchors another text, or an equal one, has; of texts that have any.
+
+    What very many texts hold is counted before the shuffle, and the join back is one that adaptive
+    execution can split.
+    """
+    each = texts.select("key", "copies", F.xxhash64("key").alias("k"), F.explode("anchors").alias("anchor"))
+    again = each.groupBy("anchor").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("anchor")
+    found = each.where("copies = 1").join(again, "anchor", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_shared"))
+    return found.unionByName(texts.where((F.col("copies") > 1) & (F.size("anchors") > 0)).select("key", F.size("anchors").cast("long").alias("n_shared")))
+
+
+def removals(docs: DataFrame, texts: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
+    """key, spans: for each text (of distinct_texts) that loses bytes the spans, not yet joined, that it loses."""
+    texts = texts.where(F.col("n_bytes") >= length)
     each = texts.select("key", F.explode("runs").alias("r")).select("key", "r.*")
     again = each.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1").select("h")
     open_runs = each.join(again, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("runs"))
@@ -301,14 +382,15 @@ def kept_of(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row."""
-    gone = removals(docs, length, text_col, **limits)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and kept (the bytes left) of every row."""
+    texts = distinct_texts(docs, length, text_col)
+    gone = removals(docs, texts, length, text_col, **limits).join(passages(texts), "key", "full_outer")
     keyed = with_key(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    joined = keyed.join(gone, "key", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(gone, "key", "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_shared"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -320,9 +402,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
                     for x, v in zip(out, (len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                         x.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True)), part.column(3)], names)
 
-    return joined.mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_shared long")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -155,11 +155,33 @@ def test_substring_dedup(docs, none):
     texts = [(i, line(r.randint(0, 600)) + r.choice([*shared, ""]) + line(r.randint(0, 300))) for i in range(40)]
     texts += [(50, shared[0]), (51, shared[0]), (51, shared[0]), (52, None), (53, ""), (54, "a" * 1500), (55, "ab" * 400), (None, shared[1]), (56, line(420) * 2), (57, "é" * 600)]
     for limits in ({}, {"shard_bytes": 1500, "memory": 100, "base": 50}):
-        got = substrings.digest(substrings.deduplicate(docs(texts), **limits))
+        got = substrings.digest(substrings.deduplicate(docs(texts), **limits)).drop("n_shared")
         assert rows(got) == sorted(stripped(texts, 400), key=lambda x: [(v is not None, str(v)) for v in x])
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_shared_passages(docs):
+    """Whoever shares more than 50 words has an anchor in common, whoever shares fewer than 34 has none."""
+    r = random.Random(16)
+    fresh = lambda n: [f"{r.randrange(10**6):x}" for _ in range(n)]
+    long, short, texts = fresh(51), fresh(33), []
+    for i in range(60):
+        some = (long, short, [])[i % 3]
+        at = r.randint(0, 80)
+        w = fresh(120)
+        texts.append((i, r.choice([" ", "\n"]).join(w[:at] + some + w[at:])))
+    texts += [(100, " ".join(fresh(60)))] + [(101 + k, " ".join(long[:50])) for k in range(2)] + [(110, "é " * 51), (111, "é " * 51), (112, None)]
+    got = {x.doc_id: x.n_shared for x in substrings.deduplicate(docs(texts)).collect()}
+    assert all((n > 0) == (i % 3 == 0) for i, n in got.items() if i < 60)
+    assert got[100] == got[101] == got[112] == 0 and got[110] == got[111] == 1
+    data = [(t or "").encode() for _, t in texts] + [b"", b" ", b"x" * 70, b"x" * 69 + b"y"]
+    every = substrings.anchors_of(data)
+    assert len(every) == len(data) and [x.tolist() for x in every] == [substrings.anchors_of([d])[0].tolist() for d in data]
+    assert not any(len(every[k]) for k in range(61, 63)) and all(len(every[k]) for k in range(60))
+    words = [w for w in data[0].split()]
+    assert set(substrings.anchors_of([b"\n".join(words[5:90])])[0]) <= set(every[0])
+
+
 # 4 mixing
 
 
@@ -350,6 +372,27 @@ def test_keep_one_cut_and_appended(docs):
     assert sorted(x.doc_id for x in simhash.keep_one(docs(texts)).collect()) == want
 
 
+def test_keep_one_large_groups_meet_at_pivots(docs, monkeypatch):
+    """Many edits of few texts: lists of one, blocks of seven members, few columns at once; and the differences alone."""
+    r = random.Random(15)
+    base = [[f"v{r.randrange(3000)}" for _ in range(90)] for _ in range(2)]
+    texts = []
+    for i in range(160):
+        w = list(base[i % 2])
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 7])):
+            w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+        texts.append((i, " ".join(w[: r.choice([90, 90, 80])])))
+    sets = [set(simhash.shingles_of(simhash.words_of(t), 5)) for _, t in texts]
+    root = grouped(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    want = sorted(set(root))
+    assert 10 < len(want) < 150
+    for listed, rows_, columns in ((64, 20_000, 1024), (1, 7, 3)):
+        monkeypatch.setattr(simhash, "LISTED", listed)
+        monkeypatch.setattr(simhash, "COLUMNS", columns)
+        monkeypatch.setattr(simhash.pivot_links, "__defaults__", (rows_,))
+        assert sorted(x.doc_id for x in simhash.keep_one(docs(texts)).collect()) == want
+
+
 # 7 PII
 
 BASE = {
