@@ -98,19 +98,26 @@ def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_of(data: bytes, length: int = LENGTH, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """piece, first window, windows and places of the piece, of each run of windows."""
+def runs_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many runs of windows each text has; piece, first window, windows and places of the piece of each run."""
+    data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    none = np.empty(0, np.int64)
     if len(data) < length:
-        none = np.empty(0, np.int64)
-        return none, none, none, none
+        return [0] * len(texts), none, none, none, none
     hashes = ordered(piece_hashes(data), common)
     width = length - PIECE + 1
     least = sliding_least(hashes, width)
-    start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    count = np.diff(np.append(start, len(least)))
-    own = least[start]
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = np.flatnonzero(owner[: len(least)] == owner[length - 1 :])  # windows of one text
+    if not len(at):
+        return [0] * len(texts), none, none, none, none
+    own = least[at]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])))
+    count = np.diff(np.append(first, len(at)))
+    start, own = at[first], own[first]
     places = np.fromiter((np.count_nonzero(hashes[s : s + c + width - 1] == h) for s, c, h in zip(start.tolist(), count.tolist(), own, strict=True)), np.int64, len(start))
-    return own.view(np.int64), start, count, places
+    of = owner[start]
+    return np.bincount(of, minlength=len(texts)).tolist(), own.view(np.int64), start - np.append(0, ends)[of], count, places
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -190,27 +197,26 @@ def text_runs(docs: DataFrame, text_col: str, length: int, common: np.ndarray) -
         common = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                keys, sizes, runs, anchors = [], [], [], []
+                sizes, runs, anchors = [], [], []
                 waiting, held = [], 0
-                for text in batch.column(0).slice(at, 1000):
-                    data = data_of(text.as_py())
-                    keys.append(key_of(data))
-                    sizes.append(len(data))
-                    runs.append(runs_of(data, length, common))
-                    waiting.append(data)
-                    held += len(data)
-                    if held > 1 << 20:
+                for text in [*batch.column(0).slice(at, 1000), None]:
+                    if text is not None:
+                        waiting.append(data_of(text.as_py()))
+                        held += len(waiting[-1])
+                    if waiting and (text is None or held > 1 << 20):
+                        sizes += map(len, waiting)
+                        runs.append(runs_of(waiting, length, common))
                         anchors += anchors_of(waiting)
                         waiting, held = [], 0
-                anchors += anchors_of(waiting) if waiting else []
-                flat = [np.concatenate([r[i] for r in runs]) for i in range(4)]
+                flat = [np.concatenate([r[i] for r in runs]) for i in range(1, 5)]
                 values = pa.StructArray.from_arrays([pa.array(f, t.type) for f, t in zip((flat[0], *(x.astype(np.int32) for x in flat[1:])), RUN, strict=True)], fields=list(RUN))
-                ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
+                ends = np.cumsum([0, *(n for r in runs for n in r[0])]).astype(np.int32)
                 of = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
                 told = pa.ListArray.from_arrays(pa.array(of), pa.array(np.concatenate(anchors)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), told], ["key", "n_bytes", "runs", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, 1000), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), told], ["key", "n_bytes", "runs", "anchors"])
 
-    return docs.select(F.col(text_col)).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int>>, anchors array<long>")
+    named = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return named.withColumn("key", key_of_text()).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int>>, anchors array<long>")
 
 
 def cut_segments(texts: DataFrame, length: int) -> DataFrame:
@@ -325,16 +331,71 @@ def distinct_texts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     return materialize(texts.where((F.col("n_bytes") >= length) | (F.size("anchors") > 0)), "text-runs")
 
 
+#: What a row of anchors is: the one of its anchor in its chunk, one that is known to be shared, or the one
+#: that tells others so. Rows of a chunk.
+ALONE, TOLD, TELLS = 0, 1, 2
+CHUNK_ROWS = 1 << 20
+
+
+def own_anchors(texts: DataFrame) -> DataFrame:
+    """anchor, k, kind of (k, anchors): what several texts of a chunk share is told at once, and one of them tells
+    the other chunks. So an anchor has a row a chunk at most, whatever the number of texts that hold it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            anchor, k = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(anchor, kind="stable")
+            anchor, k = anchor[order], k[order]
+            again = np.append(False, anchor[1:] == anchor[:-1])
+            several = again | np.append(again[1:], False)
+            first = several & ~again
+            kind = np.concatenate([np.where(several, TOLD, ALONE), np.full(int(first.sum()), TELLS)]).astype(np.int8)
+            anchor, k = np.concatenate([np.where(several, k, anchor), anchor[first]]), np.concatenate([k, k[first]])
+            return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(k), pa.array(kind)], ["anchor", "k", "kind"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            counts = np.diff(lists.offsets.to_numpy())
+            held.append((lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), counts)))
+            size += len(held[-1][0])
+            if size >= CHUNK_ROWS:
+                yield chunk()
+                held, size = [], 0
+        if size:
+            yield chunk()
+
+    return texts.mapInArrow(rows, "anchor long, k long, kind byte")
+
+
 def passages(texts: DataFrame) -> DataFrame:
-    """key, n_shared: how many of its anchors another text, or an equal one, has; of texts that have any.
+    """key, n_shared: how many of its anchors another text, or an equal one, has; of texts that have any."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(now[1][now[2] == TOLD])], ["k"])
+            anchor, k, kind = (np.concatenate([x, y[now[2] != TOLD]]) for x, y in zip(last, now, strict=True))
+            cut = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0  # the last anchor may go on
+            yield pa.RecordBatch.from_arrays([pa.array(met(anchor[:cut], k[:cut], kind[:cut]))], ["k"])
+            last = anchor[cut:], k[cut:], kind[cut:]
+        yield pa.RecordBatch.from_arrays([pa.array(met(*last))], ["k"])
+
+    named = texts.withColumn("k", F.xxhash64("key"))
+    dealt = own_anchors(named.select("k", "anchors"))
+    found = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    names = named.select("key", "copies", "k", F.size("anchors").cast("long").alias("every"))
+    return names.join(found.withColumnRenamed("k", "its"), F.col("k") == F.col("its"), "left").select("key", F.when(F.col("copies") > 1, F.col("every")).otherwise(F.coalesce("n", F.lit(0))).alias("n_shared")).where("n_shared > 0")
 
-    What very many texts hold is counted before the shuffle, and the join back is one that adaptive
-    execution can split.
-    """
-    each = texts.select("key", "copies", F.xxhash64("key").alias("k"), F.explode("anchors").alias("anchor"))
-    again = each.groupBy("anchor").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("anchor")
-    found = each.where("copies = 1").join(again, "anchor", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_shared"))
-    return found.unionByName(texts.where((F.col("copies") > 1) & (F.size("anchors") > 0)).select("key", F.size("anchors").cast("long").alias("n_shared")))
+
+def met(anchor: np.ndarray, k: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The texts of sorted rows that stand alone in their chunk but not in all."""
+    again = np.append(False, anchor[1:] == anchor[:-1])[: len(anchor)]
+    several = again | np.append(again[1:], False)[: len(anchor)]
+    return k[several & (kind == ALONE)]
 
 
 def removals(docs: DataFrame, texts: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
@@ -344,8 +405,7 @@ def removals(docs: DataFrame, texts: DataFrame, length: int = LENGTH, text_col:
     again = each.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1").select("h")
     open_runs = each.join(again, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("runs"))
     keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    keyed = with_key(keyed)
-    found = keyed.join(open_runs, "key").select("text", "key", "runs")
+    found = keyed.withColumn("key", key_of_text()).join(open_runs, "key").select("text", "key", "runs")
     segments = materialize(cut_segments(found, length), "segments")
     place = F.struct("key", "start")
     folded = segments.groupBy("h", "content").agg((F.min(place) != F.max(place)).alias("several"), F.first("data").alias("data"))
@@ -357,17 +417,9 @@ def removals(docs: DataFrame, texts: DataFrame, length: int = LENGTH, text_col:
     return materialize(of_runs.unionByName(whole).groupBy("key").agg(F.collect_list("s").alias("spans")), "removals")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs (which has a text column) and the key of its text."""
-    place = docs.columns.index("text")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([key_of(data_of(t.as_py())) for t in batch.column(place)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "key"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rows, f"{fields}, key binary")
+def key_of_text() -> F.Column:
+    """128 bits that name the text of a table with a text column."""
+    return F.unhex(F.md5("text"))
 
 
 def kept_of(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -385,8 +437,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and kept (the bytes left) of every row."""
     texts = distinct_texts(docs, length, text_col)
     gone = removals(docs, texts, length, text_col, **limits).join(passages(texts), "key", "full_outer")
-    keyed = with_key(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    joined = keyed.join(gone, "key", "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    joined = keyed.withColumn("key", key_of_text()).join(gone, "key", "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

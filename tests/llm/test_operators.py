@@ -160,7 +160,7 @@ def test_substring_dedup(docs, none):
     assert substrings.deduplicate(none).count() == 0
 
 
-def test_shared_passages(docs):
+def test_shared_passages(docs, monkeypatch):
     """Whoever shares more than 50 words has an anchor in common, whoever shares fewer than 34 has none."""
     r = random.Random(16)
     fresh = lambda n: [f"{r.randrange(10**6):x}" for _ in range(n)]
@@ -172,6 +172,11 @@ def test_shared_passages(docs):
         texts.append((i, r.choice([" ", "\n"]).join(w[:at] + some + w[at:])))
     texts += [(100, " ".join(fresh(60)))] + [(101 + k, " ".join(long[:50])) for k in range(2)] + [(110, "é " * 51), (111, "é " * 51), (112, None)]
     got = {x.doc_id: x.n_shared for x in substrings.deduplicate(docs(texts)).collect()}
+    monkeypatch.setattr(substrings, "CHUNK_ROWS", 20)
+    assert got == {x.doc_id: x.n_shared for x in substrings.deduplicate(docs(texts).repartition(7)).collect()}
+    of = {i: set(a.tolist()) for (i, _), a in zip(texts, substrings.anchors_of([(t or "").encode() for _, t in texts]), strict=True)}
+    text = dict(texts)
+    assert got == {i: len(a) if sum(text[i] == t for t in text.values()) > 1 else sum(any(x in b for j, b in of.items() if j != i) for x in a) for i, a in of.items()}
     assert all((n > 0) == (i % 3 == 0) for i, n in got.items() if i < 60)
     assert got[100] == got[101] == got[112] == 0 and got[110] == got[111] == 1
     data = [(t or "").encode() for _, t in texts] + [b"", b" ", b"x" * 70, b"x" * 69 + b"y"]
