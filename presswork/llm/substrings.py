@@ -65,16 +65,10 @@ def piece_hashes(data: bytes) -> np.ndarray:
     """A hash of the PIECE bytes from each position on: of 8 bytes, then of twice as many, and so on."""
     raw = np.frombuffer(data, np.uint8)
     words = np.lib.stride_tricks.as_strided(raw, (len(data) - 7, 8), (1, 1))
-    h, width = np.ascontiguousarray(words).view(np.uint64).ravel(), 8
+    h, width, k = mixed(np.ascontiguousarray(words).view(np.uint64).ravel()), 8, 32
     while width < PIECE:
-        left, right = h[:-width], h[width:]
-        h = left * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        h += right
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        width *= 2
-    return h
+        h, width, k = h[:-width] * FACTORS[k] + h[width:], 2 * width, k + 1
+    return mixed(h)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,16 +101,18 @@ def runs_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray = np.em
     hashes = ordered(piece_hashes(data), common)
     width = length - PIECE + 1
     least = sliding_least(hashes, width)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    at = np.flatnonzero(owner[: len(least)] == owner[length - 1 :])  # windows of one text
+    inside = np.zeros(len(least), bool)  # windows of one text
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        inside[end - len(text) : max(end - length + 1, end - len(text))] = True
+    at = np.flatnonzero(inside)
     if not len(at):
         return [0] * len(texts), none, none, none, none
     own = least[at]
-    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])))
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (np.diff(at) != 1)))
     count = np.diff(np.append(first, len(at)))
     start, own = at[first], own[first]
     places = np.fromiter((np.count_nonzero(hashes[s : s + c + width - 1] == h) for s, c, h in zip(start.tolist(), count.tolist(), own, strict=True)), np.int64, len(start))
-    of = owner[start]
+    of = np.searchsorted(ends, start, "right")
     return np.bincount(of, minlength=len(texts)).tolist(), own.view(np.int64), start - np.append(0, ends)[of], count, places
 
 
@@ -126,29 +122,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
-#: A number for each byte, none for blanks, and one for each place in a word (the same again after 64).
-BYTES = np.where(BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-PLACES = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bits of an 8-byte word that its first 0 to 8 bytes fill, and odd factors for what is added up.
+FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+FACTORS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins, and its hash."""
-    blank = BLANK[raw]
-    begins = ~blank & np.concatenate([[True], blank[:-1]])
-    first = np.flatnonzero(begins)
-    if not len(first):
-        return first, np.empty(0, np.uint64)
-    lead = int(first[0])
-    place = np.arange(lead, len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
-    return first, mixed(np.add.reduceat(BYTES[raw[lead:]] * PLACES[place & 63], first - lead))
+    """Where each word begins, and its hash, from its 8-byte parts."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[raw], [True]])))
+    first, size = edge[::2], edge[1::2] - edge[::2]
+    parts = np.lib.stride_tricks.as_strided(np.concatenate([raw, np.zeros(8, np.uint8)]), (len(raw) + 1, 8), (1, 1))
+    load = lambda at, n: np.ascontiguousarray(parts[at]).view(np.uint64).ravel() & FILLED[np.minimum(n, 8)]
+    h = (load(first, size) + size.astype(np.uint64)) * FACTORS[0]
+    longer, k = np.flatnonzero(size > 8), 1
+    while len(longer):
+        h[longer] = mixed(h[longer]) + load(first[longer] + 8 * k, size[longer] - 8 * k) * FACTORS[k & 63]
+        k += 1
+        longer = longer[size[longer] > 8 * k]
+    return first, mixed(h)
 
 
 def joined_hashes(h: np.ndarray, count: int) -> np.ndarray:
-    """A hash of each count (above 1) values in a row: of two, then of twice as many, and so on."""
-    width = 1
+    """A hash of each count (above 1) hashes in a row: of two, then of twice as many, and so on."""
+    width, k = 1, 8
     while 2 * width <= count:
-        h, width = mixed(h[:-width]) + h[width:], 2 * width
-    return mixed(mixed(h[: len(h) - count + width]) + h[count - width :]) if count > width else mixed(h)
+        h, width, k = h[:-width] * FACTORS[k] + h[width:], 2 * width, k + 1
+    return mixed(h[: len(h) - count + width] * FACTORS[k] + h[count - width :] if count > width else h)
 
 
 def anchors_of(texts: list[bytes], passage: int = PASSAGE, anchor: int = ANCHOR) -> list[np.ndarray]:
@@ -334,7 +333,7 @@ def distinct_texts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
 #: What a row of anchors is: the one of its anchor in its chunk, one that is known to be shared, or the one
 #: that tells others so. Rows of a chunk.
 ALONE, TOLD, TELLS = 0, 1, 2
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 18
 
 
 def own_anchors(texts: DataFrame) -> DataFrame:
