@@ -32,7 +32,7 @@ SAMPLE_CHARS = 20_000
 SAMPLE_WINDOWS = 1500
 #: Width of the state in either direction, and of training: bytes of a window, windows of a batch.
 STATE = 12
-TRAIN_BYTES, BATCH, EPOCHS, RATE = 48, 64, 4, 0.01
+TRAIN_BYTES, BATCH, EPOCHS, RATE = 48, 64, 12, 0.01
 #: Bytes of a window, bytes that its state runs over before it counts, and windows read at once.
 WINDOW, CONTEXT, LANES = 256, 32, 1024
 
