@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
+from . import decontamination, filter_audit, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -112,6 +116,20 @@ def _op8() -> str:
       FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+  k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+  c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN k USING (doc_id) GROUP BY 1, 2),
+  l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[:step - 1] AS earlier FROM o, range(1, 6) AS r(step)),
+  r AS (SELECT part, filter_order, step, n, good, toxic, contains(fails, f) AS own, len(translate(earlier, fails, '')) < len(earlier) AS gone, fails = f AS alone, 120 // greatest(len(fails), 1) AS share FROM s, c)
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0)::BIGINT AS toxic_lost, coalesce(sum(n * share) FILTER (own), 0)::BIGINT AS shapley
+  FROM r GROUP BY 1, 2, 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express; doc_id is unique in its tables."""
-    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8()}
+    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8(), "op12_filter_audit": OP12}
