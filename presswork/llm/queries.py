@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, filter_audit, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
+from . import conversations, decontamination, filter_audit, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -130,6 +134,32 @@ OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text
   FROM r GROUP BY 1, 2, 3"""
 
 
+OP13 = r"""WITH RECURSIVE
+  k AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295::BIGINT), 4294967295) % 20 AS damage FROM conversations),
+  d AS (SELECT conv, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE damage <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, rtrim(text, E' \t\n\x0b\x0c\r') AS seen FROM d),
+  f AS (SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS dup, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair FROM o),
+  r AS (SELECT *, blank OR dup AS gone, NOT blank AND NOT dup AND NOT regexp_matches(seen, '[.!?]$') AS cut FROM f),
+  n AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last FROM r GROUP BY 1),
+  p AS (SELECT conv, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS q0, {'c': 1000000000000::BIGINT, 'a': ''} AS q1, {'c': 3::BIGINT, 'a': 'I'} AS q2, {'c': 6::BIGINT, 'a': 'II'} AS q3 FROM n
+    UNION ALL SELECT conv, i, q0, q1, q2, list_sort([q3, {'c': q2.c + 3, 'a': q2.a || 'I'}])[1] FROM (
+      SELECT conv, i, q0, q1, list_sort([q2, {'c': q0.c + 3, 'a': q0.a || 'I'}, {'c': q1.c + 3, 'a': q1.a || 'I'}, {'c': q3.c + 3, 'a': q3.a || 'I'}])[1] AS q2, q3 FROM (
+        SELECT p.conv, r.i, {'c': q0.c + 4, 'a': q0.a || 'D'} AS q0,
+          list_sort([{'c': q1.c + 4, 'a': q1.a || 'D'}, {'c': CASE WHEN gone OR x <> 's' THEN 1000000000000 ELSE q0.c + 3 * cut::INT END, 'a': q0.a || 'K'}])[1] AS q1,
+          list_sort([{'c': q2.c + 4, 'a': q2.a || 'D'}] || list_transform([q0, q1, q3], lambda q: {'c': CASE WHEN gone THEN 1000000000000 WHEN x = 'u' THEN q.c + 3 * cut::INT ELSE q.c + 3 + 3 * cut::INT END, 'a': q.a || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END}))[1] AS q2,
+          list_sort([{'c': q3.c + 4, 'a': q3.a || 'D'}, {'c': CASE WHEN gone THEN 1000000000000 WHEN x = 'a' THEN q2.c + 3 * cut::INT ELSE q2.c + 3 + 3 * cut::INT END, 'a': q2.a || CASE WHEN x = 'a' THEN 'K' ELSE 'R' END}])[1] AS q3
+        FROM p JOIN r ON r.conv = p.conv AND r.i = p.i + 1))),
+  b AS (SELECT conv, list_sort([q0, q3])[1] AS best FROM p JOIN n USING (conv) WHERE i = last),
+  e AS (SELECT conv, unnest(string_split(best.a, '')) AS edit, generate_subscripts(string_split(best.a, ''), 1) AS j FROM b),
+  g AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv ORDER BY j) AS i FROM e),
+  h AS (SELECT g.conv, edit, r.role, r.text, row_number() OVER (PARTITION BY g.conv ORDER BY j) AS k, count(*) OVER (PARTITION BY g.conv) AS m FROM g LEFT JOIN r ON r.conv = g.conv AND r.i = g.i WHERE edit <> 'D' AND edit <> ''),
+  s AS (SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - m % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines FROM h GROUP BY 1),
+  c AS (SELECT min(conv_id) AS conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations GROUP BY 2)
+  SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+  FROM c LEFT JOIN n USING (conv) LEFT JOIN b USING (conv) LEFT JOIN s USING (conv)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express; doc_id is unique in its tables."""
-    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8(), "op12_filter_audit": OP12}
+    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8(), "op12_filter_audit": OP12, "op13_conversation_repair": OP13}
