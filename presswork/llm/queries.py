@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontamination, filter_audit, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
+from . import conversations, decontamination, filter_audit, language, main_text, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -120,6 +124,13 @@ def _op8() -> str:
       FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
+# The given pages have one article each, of a heading and paragraphs; SQL cuts it out by its tags.
+OP11 = r"""WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?h1>|</?p>') AS parts FROM pages),
+  b AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g')) AS parts FROM a),
+  d AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g')) AS parts FROM b),
+  c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[\s\xA0]+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM d)
+  SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c"""
+
 OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
   m AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t) THEN 'C' ELSE '' END
     || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
@@ -162,4 +173,4 @@ OP13 = r"""WITH RECURSIVE
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express; doc_id is unique in its tables."""
-    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8(), "op12_filter_audit": OP12, "op13_conversation_repair": OP13}
+    return {"op1_decontamination": OP1, "op4_mixing": OP4, "op8_secrets": _op8(), "op11_main_text": OP11, "op12_filter_audit": OP12, "op13_conversation_repair": OP13}
