@@ -1,7 +1,7 @@
 """Trees of selected articles: nodes, descendants, commands on a map, the star graph.
 
-Parent closures are recursive SQL over (map, node, parent) tables of any number of maps at once;
-commands that depend on one another are folded per map.
+Parent closures are pointer doubling over (map, node, parent) tables of any number of maps at once,
+written between rounds; commands that depend on one another are folded per map.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .state import folded
 
 #: Fixed values. Depth, nodes and history of a map, maps of a search.
@@ -23,30 +24,74 @@ def star_graph(selected: DataFrame, centre: str = "centre_id", node: str = "news
     return mid.unionByName(rim), edges
 
 
+def jumps(links: DataFrame, most: int | None, bound: int) -> tuple[list[DataFrame], bool]:
+    """(tables m, x, a of a's that are 1, 2, 4, ... links above x, as far as there are any; whether the links run in a circle).
+
+    Each table is the one before it joined with itself and is written; there are about log2 of the depth. Whoever has an ancestor that is as
+    many links away as there are rows (bound) comes to a circle.
+    """
+    out = [stored(links.select("m", "x", "a"), "jumps")]
+    while not out[-1].isEmpty():
+        far = 1 << len(out)
+        if far > 2 * bound:
+            return out, True
+        if most is not None and far > most:
+            return out, False
+        last = out[-1]
+        out.append(stored(last.join(last.select("m", F.col("x").alias("a"), F.col("a").alias("__far")), ["m", "a"]).select("m", "x", F.col("__far").alias("a")), "jumps"))
+    return out[:-1], False
+
+
+def without_circles(links: DataFrame, last: DataFrame, bound: int) -> DataFrame:
+    """links without the one above the least node of each circle; last: where each x that comes to a circle stands on it."""
+    on = last.select("m", F.col("a").alias("x")).distinct()
+    step = stored(links.join(on, ["m", "x"], "left_semi").select("m", "x", "a", F.least("x", "a").alias("least")), "circles")
+    far = 1
+    while far < bound:
+        then = step.select("m", F.col("x").alias("a"), F.col("a").alias("__far"), F.col("least").alias("__least"))
+        step = stored(step.join(then, ["m", "a"]).select("m", "x", F.col("__far").alias("a"), F.least("least", "__least").alias("least")), "circles")
+        far *= 2
+    cut = step.where(F.col("x") == F.col("least")).select("m", "x")
+    return stored(links.join(cut, ["m", "x"], "left_anti"), "links")
+
+
+def closure(nodes: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """m, x, a, d: each node x of nodes (m, x) with all a's that are d links (m, x, a) above it, itself at 0; d up to most.
+
+    Pointer doubling: what lies less than 2^r links away, joined with the jumps of 2^r, is what lies from there to less than
+    2^(r+1). Each pair is made once, in about log2(depth) rounds. A node has one link at most; a circle is cut above its least node.
+    """
+    if most is not None and most < 1:
+        links = links.where(F.lit(False))
+    links = stored(links, "links")
+    bound = links.count()
+    tables, circular = jumps(links, most, bound)
+    if circular:
+        links = without_circles(links, tables[-1], bound)
+        tables, _ = jumps(links, most, bound)
+    below = nodes.select("m", "x", F.col("x").alias("a"), F.lit(0).alias("d"))
+    for r, table in enumerate(tables):
+        more = below.join(table.select("m", F.col("x").alias("a"), F.col("a").alias("__far")), ["m", "a"]).select("m", "x", F.col("__far").alias("a"), (F.col("d") + (1 << r)).alias("d"))
+        below = below.unionByName(stored(more if most is None else more.where(F.col("d") <= most), "closure"))
+    return below
+
+
 def descendants(nodes: DataFrame, depth: int | None = None, map_id: str = "map_id", node: str = "node_id", parent: str = "parent_id") -> DataFrame:
-    """map_id, root, node_id, level: all nodes below each node, itself at level 0.
+    """map_id, root, node_id, level: all nodes below each node, itself at level 0; of any number of maps, levels and nodes.
 
-    Semi-naive: each round joins only what the last one found, so a tree of n levels takes n joins.
+    A parent that is not a node of its map has nothing below it; of a circle of parents the least node counts as without a parent.
     """
-    edges = nodes.where(F.col(parent).isNotNull()).select(F.col(map_id).alias("m"), F.col(parent).alias("p"), F.col(node).alias("c"))
-    bound = f"AND w.level < {depth}" if depth is not None else ""
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(map_id, root, node_id, level) AS (
-            SELECT m, n, n, 0 FROM {{nodes}}
-            UNION ALL
-            SELECT w.map_id, w.root, e.c, w.level + 1 FROM walk w JOIN {{edges}} e ON w.map_id = e.m AND w.node_id = e.p {bound})
-        SELECT map_id, root, node_id, level FROM walk""", nodes=nodes.select(F.col(map_id).alias("m"), F.col(node).alias("n")), edges=edges)
+    own = nodes.select(F.col(map_id).alias("m"), F.col(node).alias("x"))
+    links = nodes.where(F.col(parent).isNotNull()).select(F.col(map_id).alias("m"), F.col(node).alias("x"), F.col(parent).alias("a"))
+    links = links.join(own.select("m", F.col("x").alias("a")).distinct(), ["m", "a"], "left_semi")
+    return closure(own, links, depth).select(F.col("m").alias("map_id"), F.col("a").alias("root"), F.col("x").alias("node_id"), F.col("d").alias("level"))
 
 
 def ancestors(chain: DataFrame, row_id: str = "map_id", previous: str = "previous_map_id", most: int = MAX_MAPS) -> DataFrame:
-    """map_id, ancestor, distance: the maps that came before each map."""
-    links = chain.select(F.col(row_id).alias("id"), F.col(previous).alias("prev")).where("prev IS NOT NULL")
-    return chain.sparkSession.sql(f"""
-        WITH RECURSIVE back(map_id, ancestor, distance) AS (
-            SELECT id, prev, 1 FROM {{links}}
-            UNION ALL
-            SELECT b.map_id, c.prev, b.distance + 1 FROM back b JOIN {{links}} c ON b.ancestor = c.id WHERE b.distance < {most})
-        SELECT map_id, ancestor, distance FROM back""", links=links)
+    """map_id, ancestor, distance: the maps that came before each map, ``most`` at most; a circle as in descendants."""
+    own = chain.select(F.lit(0).alias("m"), F.col(row_id).alias("x"))
+    links = chain.where(F.col(previous).isNotNull()).select(F.lit(0).alias("m"), F.col(row_id).alias("x"), F.col(previous).alias("a"))
+    return closure(own, links, most).where("d > 0").select(F.col("x").alias("map_id"), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
 
 
 def map_step(state: dict, row: dict) -> dict:
