@@ -32,10 +32,9 @@ def related_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("centre", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-@plans.add("""WITH q AS (SELECT vec_id AS centre, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT centre, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS cos FROM embeddings, q WHERE vec_id <> centre),
-    r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY round(cos, 12) DESC, vec_id) AS rank FROM s) SELECT centre, vec_id, round(cos, 6) AS cosine, rank FROM r WHERE rank <= 10""")
+@plans.add()
 def related_index_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from the inverted-file index of all rows. It is approximate: on small tables (500 rows) it finds all, and 0.9 or more in general."""
+    """The same from the inverted-file index of all rows: approximate neighbours with exact cosines."""
     every = table(spark, sf, "embeddings")
     model = vector_index.fit(every, dims=DIMS)
     index = stored(vector_index.encoded(every, model).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell"), "vector-index")
