@@ -126,9 +126,12 @@ JOBS = """WITH RECURSIVE r AS (SELECT event_id, event_id // 20 AS job, event_id:
 
 @plans.add(JOBS)
 def job_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return S.jobs(job_log(table(spark, sf, "events"))).select("event_id", "status", "outcome")
+
+
+def job_log(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("claim", "heartbeat", "cancel", "claim", "succeeded")]), (F.col("event_id") % 5 + 1).cast("int"))
-    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("j"), F.floor(F.col("event_id") / 20)).alias("job_id"), F.col("event_id").cast("double").alias("at"), kind.alias("command"), (F.col("user_id") % 2).cast("string").alias("worker"))
-    return S.jobs(e).select("event_id", "status", "outcome")
+    return events.select("event_id", F.concat(F.lit("j"), F.floor(F.col("event_id") / 20)).alias("job_id"), F.col("event_id").cast("double").alias("at"), kind.alias("command"), (F.col("user_id") % 2).cast("string").alias("worker"))
 
 
 SESSIONS = """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS tm, ['create', 'view', 'expand', 'touch', 'collapse'][event_id % 5 + 1] AS c, event_type AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
@@ -138,11 +141,19 @@ SESSIONS = """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6
     SELECT event_id, code, CASE WHEN code = 200 THEN len(viewed)::INT ELSE 0 END AS n_viewed FROM f WHERE n > 0"""
 
 
+SESSION_ENDS = SESSIONS.replace("SELECT event_id, code, CASE WHEN code = 200 THEN len(viewed)::INT ELSE 0 END AS n_viewed FROM f WHERE n > 0", """SELECT user_id AS sid, round(ends, 3) AS at FROM (
+      SELECT f.user_id, f.ends, lead(r.tm) OVER (PARTITION BY f.user_id ORDER BY f.n) AS next, f.code FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n)
+    WHERE code = 200 AND ends <= coalesce(next, (SELECT max(tm) - 600 FROM r))""")
+
+
 @plans.add(SESSIONS)
 def session_commands(spark: SparkSession, sf: str) -> DataFrame:
+    return S.sessions(session_log(table(spark, sf, "events"))).select("event_id", "code", F.size(F.coalesce("viewed", F.array().cast("array<string>"))).alias("n_viewed"))
+
+
+def session_log(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("create", "view", "expand", "touch", "collapse")]), (F.col("event_id") % 5 + 1).cast("int"))
-    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("sid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("command"), F.col("event_type").alias("item"))
-    return S.sessions(e).select("event_id", "code", F.size(F.coalesce("viewed", F.array().cast("array<string>"))).alias("n_viewed"))
+    return events.select("event_id", F.col("user_id").alias("sid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("command"), F.col("event_type").alias("item"))
 
 
 MAPS = """WITH RECURSIVE r AS (SELECT l_orderkey AS map_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, CASE WHEN l_linenumber = 1 THEN 'create' WHEN l_linenumber % 3 = 0 THEN 'research' ELSE 'expand' END AS c, l_linenumber - 1 AS expected, list_filter(list_distinct([l_partkey, l_suppkey]), lambda x: x <> l_orderkey) AS found,

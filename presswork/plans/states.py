@@ -11,7 +11,9 @@ from ..operators import maps as M
 from ..operators import state as S
 from ..operators import tracking as K
 from ..sources.tables import shared_dir, table
+from ..streaming import processors as P
 from ..streaming import state as W
+from . import documents
 from .registered import Plans
 
 plans = Plans()
@@ -175,4 +177,28 @@ def stream_revision_writes(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, out.select(F.col("seq").alias("event_id"), "accepted", "revision"), "revisions")
 
 
+@plans.add(documents.SESSIONS)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """session_commands by a stream of typed state and timers; rows of sessions that ran out are stream_session_ends."""
+    return _session_stream(spark, sf).where("seq IS NOT NULL").select(F.col("seq").alias("event_id"), "code", F.size(F.coalesce("viewed", F.array().cast("array<string>"))).alias("n_viewed"))
+
+
+@plans.add(documents.SESSION_ENDS)
+def stream_session_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """When each session ran out: told by timers, up to ten minutes before the newest event."""
+    return _session_stream(spark, sf).where("command = 'expired'").select(F.col("sid").cast("long").alias("sid"), F.round("at", 3).alias("at"))
+
+
+def _session_stream(spark: SparkSession, sf: str) -> DataFrame:
+    commands = documents.session_log(_event_stream(spark, sf)).withColumn("seq", F.col("event_id"))
+    return _drained(spark, P.sessions(commands), "sessions")
+
+
+@plans.add(documents.JOBS)
+def stream_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """job_commands by a stream whose leases and deadlines are timers."""
+    commands = documents.job_log(_event_stream(spark, sf)).withColumns({"seq": F.col("event_id"), "at": F.col("at") + 1})  # a watermark begins at 0, which would be late
+    return _drained(spark, P.jobs(commands, late="100 days"), "jobs").where("seq IS NOT NULL").select(F.col("seq").alias("event_id"), "status", "outcome")
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle
