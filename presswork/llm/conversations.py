@@ -52,11 +52,19 @@ Costs = tuple[int, ...]
 
 
 def closed(costs: Costs) -> Costs:
-    """Costs with insertions before the next row."""
+    """Costs with insertions before the next row, without those that no cheapest path can have.
+
+    What leads on from 1 leads on from 3 at the same cost, and what leads on from 0 does from 3 if a kept s is deleted instead; with
+    higher costs 0 and 1 are given up, which keeps the vectors few.
+    """
     out = list(costs)
     for _ in STATES:
         for q, p in INSERTED:
             out[p] = min(out[p], out[q] + INSERT)
+    if out[0] > out[3] + DELETE:
+        out[0] = FAR
+    if out[1] > out[3]:
+        out[1] = FAR
     return tuple(out)
 
 

@@ -39,6 +39,8 @@ NOISE = frozenset(
     "ad ads adbox adsense advert advertisement adverts advertising banner breadcrumb breadcrumbs combx comment comments consent cookie cookies disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice"
     " pager pagination popup promo promoted promotion recommended related reply respond share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: Those of them that are noise even where they hold an element of an article's kind.
+REMARKS = frozenset("comment comments combx disqus reply respond related recommended promoted promotion shoutbox cookie cookies consent newsletter".split())
 CONTENT = frozenset("article body column content entry main page post story text wrapper".split())
 #: An element of this tag is closed by a further one of the group, up to the enclosing list or table.
 SIBLINGS = {
@@ -61,12 +63,12 @@ def marks(at: dict[str, str | None]) -> set[str]:
 
 
 class Tree(HTMLParser):
-    """Elements in order of their start: tag, parent, whether they are noise, lead to an article, or hide their text; and blocks (element, text, linked characters)."""
+    """Elements in order of their start: tag, parent, whether they are noise (firm: even around an article), an article, silent or named like content; and blocks (element, text, linked characters)."""
 
     def __init__(self, forms: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.forms = forms
-        self.tags, self.parents, self.noise, self.article, self.silent, self.content = ["html"], [0], [False], [False], [False], [False]
+        self.tags, self.parents, self.noise, self.firm, self.article, self.silent, self.content = ["html"], [0], [False], [False], [False], [False], [False]
         self.stack, self.open = [0], {"html": 1}
         self.blocks: list[tuple[int, str, int]] = []
         self.pieces: list[str] = []
@@ -130,6 +132,7 @@ class Tree(HTMLParser):
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.noise.append(noise or hidden)
+        self.firm.append(hidden or bool(words & REMARKS) or tag in APART or within)
         self.article.append(lead)
         self.content.append(bool(words & CONTENT))
         self.silent.append(tag in SILENT or self.silent[self.stack[-1]])
@@ -180,7 +183,7 @@ def dropped(tree: Tree) -> list[bool]:
         heads[tree.parents[e]] |= heads[e]
     out = [False] * n
     for e in range(1, n):
-        spared = tree.tags[e] not in APART and (leads[e] or tree.content[e] and heads[e])
+        spared = not tree.firm[e] and (leads[e] or tree.content[e] and heads[e])
         out[e] = out[tree.parents[e]] or tree.silent[e] or (tree.noise[e] and not spared)
     return out
 
