@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..sources import sinks
-from ..sources.tables import table
+from ..sources import buckets, sinks
+from ..sources.tables import shared_dir, table
 from .registered import Plans
 
 plans = Plans()
@@ -72,14 +74,34 @@ def append_once(spark: SparkSession, sf: str) -> DataFrame:
     return E.append_once(new, stored, "row_id", "gen").select("o_orderkey", F.col("stored_id").cast("string").alias("stored_id"), "outcome")
 
 
-@plans.add("""WITH n AS (SELECT c_custkey, c_name || '!' AS c_name, round(c_acctbal, 2) AS c_acctbal, 'new' AS created_at FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, 'old' AS created_at FROM customer WHERE c_custkey % 2 = 0)
+UPSERTED = """WITH n AS (SELECT c_custkey, c_name || '!' AS c_name, round(c_acctbal, 2) AS c_acctbal, 'new' AS created_at FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, 'old' AS created_at FROM customer WHERE c_custkey % 2 = 0)
     SELECT coalesce(s.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_name ELSE s.c_name END AS c_name, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE s.c_acctbal END AS c_acctbal, coalesce(s.created_at, n.created_at) AS created_at
-    FROM s FULL JOIN n USING (c_custkey)""".replace("coalesce(s.c_custkey, n.c_custkey) AS c_custkey", "c_custkey").replace("n.c_custkey IS NOT NULL", "n.c_name IS NOT NULL"))
+    FROM s FULL JOIN n USING (c_custkey)""".replace("coalesce(s.c_custkey, n.c_custkey) AS c_custkey", "c_custkey").replace("n.c_custkey IS NOT NULL", "n.c_name IS NOT NULL")
+
+
+@plans.add(UPSERTED)
 def upsert_rows(spark: SparkSession, sf: str) -> DataFrame:
+    stored, new = _customers(spark, sf)
+    return sinks.upsert(stored, new, "c_custkey", keep=("created_at",))
+
+
+@plans.add(UPSERTED)
+def merged_table(spark: SparkSession, sf: str) -> DataFrame:
+    """upsert_rows as two merges of a stored table, each of which rewrites the buckets of its own rows, and one that is repeated."""
+    stored, new = _customers(spark, sf)
+    merge = lambda old, rows: sinks.upsert(old, rows, "c_custkey", keep=("created_at",))
+    held = buckets.Table.create(stored, f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}", "c_custkey", 16)
+    held.merge(new.where("c_custkey % 2 = 0"), merge, "loader", 1)
+    for _ in range(2):
+        held.merge(new.where("c_custkey % 2 = 1"), merge, "loader", 2)
+    return held.read()
+
+
+def _customers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf, "customer").withColumn("c_acctbal", F.round("c_acctbal", 2))
     stored = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal", F.lit("old").alias("created_at"))
     new = c.where("c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), "c_acctbal", F.lit("new").alias("created_at"))
-    return sinks.upsert(stored, new, "c_custkey", keep=("created_at",))
+    return stored, new
 
 
 @plans.add("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations")
