@@ -214,7 +214,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def with_digest(rows: DataFrame) -> DataFrame:
-    return rows.select("conv", "has_turn", "turn", "role", "text", F.sha2("text", 256).alias("digest"))
+    return rows.select("conv", "has_turn", "turn", "role", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
 
 
 KEYS = ["conv", "has_turn", "turn", "role", "digest"]
