@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import maps as M
 from ..operators import state as S
 from ..operators import tracking as K
+from ..sources import queue as Q
 from ..sources.tables import shared_dir, table
 from ..streaming import processors as P
 from ..streaming import state as W
@@ -201,4 +202,20 @@ def stream_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(spark, P.jobs(commands, late="100 days"), "jobs").where("seq IS NOT NULL").select(F.col("seq").alias("event_id"), "status", "outcome")
 
 
+@plans.add("SELECT doc_id::VARCHAR AS payload, CASE WHEN doc_id % 97 = 0 THEN 0 ELSE 1 END AS deliveries, CASE WHEN doc_id % 97 = 0 THEN 'malformed' ELSE 'deliveries' END AS reason FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0")
+def queue_bad_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' ids through a queue; those that are malformed or fail as often as they may are its bad messages."""
+    base = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    Q.publish(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("payload")), f"{base}/messages")
+    n = F.col("payload").cast("long")
+    work = lambda batch: batch.withColumn("outcome", F.when(n % 97 == 0, "malformed").when(n % 89 == 0, "error").otherwise("done"))
+    write, held = Q.consumer(spark, f"{base}/held", work, most=1)
+    q = Q.messages(spark, f"{base}/messages", in_flight=1_000_000).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return Q.bad(held).select("payload", "deliveries", "reason")
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle
