@@ -138,13 +138,8 @@ def grounded(lowered: Column, name: str) -> Column:
     return reduce(lambda a, b: a | b, [contains_phrase(lowered, alias) for alias in L.ALIASES.get(name, (name,))])
 
 
-def grounded_words(lowered: Column) -> Column:
-    """Names of the vocabulary that the lower-case text holds, in the vocabulary's order."""
-    return F.array_compact(F.array(*[F.when(grounded(lowered, name), name) for name in L.ALIASES]))
-
-
 def rule_keywords(title_words: Column, words_: Column, limit: int = 5) -> Column:
-    """Names in the text, those of the title first; both from grounded_words."""
+    """Names in the text, those of the title first; both in the vocabulary's order (gazetteer.names_in)."""
     first = F.array_intersect(words_, title_words)
     return F.slice(F.concat(first, F.array_except(words_, first)), 1, limit)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import words as P
+from .gazetteer import Spellings, built, flat, longest_first
 
 #: Fixed values. Thresholds of clustering, labels and entities.
 MAX_ARTICLES = 50
@@ -174,22 +175,14 @@ def phrases(title: str, query_key: str) -> list[tuple[str, list[str], bool, bool
     return out
 
 
-def entities_in(text: str, aliases: list[tuple[str, re.Pattern]]) -> set[str]:
+def entities_in(text: str, aliases: Spellings) -> set[str]:
     """Names whose spelling stands in the text, longer spellings first, no character used twice."""
-    taken = bytearray(len(text))
-    found = set()
-    for name, spelling in aliases:
-        for m in spelling.finditer(text):
-            if not any(taken[m.start() : m.end()]):
-                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                found.add(name)
-    return found
-
-
-def alias_patterns(names: dict[str, tuple[str, ...]]) -> list[tuple[str, re.Pattern]]:
-    flat = sorted(((a, n) for n, some in names.items() for a in dict.fromkeys((n, *some))), key=lambda x: -len(x[0]))
-    border = lambda a: rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])" if re.fullmatch(r"[A-Za-z0-9.+-]+", a) else re.escape(a)
-    return [(n, re.compile(border(a), re.IGNORECASE)) for a, n in flat]
+    return {m.name for m in longest_first(aliases.matches(text))}
+
+
+def alias_patterns(names: dict[str, tuple[str, ...]]) -> Spellings:
+    """The automaton of all spellings; those of plain characters need borders."""
+    return built(flat(names), False)
 
 
 def label_scores(members: list[int], found: list[list[tuple]], texts: list[str], cluster_df: Counter, clusters_n: int, query_key: str) -> list[tuple[str, float]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import udfs as U
+from ..operators import gazetteer
 from ..sources import articles as A
 from ..sources.tables import table
 from .registered import Plans, sql_list
@@ -109,8 +110,8 @@ def ticker_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _grounded(spark: SparkSession, sf: str) -> DataFrame:
-    low = table(spark, sf, "documents").select("doc_id", F.lower(T.text_or_empty(F.col("text"))).alias("low"))
-    return low.select("doc_id", T.grounded_words(F.col("low")).alias("words"))
+    spellings = tuple((n, a) for n, some in L.ALIASES.items() for a in some)
+    return table(spark, sf, "documents").select("doc_id", gazetteer.names_in(F.col("text"), spellings).alias("words"))
 
 
 WORDS_SQL = "[x for x in [" + ", ".join(f"CASE WHEN {grounded_sql('text', n)} THEN '{n}' END" for n in L.ALIASES) + "] if x IS NOT NULL]"
@@ -121,6 +122,22 @@ def grounded_words(spark: SparkSession, sf: str) -> DataFrame:
     return _grounded(spark, sf).select("doc_id", F.array_join("words", ",").alias("words"))
 
 
+GAZETTEER = """WITH g AS (SELECT 'n' || r_regionkey AS name, lower(r_name) AS spelling FROM region UNION SELECT 'n' || n_nationkey, lower(left(n_name, 3)) FROM nation UNION SELECT 'w' || l, w FROM (VALUES (1, 'the'), (2, 'than'), (3, 'la'), (4, 'in')) AS v(l, w)),
+    d AS (SELECT doc_id, lower(text) AS t FROM documents)
+    SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, name, unnest(regexp_extract_all(t, '(^|[^a-z0-9])' || spelling || '($|[^a-z0-9])')) FROM (SELECT doc_id, name, spelling, regexp_replace(t, '([^a-z0-9])', '\\1\\1', 'g') AS t FROM d, g)) GROUP BY 1, 2"""
+
+
+@plans.add(GAZETTEER)
+def gazetteer_names(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each name of a table of spellings stands in each document."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    some = r.select(F.concat(F.lit("n"), "r_regionkey").alias("name"), F.lower("r_name").alias("spelling")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.lower(F.substring("n_name", 1, 3)).alias("spelling")))
+    words = F.inline(F.array(*[F.struct(F.lit(f"w{i}").alias("name"), F.lit(w).alias("spelling")) for i, w in enumerate(("the", "than", "la", "in"), 1)]))
+    spellings = some.unionByName(r.limit(1).select(words))
+    hits = gazetteer.found(table(spark, sf, "documents"), "doc_id", "text", spellings, exclusive=False, bordered=True)
+    return hits.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _category_sql() -> str:
     score = {name: " + ".join(f"CASE WHEN {grounded_sql('text', c)} THEN 1 ELSE 0 END" for c in some) for name, some in L.CATEGORY_CUES.items()}
     rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS place, '{n}' AS name, {s} AS score FROM documents" for i, (n, s) in enumerate(score.items()))
