@@ -159,10 +159,6 @@ def cues(text: Column, vocabulary: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(text_or_empty(text).rlike(f"(?i){p}"), k) for k, p in vocabulary.items()]))
 
 
-def families(keys: Column) -> Column:
-    return F.array_distinct(F.transform(keys, lambda k: F.element_at(F.split(k, ":"), 1)))
-
-
 def polarity(text: Column, up: str, down: str) -> Column:
     return cues(text, {"up": up, "down": down})
 

@@ -150,11 +150,6 @@ def canonical_digest(value: str | None) -> str | None:
     return hashlib.sha256(json.dumps(parsed, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def exact_round(value: float | None, digits: int) -> float | None:
-    """Rounding of the binary value, ties to even."""
-    return None if value is None or pd.isna(value) else round(float(value), digits)
-
-
 def _one(f, kind: str):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: f(None if v is None or (isinstance(v, float) and pd.isna(v)) else v))
@@ -193,10 +188,6 @@ def client_key(c):
     return _one(client, "string")(c)
 
 
-def quote_normal_form(c):
-    return _one(quote_form, "string")(c)
-
-
 def quote_found(sentence, body):
     return _two(quoted, "boolean")(sentence, body)
 
@@ -207,7 +198,3 @@ def excerpt(text, budget):
 
 def json_digest(c):
     return _one(canonical_digest, "string")(c)
-
-
-def round_exact(value, digits):
-    return _two(lambda v, d: exact_round(v, int(d)), "double")(value, digits)

@@ -225,10 +225,6 @@ def latest_status(events: DataFrame, key: str, status: str, at: str, tie: str) -
     return events.groupBy(key).agg(F.max_by(status, F.struct(at, tie)).alias("status"), F.max(at).alias("at"))
 
 
-def timed_out(status: Column, expires: Column, now: Column) -> Column:
-    return F.when(~status.isin(*TERMINAL) & (expires < now), "failed").otherwise(status)
-
-
 def session_windows(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
     """Extension: sessions by inactivity, with begin, end and events."""
     w = Window.partitionBy(key).orderBy(at)

@@ -102,13 +102,16 @@ def debated_stocks(spark: SparkSession, sf: str) -> DataFrame:
     return E.debate_rows(stocks, debate, ["conv_id"]).select("conv_id", "turn", "verdict", F.size("bull").alias("bulls"))
 
 
-@plans.add("SELECT event_id, CASE WHEN event_type = 'error' THEN 'unavailable' ELSE 'checked' END AS status, event_type <> 'error' AND event_id % 2 = 0 AS grounded, CASE WHEN event_type IN ('buy', 'view') THEN 'hold' ELSE 'watch' END AS action, CASE event_type WHEN 'error' THEN 'try again' WHEN 'click' THEN 'clicked' ELSE 'failed' END AS message FROM events")
+@plans.add("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'unavailable' ELSE 'checked' END AS status, event_type <> 'error' AND event_id % 2 = 0 AS grounded, CASE WHEN event_type IN ('buy', 'view') THEN 'hold' ELSE 'watch' END AS action, CASE event_type WHEN 'error' THEN 'try again' WHEN 'click' THEN 'clicked' ELSE 'failed' END AS message,
+    CASE WHEN event_id % 5 = 0 THEN 'unavailable' WHEN event_id % 2 = 1 OR event_id % 3 = 0 THEN 'warning' ELSE 'passed' END AS verdict FROM events""")
 def critic_and_actions(spark: SparkSession, sf: str) -> DataFrame:
     """A failed check isn't counted as grounded; unknown actions are watched; codes become messages."""
     kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
     c = C.critic_defaults(even, F.lit(0.5), kind == "error")
+    notes = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("note"))).otherwise(F.array().cast("array<string>"))
     return table(spark, sf, "events").select(
         "event_id", c["status"].alias("status"), F.coalesce(c["grounded"], F.lit(False)).alias("grounded"), C.strategy_action(F.when(kind == "view", "hold").otherwise(kind)).alias("action"), C.failure_message(kind, {"error": "try again", "click": "clicked"}).alias("message"),
+        E.critic_status(F.when(F.col("event_id") % 5 > 0, even), notes).alias("verdict"),
     )
 
 
@@ -156,18 +159,19 @@ def outcome_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return C.reasons(table(spark, sf, "events").withColumnRenamed("event_type", "outcome"), ["user_id"])
 
 
-@plans.add("SELECT * FROM (VALUES ('A', 0, ''), ('C', 1, 'claims,debate'), ('B''', 2, 'claims,revise')) AS t(arm, position, flags)")
+@plans.add("""SELECT c.conv_id, a.arm, a.position, a.flags, count(*) AS runs FROM conversations c JOIN (VALUES ('A', 0, ''), ('C', 1, 'claims,debate'), ('B''', 2, 'claims,revise')) AS a(arm, position, flags) ON (c.conv_id + c.turn) % 3 = a.position GROUP BY 1, 2, 3, 4""")
 def comparison_arms(spark: SparkSession, sf: str) -> DataFrame:
-    return C.arms(spark, ("A", "C", "B'")).select("arm", "position", F.array_join("flags", ",").alias("flags"))
+    """Runs of each conversation by the arm that its turns are dealt to, with what the arm switches on."""
+    runs = table(spark, sf, "conversations").select("conv_id", ((F.col("conv_id") + F.col("turn")) % 3).cast("int").alias("position"))
+    named = runs.join(C.arms(spark, ("A", "C", "B'")), "position")
+    return named.groupBy("conv_id", "arm", "position", F.array_join("flags", ",").alias("flags")).agg(F.count(F.lit(1)).alias("runs"))
 
 
-@plans.add("SELECT doc_id, CASE WHEN length(text) <= 300 THEN length(text)::INT ELSE -1 END AS n, length(text) > 300 AS longer FROM documents WHERE text IS NOT NULL")
+@plans.add(r"""WITH p AS (SELECT doc_id, text, left(text, 300) AS head FROM documents WHERE text IS NOT NULL), e AS (SELECT *, length(regexp_extract(head, '(?s)^(.*(?:[.!?。]\s|\n))', 1)) AS till FROM p)
+    SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE rtrim(left(head, CASE WHEN till >= 150 THEN till ELSE 300 END), E' \t\n\x0b\x0c\r') END) AS excerpt_md5 FROM e""")
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts up to 300 characters stay whole; longer ones are cut within that."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text"), U.excerpt(F.col("text"), F.lit(300)).alias("x"))
-    whole = F.col("x") == F.col("text")
-    cut = (F.length("x") <= 300) & F.startswith("text", "x") & (F.length("text") > 300)
-    return d.select("doc_id", F.when(whole, F.length("x")).when(cut, -1).alias("n"), cut.alias("longer"))
+    """Texts up to 300 characters; longer ones end with their last sentence within that, if it ends in the second half."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.md5(U.excerpt(F.col("text"), F.lit(300))).alias("excerpt_md5"))
 
 
 @plans.add("""WITH k AS (SELECT event_id AS k FROM events) SELECT k AS event_id, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'no_debate' WHEN k % 5 = 0 THEN 'no_judge' ELSE 'judged' END AS debate, CASE WHEN k % 7 = 0 THEN 'old' WHEN k % 11 > 0 THEN 'new' ELSE '-' END AS report,

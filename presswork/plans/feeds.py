@@ -13,6 +13,7 @@ from ..functions import vectors as V
 from ..operators import articles as A
 from ..operators import comparison as C
 from ..operators import dedupe as D
+from ..operators import evidence as E
 from ..operators import keywords as K
 from ..operators import maps as M
 from ..operators import selection as S
@@ -273,9 +274,10 @@ def inputs_once(spark: SparkSession, sf: str) -> DataFrame:
     return D.distinct_inputs(p, ["url"], lambda once: once.withColumn("processed", F.lower("url"))).select("page_id", "processed")
 
 
-@plans.add("SELECT DISTINCT p_name AS key FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 4 = 0)")
+@plans.add("WITH p AS (SELECT p_partkey, p_name || '/' || p_brand AS key FROM part) SELECT DISTINCT key FROM p WHERE key NOT IN (SELECT key FROM p WHERE p_partkey % 4 = 0)")
 def keys_to_fetch(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("key"))
+    """Keys that aren't stored, each once."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_brand").alias("key"))
     return D.missing_keys(p, p.where("p_partkey % 4 = 0").select("key").distinct(), "key")
 
 
@@ -298,14 +300,15 @@ def expansion_and_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k, F.array_join(K.expansion_terms(raw, F.lit("OWN")), ",").alias("terms"), A.canonical_name(F.when(k % 2 == 0, "samsung  Electronics").otherwise(" 무명")).alias("name"), A.rag_block(rows).alias("block"))
 
 
-@plans.add("SELECT page_id, md5(page_id || '/x') = md5(page_id || '/x') AS same, true AS differs FROM pages")
+@plans.add("""SELECT page_id, sha256('{"requested":["' || least(page_id::VARCHAR, (page_id + 1)::VARCHAR) || '","' || greatest(page_id::VARCHAR, (page_id + 1)::VARCHAR) || '"],"used":["a' || page_id % 7 || '","b"],"failed":[' || CASE WHEN page_id % 5 = 0 THEN '"f"' ELSE '' END || '],"rag":' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"config":"c' || page_id % 3 || '"}') AS key, true AS ordered FROM pages""")
 def report_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """A report's key holds for its inputs whatever the order of their fields, and changes with them."""
-    p = text("page_id")
-    a = U.json_digest(F.concat(F.lit('{"a": '), p, F.lit(', "b": [1, 2]}')))
-    b = U.json_digest(F.concat(F.lit('{"b":[1,2],"a":'), p, F.lit("}")))
-    c = U.json_digest(F.concat(F.lit('{"b":[2,1],"a":'), p, F.lit("}")))
-    return table(spark, sf, "pages").select("page_id", (a == b).alias("same"), (a != c).alias("differs"))
+    """The key of a report by what it is made from; the order in which that is named changes nothing."""
+    k, p, q = F.col("page_id"), text("page_id"), F.col("page_id") + 1
+    used, none = [F.concat(F.lit("a"), (k % 7).cast("string")), F.lit("b")], F.array().cast("array<string>")
+    rest = (F.when(k % 5 == 0, F.array(F.lit("f"))).otherwise(none), k % 2 == 0, F.concat(F.lit("c"), (k % 3).cast("string")))
+    key = E.report_key(F.array(p, q.cast("string")), F.array(*used), *rest)
+    turned = E.report_key(F.array(q.cast("string"), p), F.array(*reversed(used)), *rest)
+    return table(spark, sf, "pages").select("page_id", key.alias("key"), (key == turned).alias("ordered"))
 
 
 QUERIES, ORACLE = plans.queries, plans.oracle

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import documents, drafts, feeds, judged, related, reports, search, states, texts, tracked
+from .plans import documents, drafts, feeds, further, judged, related, reports, search, states, texts, tracked
 
-MODULES = (related, judged, texts, search, reports, drafts, feeds, tracked, states, documents)
+MODULES = (related, judged, further, texts, search, reports, drafts, feeds, tracked, states, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

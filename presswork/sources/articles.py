@@ -154,7 +154,3 @@ def article_view(documents: DataFrame) -> DataFrame:
         F.col("doc_id"), T.news_id(F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id")).alias("news_id"), F.element_at(lines, 1).alias("title"),
         F.array_join(F.slice(lines, 2, F.size(lines)), " ").alias("description"), F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id").alias("url"), "source", F.col("lang").alias("search_keyword"), published.alias("published_at"),
     )
-
-
-def reduce_or(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -60,7 +60,3 @@ TELEMETRY = ("event_id", "kind", "provider", "operation", "outcome", "stage", "s
 def telemetry(df: DataFrame) -> DataFrame:
     """JSON lines of the allowed fields that df has."""
     return df.select(F.to_json(F.struct(*[c for c in TELEMETRY if c in df.columns])).alias("line"))
-
-
-def json_line(*columns: Column) -> Column:
-    return F.to_json(F.struct(*columns))

@@ -57,7 +57,6 @@ def test_quotes_and_cuts():
     assert not U.quoted("15%", "1.5% 상승") and not U.quoted("", "x")
     assert U.cut("aaaa. bbbb. cc", 12) == "aaaa. bbbb." and U.cut("a" * 20, 10) == "a" * 10 and U.cut(None, 5) == ""
     assert U.canonical_digest('{"b":1,"a":2}') == U.canonical_digest('{"a": 2, "b": 1}') and U.canonical_digest("{") is None
-    assert U.exact_round(2.675, 2) == 2.67
 
 
 def test_clean_and_normal():
