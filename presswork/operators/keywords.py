@@ -21,6 +21,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import words as P
 from .gazetteer import Spellings, built, flat, longest_first
+from .lattice import Model
 
 #: Fixed values. Thresholds of clustering, labels and entities.
 MAX_ARTICLES = 50
@@ -143,14 +144,28 @@ EVENT_HEAD = re.compile(
 )
 
 
-def phrases(title: str, query_key: str) -> list[tuple[str, list[str], bool, bool]]:
+def phrases(title: str, query_key: str, model: Model | None = None) -> list[tuple[str, list[str], bool, bool]]:
     """(label, its words, whether it begins a clause, whether it names an event): runs of 2 to 4 words
-    of 4 to 16 characters between the marks and predicates of a title."""
+    of 4 to 16 characters between the marks and predicates of a title. With a model words are cut by it (else by their suffixes),
+    and its compounds are labels too."""
     out = []
     for clause in re.split(r"\.{2,}|…+|,|·\s+|/|—|--|\s-\s|[?!:;\"“”‘’]", re.sub(r"\[[^\]]{1,12}\]|\([^)]{1,14}\)", " ", title)):
         run: list[tuple[str, bool]] = []
         runs = [run]
         for word in clause.split():
+            if model is not None:
+                cut = model.word(word)
+                if cut.kind == "STOP":
+                    run = []
+                    runs.append(run)
+                    continue
+                if model.compound(cut) and re.sub(r"\s+", "", cut.stem).casefold() != query_key:
+                    out.append((cut.stem, list(cut.pieces), not run, bool(EVENT_HEAD.search(cut.stem.casefold().replace(query_key, "")))))
+                run.append((cut.stem, not run))
+                if cut.kind == "TERM":
+                    run = []
+                    runs.append(run)
+                continue
             base = P.stem(word.casefold())
             shown = word[: len(base)] if base else word
             if re.search(L.PREDICATE, word) or not re.search("[가-힣a-zA-Z0-9]", word):
@@ -215,7 +230,7 @@ def too_close(label: str, other: str, query_key: str) -> bool:
     return a in b or b in a or near or P.dice(P.grams(P.tokens(label)), P.grams(P.tokens(other))) >= 0.55
 
 
-def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str, ...]]) -> list[tuple]:
+def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str, ...]], model: Model | None = None) -> list[tuple]:
     """(keyword, kind, search_query, article_count, center_news_id, news_ids) of one search, centre first."""
     key = re.sub(r"\s+", "", query).casefold()
     titles, texts = rows["title"].tolist(), rows["description"].fillna("").tolist()
@@ -224,7 +239,7 @@ def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str,
     middle = lambda at: at[int(np.argmax(vectors[at] @ (vectors[at].mean(axis=0) / max(np.linalg.norm(vectors[at].mean(axis=0)), 1e-9))))]
     ask = lambda label: label if key in re.sub(r"\s+", "", label).casefold() else f"{query} {label}"
     groups = [c for c in clustered(titles, vectors, q) if len(c) >= 2]
-    found = [phrases(t, key) for t in titles]
+    found = [phrases(t, key, model) for t in titles]
     folded = [f"{t} {d}".casefold() for t, d in zip(titles, texts, strict=True)]
     cluster_df = Counter(w for c in groups for w in {w for i in c for p in found[i] for w in p[1]})
     ranked = []
@@ -265,8 +280,8 @@ def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str,
     return [(query, "center", query, len(ids), ids[int(np.argmax(vectors @ q))], ids), *issues, *entities]
 
 
-def keyword_map(articles: DataFrame, names: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Nodes of each query's map from its first MAX_ARTICLES articles.
+def keyword_map(articles: DataFrame, names: dict[str, tuple[str, ...]] | None = None, model: Model | None = None) -> DataFrame:
+    """Nodes of each query's map from its first MAX_ARTICLES articles. model: costs of words (lattice.learn).
 
     articles: query, query_vector, search_rank, news_id (string), title, description, embedding.
     """
@@ -275,7 +290,7 @@ def keyword_map(articles: DataFrame, names: dict[str, tuple[str, ...]] | None =
     few = articles.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= MAX_ARTICLES)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = keyword_map_rows(g["query"].iloc[0], g.sort_values("__n"), known)
+        rows = keyword_map_rows(g["query"].iloc[0], g.sort_values("__n"), known, model)
         out = pd.DataFrame(rows, columns=["keyword", "kind", "search_query", "article_count", "center_news_id", "news_ids"])
         out.insert(0, "position", range(len(out)))
         out.insert(0, "query", g["query"].iloc[0])

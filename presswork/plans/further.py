@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import articles as A
 from ..operators import gazetteer
 from ..operators import judgment as J
+from ..operators import lattice
 from ..operators import selection as S
 from ..sources import articles as SRC
 from ..sources.tables import stored, table
@@ -93,6 +94,22 @@ def rule_keyword_lists(spark: SparkSession, sf: str) -> DataFrame:
     return words.select(k, F.array_join(T.rule_keywords(F.col("head"), F.col("every")), ",").alias("words"), F.array_join(T.rule_categories(F.col("every")), ",").alias("categories"))
 
 
+STEMS, TAILS = ("금리", "환율", "물가", "수출", "인상", "전망", "기준"), ("가", "는", "에서", "에", "서", "까지")
+
+
+@plans.add("""SELECT k AS c_custkey, stem, class, stem || '=' || pieces AS cut, length(stem) >= 5 AND contains(pieces, '+') AS compound FROM (
+    SELECT c_custkey AS k, ['금리', '환율', '물가', '수출'][c_custkey % 4 + 1] || ['', '인상', '전망인상'][c_custkey // 4 % 3 + 1] AS stem, ['금리', '환율', '물가', '수출'][c_custkey % 4 + 1] || ['', '+인상', '+전망+인상'][c_custkey // 4 % 3 + 1] AS pieces,
+      CASE WHEN c_custkey // 12 % 4 = 0 THEN 'CONTENT' ELSE 'TERM' END AS class FROM customer)""")
+def title_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Made words of stems and particles, cut by a model of a few pieces."""
+    k = F.col("c_custkey")
+    one = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+    title = F.concat(one(STEMS[:4], k), one(("", "인상", "전망인상"), F.floor(k / 4)), one(("", "가", "에서", "까지"), F.floor(k / 12)))
+    model = lattice.Model(dict.fromkeys(STEMS, 3.0), dict.fromkeys(TAILS, 1.0))
+    w = lattice.words_of(title, model)[0]
+    return table(spark, sf, "customer").select(k, w.alias("w")).select(k, "w.stem", F.col("w.kind").alias("class"), F.concat("w.stem", F.lit("="), F.array_join("w.pieces", "+")).alias("cut"), "w.compound")
+
+
 @plans.add("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS direction FROM customer")
 def headline_directions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
