@@ -13,6 +13,7 @@ from ..operators import judgment as J
 from ..operators import lattice
 from ..operators import selection as S
 from ..sources import articles as SRC
+from ..sources import templates
 from ..sources.tables import stored, table
 from .judged import RULING
 from .registered import Plans
@@ -133,4 +134,21 @@ def inputs_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return A.missing_inputs(p, p.where("page_id % 3 = 0"))
 
 
+@plans.add(r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL), n AS (SELECT host, count(*) AS pages FROM d GROUP BY 1),
+    b AS (SELECT doc_id, host, pos, trim(regexp_replace(line, '\s+', ' ', 'g')) AS block FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+    m AS (SELECT host, block, count(DISTINCT doc_id) AS on_ FROM b WHERE block <> '' GROUP BY 1, 2),
+    t AS (SELECT b.*, m.on_ >= 3 AND m.on_ >= 0.05 * n.pages AS many FROM b JOIN m USING (host, block) JOIN n USING (host)), s AS (SELECT host, avg(many::INT) >= 0.6 AS noisy FROM t GROUP BY 1),
+    k AS (SELECT doc_id, string_agg(block, chr(10) ORDER BY pos) AS body FROM t JOIN s USING (host) WHERE NOT many AND NOT noisy GROUP BY 1)
+    SELECT d.doc_id, md5(CASE WHEN length(regexp_replace(coalesce(body, ''), '[^0-9A-Za-z가-힣]', '', 'g')) >= 250 THEN body ELSE '' END) AS body_md5 FROM d LEFT JOIN k USING (doc_id)""")
+def template_body_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' lines as paragraphs of pages of their source, between a menu, a box and a last line that the pages of the source share."""
+    line = lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit("<div class='text'>"), F.array_join(F.transform(F.split(safe, "\n"), line), ""), F.lit("</div>"))
+    menu = F.concat(F.lit("<div class='top'><ul><li><a href='/'>Home of "), F.col("host"), F.lit("</a><li>Number "), F.col("doc_id").cast("string"), F.lit("<li>News</ul></div>"))
+    pages = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
+    made = pages.select("doc_id", "host", F.concat(F.lit("<html><body>"), menu, body, F.lit("<div class='end'><p>All rights at "), F.col("host"), F.lit("</div></body></html>")).alias("html"))
+    return templates.template_bodies(made, "doc_id").select("doc_id", F.md5("body").alias("body_md5"))
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle
