@@ -230,7 +230,16 @@ def too_close(label: str, other: str, query_key: str) -> bool:
     return a in b or b in a or near or P.dice(P.grams(P.tokens(label)), P.grams(P.tokens(other))) >= 0.55
 
 
-def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str, ...]], model: Model | None = None) -> list[tuple]:
+# Fixed values. The cosine of a label without a vector.
+NO_VECTOR = 0.5
+
+
+def label_cosine(label: str, centre: np.ndarray, known: dict[str, np.ndarray] | None) -> float:
+    v = (known or {}).get(label)
+    return NO_VECTOR if v is None or len(v) != len(centre) else float(v @ centre / max(np.linalg.norm(v), 1e-9))
+
+
+def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str, ...]], model: Model | None = None, label_vectors: dict[str, np.ndarray] | None = None) -> list[tuple]:
     """(keyword, kind, search_query, article_count, center_news_id, news_ids) of one search, centre first."""
     key = re.sub(r"\s+", "", query).casefold()
     titles, texts = rows["title"].tolist(), rows["description"].fillna("").tolist()
@@ -245,7 +254,9 @@ def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str,
     ranked = []
     for c in groups[:MAX_CLUSTERS]:
         labels = label_scores(c, found, folded, cluster_df, max(1, len(groups)), key)
-        label, score = (labels[0][0], labels[0][1] * 0.25) if labels else ("", -1.0)  # no label vectors: cosine .5
+        centre = vectors[c].mean(axis=0) / max(np.linalg.norm(vectors[c].mean(axis=0)), 1e-9)
+        finals = [(label, score * max(0.1, label_cosine(label, centre, label_vectors)) ** 2) for label, score in labels]
+        label, score = max(finals, key=lambda x: x[1], default=("", -1.0))
         ranked.append((len(c) * (1 + 0.12 * math.log1p(max(0.0, score))), label or titles[middle(c)][:14].strip(), c))
     issues: list[tuple] = []
     for _, label, c in sorted(ranked, key=lambda x: -x[0]):
@@ -282,6 +293,7 @@ def keyword_map_rows(query: str, rows: pd.DataFrame, names: dict[str, tuple[str,
 
 def keyword_map(articles: DataFrame, names: dict[str, tuple[str, ...]] | None = None, model: Model | None = None) -> DataFrame:
     """Nodes of each query's map from its first MAX_ARTICLES articles. model: costs of words (lattice.learn).
+    A column label_vectors (map of label to vector, the same in all rows of a query) chooses among a cluster's labels; else each counts as half alike.
 
     articles: query, query_vector, search_rank, news_id (string), title, description, embedding.
     """
@@ -290,7 +302,9 @@ def keyword_map(articles: DataFrame, names: dict[str, tuple[str, ...]] | None =
     few = articles.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= MAX_ARTICLES)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = keyword_map_rows(g["query"].iloc[0], g.sort_values("__n"), known, model)
+        given = g["label_vectors"].iloc[0] if "label_vectors" in g.columns else None
+        vectors = {k: np.asarray(v, float) for k, v in dict(given).items() if v is not None} if given is not None else None
+        rows = keyword_map_rows(g["query"].iloc[0], g.sort_values("__n"), known, model, vectors)
         out = pd.DataFrame(rows, columns=["keyword", "kind", "search_query", "article_count", "center_news_id", "news_ids"])
         out.insert(0, "position", range(len(out)))
         out.insert(0, "query", g["query"].iloc[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..operators import judgment as J
 from ..operators import lattice
 from ..operators import selection as S
 from ..sources import articles as SRC
-from ..sources import templates
-from ..sources.tables import stored, table
+from ..sources import sinks, templates
+from ..sources.tables import shared_dir, stored, table
 from .judged import RULING
 from .registered import Plans
 from .texts import tokens_sql
@@ -151,4 +153,27 @@ def template_body_extract(spark: SparkSession, sf: str) -> DataFrame:
     return templates.template_bodies(made, "doc_id").select("doc_id", F.md5("body").alias("body_md5"))
 
 
+@plans.add("""WITH r AS (SELECT ['A', 'B', 'C'][conv_id % 3 + 1] AS arm, conv_id AS repeat, count(*) AS n, count(*) FILTER (role = 'user') AS users, conv_id % 5 > 0 AS done FROM conversations GROUP BY conv_id)
+    SELECT arm, count(*) AS runs, count(*) FILTER (done) AS samples, count(*) FILTER (done) AS keys, sum(users) FILTER (done)::BIGINT AS up_count, sum(n) FILTER (done)::BIGINT AS impact_count, count(*) AS figures, bool_and(true) AS hidden FROM r GROUP BY 1""")
+def comparison_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The four outputs of a comparison read back: runs, figures, samples without arms, the key."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.when(F.col("role") == "user", "up").otherwise("down").alias("direction"))).alias("stock_impacts"))
+    arm = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("conv_id") % 3 + 1).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    runs = c.select(
+        arm.alias("arm"), F.col("conv_id").alias("repeat"), F.when(F.col("conv_id") % 5 > 0, "completed").otherwise("failed").alias("outcome"), F.lit(1).alias("elapsed_ms"), F.lit(2).alias("logical_generate_calls"), none("long").alias("tokens_in"), none("long").alias("tokens_out"),
+        none("double").alias("est_cost_usd"), none("string").alias("verification_status"), none("array<string>").alias("notes"), "stock_impacts", none("array<struct<action:string>>").alias("strategy_items"), none("string").alias("error_code"), F.concat(F.lit("=text "), F.col("conv_id").cast("string")).alias("content"),
+    )
+    folder = f"{shared_dir(spark)}/comparison-{uuid.uuid4().hex}"
+    sinks.write_comparison(runs, folder, 7, "digest")
+    csv = lambda name, schema: spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}")
+    figures = csv("comparison.csv", ", ".join(f"{x} {'long' if x in ('repeat', 'up_count', 'impact_count') else 'string'}" for x in sinks.COMPARED))
+    sheet = csv("blind_scores.csv", ", ".join(f"{x} string" for x in sinks.SCORED))
+    key = spark.read.schema("assessment_id string, arm string, repeat long").json(f"{folder}/answer_key.json")
+    every = spark.read.schema("arm string, repeat long").json(f"{folder}/comparison.json")
+    opened = key.join(sheet, "assessment_id").groupBy("arm").agg(F.count(F.lit(1)).alias("samples"), F.bool_and(F.col("content") == F.concat(F.lit("'=text "), F.col("repeat").cast("string"))).alias("hidden"))
+    shown = figures.groupBy("arm").agg(F.count(F.lit(1)).alias("figures"), F.sum("up_count").alias("up_count"), F.sum("impact_count").alias("impact_count"))
+    return every.groupBy("arm").agg(F.count(F.lit(1)).alias("runs")).join(shown, "arm").join(opened, "arm").join(key.groupBy("arm").agg(F.count(F.lit(1)).alias("keys")), "arm")
+
+
 QUERIES, ORACLE = plans.queries, plans.oracle

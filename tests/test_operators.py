@@ -180,6 +180,10 @@ def test_keyword_map(spark):
     issues = [n for n in nodes if n.kind == "issue"]
     assert {tuple(sorted(n.news_ids)) for n in issues} == {("n0", "n1", "n2"), ("n3", "n4", "n5")}
     assert {"삼성전자", "테슬라"} <= {n.keyword for n in nodes if n.kind == "entity"}
+    mean = lambda part: [float(x) for x in np.mean([y[5] for y in part], axis=0)]
+    for label in ("반도체 수출", "반도체 수출 증가"):
+        given = df.withColumn("label_vectors", F.create_map(F.lit(label), F.lit(mean([(*x[:5], x[6]) for x in rows[:3]]))))
+        assert label in {n.keyword for n in K.keyword_map(given).where("kind = 'issue'").collect()}
 
 
 def test_entities_take_longest_first():
