@@ -30,7 +30,7 @@ def jumps(links: DataFrame, most: int | None, bound: int) -> tuple[list[DataFram
     Each table is the one before it joined with itself and is written; there are about log2 of the depth. Whoever has an ancestor that is as
     many links away as there are rows (bound) comes to a circle.
     """
-    out = [stored(links.select("m", "x", "a"), "jumps")]
+    out = [links]
     while not out[-1].isEmpty():
         far = 1 << len(out)
         if far > 2 * bound:
@@ -63,7 +63,7 @@ def closure(nodes: DataFrame, links: DataFrame, most: int | None = None) -> Data
     """
     if most is not None and most < 1:
         links = links.where(F.lit(False))
-    links = stored(links, "links")
+    links = stored(links.select("m", "x", "a"), "links")
     bound = links.count()
     tables, circular = jumps(links, most, bound)
     if circular:
