@@ -7,7 +7,6 @@ parsed with explicit schemas. A failed parse is a status, never a made-up report
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs as U
+from . import passages
 
 #: Fixed values. Most claims, stocks, arguments a target, characters of a reason and of a note.
 MAX_CLAIMS, MAX_STOCKS, MAX_ARGUMENTS, MAX_REASON, NOTE_TARGET = 12, 6, 2, 80, 120
@@ -131,30 +131,18 @@ def check_quotes(claims: DataFrame, evidence: DataFrame, by: list[str]) -> DataF
 def loose_quotes(quotes: DataFrame, bodies: DataFrame, quote: str, body: str) -> DataFrame:
     """Pairs of bodies and quotes that stand in them, white space aside.
 
-    quotes is a stated query set: it goes through the driver in blocks of about QUOTE_BYTES, and each
-    block is one automaton that reads every body once, however many quotes it holds. What it finds is joined by
-    the quote.
+    Quotes of up to QUOTE_BYTES in all (their size is summed first) are one automaton that reads every body once; more of them meet
+    the bodies by their rarest anchors, as tables.
     """
     q = quotes.withColumn("__quote", T.collapse(F.col(quote))).where("__quote <> ''")
     b = bodies.withColumn("__body", T.collapse(F.col(body)))
-    every = [b.withColumn("__found", quotes_in(some)("__body")) for some in text_blocks(q.select("__quote").distinct(), QUOTE_BYTES)]
-    if not every:
-        return b.join(q, F.lit(False)).drop("__quote", "__body")
-    found = reduce(DataFrame.unionByName, [x.where(F.size("__found") > 0).withColumn("__hit", F.explode("__found")) for x in every])
-    return found.join(q, F.col("__hit") == F.col("__quote")).drop("__quote", "__body", "__found", "__hit")
-
-
-def text_blocks(texts: DataFrame, most: int) -> Iterator[list[str]]:
-    """A column of texts, in lists of about most bytes each."""
-    block, held = [], 0
-    for row in texts.toLocalIterator():
-        block.append(row[0])
-        held += len(row[0].encode())
-        if held >= most:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    texts = q.select("__quote").distinct()
+    if (texts.agg(F.sum(F.octet_length("__quote"))).first()[0] or 0) > QUOTE_BYTES:
+        found = passages.held_passages(b, "__body", texts, "__quote").withColumnRenamed("__quote", "__hit")
+    else:
+        some = [r[0] for r in texts.toLocalIterator()]
+        found = b.withColumn("__hit", F.explode(quotes_in(some)("__body"))) if some else b.withColumn("__hit", F.lit("")).where(F.lit(False))
+    return found.join(q, F.col("__hit") == F.col("__quote")).drop("__quote", "__body", "__hit")
 
 
 def quotes_in(quotes: list[str]) -> Callable[[str], Column]:

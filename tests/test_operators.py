@@ -273,8 +273,9 @@ def test_vector_top_k_of_many_centres(spark, monkeypatch):
     assert S.vector_top_k(df, df.where("vec_id < 0"), 5, dims=6).count() == 0
 
 
-def test_loose_quotes(spark, monkeypatch):
-    monkeypatch.setattr(E, "QUOTE_BYTES", 6)
+@pytest.mark.parametrize("most", [6, 1000])
+def test_loose_quotes(spark, monkeypatch, most):
+    monkeypatch.setattr(E, "QUOTE_BYTES", most)
     q = spark.createDataFrame([(1, "ab  cd"), (2, "ab cd"), (3, "b c"), (4, " "), (5, None), (6, "zz")], "q int, quote string")
     b = spark.createDataFrame([(1, "x ab\ncd y"), (2, None), (3, "xab cdz ab cd"), (4, "none")], "b int, body string")
     assert sorted((x.b, x.q) for x in E.loose_quotes(q, b, "quote", "body").collect()) == [(i, k) for i in (1, 3) for k in (1, 2, 3)]
