@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
@@ -128,19 +129,6 @@ def quoted(sentence: str | None, body: str | None) -> bool:
     return re.search(left + re.escape(needle) + right, quote_form(body)) is not None
 
 
-BOUNDARY = re.compile(r"(?:[.!?。]\s|\n)")
-
-
-def cut(text: str | None, budget: int) -> str:
-    """At most budget characters, up to the last sentence end if that is in the second half."""
-    text = text or ""
-    if len(text) <= budget:
-        return text
-    prefix = text[:budget]
-    ends = [m.end() for m in BOUNDARY.finditer(prefix)]
-    return prefix[: ends[-1] if ends and ends[-1] >= budget // 2 else budget].rstrip()
-
-
 def canonical_digest(value: str | None) -> str | None:
     """SHA-256 of a JSON text in canonical form: sorted keys, no blanks; null if it isn't JSON."""
     try:
@@ -192,8 +180,13 @@ def quote_found(sentence, body):
     return _two(quoted, "boolean")(sentence, body)
 
 
-def excerpt(text, budget):
-    return _two(lambda t, n: cut(t, int(n)), "string")(text, budget)
+def excerpt(text: Column, budget: Column | int) -> Column:
+    """At most budget characters, up to the last sentence end if that is in the second half."""
+    whole, most = F.coalesce(text, F.lit("")), F.lit(budget) if isinstance(budget, int) else budget
+    head = F.substring(whole, F.lit(1), most)
+    till = F.length(F.regexp_extract(head, r"(?s)^(.*(?:[.!?。](?U:\s)|\n))", 1))
+    cut = F.substring(head, F.lit(1), F.when(till >= F.floor(most / 2), till).otherwise(most))
+    return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(cut, r"(?U)\s+$", ""))
 
 
 def json_digest(c):

@@ -11,9 +11,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,42 @@ SEMANTIC, LEXICAL, POLAR_DICE = 0.65, 0.35, 0.45
 MAX_ISSUES, MAX_ENTITIES, MAX_CLUSTERS, MAX_LABELS = 4, 4, 10, 6
 
 
+TOKEN = re.compile("[a-z가-힣]+")
+
+
 def frequent_tokens(docs: DataFrame, by: list[str], text: str, limit: int = 7, least: int = 3) -> DataFrame:
-    """token, n, first_pos, rank: most frequent tokens of each group, ties by first occurrence."""
-    found = F.regexp_extract_all(F.lower(T.text_or_empty(F.col(text))), F.lit("[a-z가-힣]+"), F.lit(0))
-    each = docs.select(*by, "position", F.posexplode(found).alias("at", "token"))
-    stop = (*L.TITLE_STOPWORDS, *L.CONTENT_STOPWORDS, *L.KEYWORD_STOPWORDS)
-    each = each.where((F.length("token") >= least) & ~F.col("token").isin(*stop))
-    counted = each.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "at")).alias("first_pos"))
+    """token, n, first_pos, rank: most frequent tokens of each group, ties by first occurrence.
+
+    Words are counted batch by batch, so what is shuffled are a batch's distinct words with their counts and first places.
+    """
+    k = len(by)
+    names = [*(f"__by{i}" for i in range(k)), "token", "n", "position", "at"]
+    stop = frozenset((*L.TITLE_STOPWORDS, *L.CONTENT_STOPWORDS, *L.KEYWORD_STOPWORDS))
+    read = docs.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=False)], F.col("position"), F.lower(T.text_or_empty(F.col(text))).alias("text"))
+    kinds = [f.dataType.simpleString() for f in read.schema.fields]
+    first = lambda position, at: (False, 0, at) if position is None else (True, position, at)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[tuple, list] = {}
+            for *group, position, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at, word in enumerate(TOKEN.findall(words)):
+                    if len(word) < least or word in stop:
+                        continue
+                    held = counts.get((*group, word))
+                    if held is None:
+                        counts[*group, word] = [1, position, at]
+                    else:
+                        held[0] += 1
+                        if first(position, at) < first(*held[1:]):
+                            held[1:] = position, at
+            columns = [pa.array([key[i] for key in counts], batch.schema.field(i).type) for i in range(k)]
+            columns += [pa.array([key[k] for key in counts], pa.string()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], batch.schema.field(k).type), pa.array([v[2] for v in counts.values()], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"{n} {kind}" for n, kind in zip(names, [*kinds[:k], "string", "long", kinds[k], "int"], strict=True))
+    counted = read.mapInArrow(rows, schema).groupBy(*names[:k], "token").agg(F.sum("n").alias("n"), F.min(F.struct("position", "at")).alias("first_pos"))
+    counted = counted.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=False)], "token", "n", "first_pos")
     w = Window.partitionBy(*by).orderBy(F.col("n").desc(), "first_pos")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 

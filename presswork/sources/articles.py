@@ -6,8 +6,6 @@ UTC), image. Missing fields are empty texts, never null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 

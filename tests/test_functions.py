@@ -55,10 +55,14 @@ def test_urls():
 def test_quotes_and_cuts():
     assert U.quoted("3% 올랐다", "주가는 3% 올랐다고 한다") and not U.quoted("3%", "13% 상승") and not U.quoted("3%", "-3% 하락")
     assert not U.quoted("15%", "1.5% 상승") and not U.quoted("", "x")
-    assert U.cut("aaaa. bbbb. cc", 12) == "aaaa. bbbb." and U.cut("a" * 20, 10) == "a" * 10 and U.cut(None, 5) == ""
     assert U.canonical_digest('{"b":1,"a":2}') == U.canonical_digest('{"a": 2, "b": 1}') and U.canonical_digest("{") is None
 
 
+def test_excerpts(spark):
+    df = spark.createDataFrame([("aaaa. bbbb. cc", 12), ("a" * 20, 10), (None, 5), ("a. b\u3000" + "c" * 9, 8), ("ab。\u3000cdef", 6), ("short", 9)], "t string, n int")
+    assert [r.x for r in df.select(U.excerpt(F.col("t"), F.col("n")).alias("x")).collect()] == ["aaaa. bbbb.", "a" * 10, "", "a. b\u3000ccc", "ab。", "short"]
+
+
 def test_clean_and_normal():
     assert U.clean("<b>A&amp;B</b>　x") == "A&B x" and U.clean(None) == ""
     assert U.normal("[단독] 美 금리↑ 결정...") == "미국 금리 상승"

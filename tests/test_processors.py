@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from presswork.operators import state as S
 from presswork.streaming import processors as P
