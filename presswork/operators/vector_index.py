@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,14 +170,16 @@ def best_by_codes(model: Model, most: int) -> callable:
     """For mapInArrow over sorted (cell, slot, block, kind) groups: of each query of a group, the rows whose codes are nearest."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, asked, vectors, best = None, [], [], None
+        group, asked, vectors, best, kinds = None, [], [], None, ()
         queries = np.empty((0, model.dims))
 
         def told() -> Iterator[pa.RecordBatch]:
             if best is not None and len(best):
-                yield pa.RecordBatch.from_pandas(best.assign(query=np.array(asked, object)[best["at"]])[["query", "id", "cell", "score"]].infer_objects(), preserve_index=False)
+                queried = [asked[i] for i in best["at"]]
+                yield pa.RecordBatch.from_arrays([pa.array(queried, kinds[0]), pa.array(best["id"].tolist(), kinds[1]), pa.array(best["cell"].to_numpy(np.int32)), pa.array(best["score"].to_numpy(np.float64))], ["query", "id", "cell", "score"])
 
         for batch in batches:
+            kinds = batch.schema.field(4).type, batch.schema.field(6).type
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):

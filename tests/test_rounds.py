@@ -138,3 +138,7 @@ def test_vector_index_of_odd_tables(spark):
     model = I.fit(df, dims=8)
     got = I.search(stored(I.encoded(df, model), "index"), model, df.where("vec_id IN (0, 12)"), 3).collect()
     assert sorted(r.centre for r in got) == [0, 0, 0]
+    for kind in ("int", "string"):
+        named = stored(df.withColumn("vec_id", F.col("vec_id").cast(kind)), "vectors")
+        again = I.search(stored(I.encoded(named, model), "index"), model, named.where("vec_id IN (0, 12)"), 3)
+        assert again.schema["centre"].dataType.simpleString() == kind and again.count() == 3
