@@ -113,7 +113,23 @@ def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
     return selection.mmr(scored, ["label"], 10)
 
 
-@plans.add()
+# The titles are "vector" and a number, of which their shares of letter pairs follow.
+LINKAGE = """WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings QUALIFY i < 50),
+    c AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS c FROM embeddings GROUP BY 1), q AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS q FROM c),
+    o AS (SELECT label, vec_id, i, list_transform(list_zip(v, q), lambda z: z[1] - list_dot_product(v, q) * z[2]) AS o FROM e JOIN q USING (label)), r AS (SELECT label, vec_id, i, list_transform(o, lambda x: x / greatest(sqrt(list_dot_product(o, o)), 1e-9)) AS r FROM o),
+    p AS (SELECT a.label, a.i, b.i AS j, list_dot_product(a.r, b.r) AS semantic, CASE WHEN a.vec_id < 10 AND b.vec_id < 10 THEN 1 WHEN a.vec_id < 10 OR b.vec_id < 10 THEN 10.0 / 11 ELSE 10.0 / 12 END::DOUBLE AS lexical FROM r a JOIN r b ON a.label = b.label AND a.i < b.i),
+    t AS (SELECT label, least(0.51, 0.42 + 0.25 * greatest(0, avg(semantic) - 0.30)) AS threshold FROM p GROUP BY 1),
+    w AS (SELECT label, 0 AS step, list(i ORDER BY i) AS own FROM e GROUP BY 1
+      UNION ALL SELECT label, step + 1, list_transform(own, lambda x: CASE WHEN x = best.hi THEN best.lo ELSE x END) FROM (
+        SELECT label, step, own, arg_max({'lo': lo, 'hi': hi}, (score, -lo, -hi)) AS best, max(score) AS score FROM (
+          SELECT w.label, w.step, w.own, least(own[p.i + 1], own[p.j + 1]) AS lo, greatest(own[p.i + 1], own[p.j + 1]) AS hi, avg(0.65 * semantic + 0.35 * lexical) AS score FROM w JOIN p ON p.label = w.label WHERE own[p.i + 1] <> own[p.j + 1] GROUP BY 1, 2, 3, 4, 5)
+        GROUP BY 1, 2, 3) JOIN t USING (label) WHERE score >= threshold),
+    f AS (SELECT label, unnest(own) AS first, unnest(range(len(own))) AS i FROM (SELECT label, arg_max(own, step) AS own FROM w GROUP BY 1)), n AS (SELECT label, first, count(*) AS n FROM f GROUP BY 1, 2),
+    k AS (SELECT label, first, (row_number() OVER (PARTITION BY label ORDER BY n DESC, first) - 1)::INT AS cluster FROM n)
+    SELECT label AS query, vec_id AS news_id, cluster FROM e JOIN f USING (label, i) JOIN k USING (label, first)"""
+
+
+@plans.add(LINKAGE)
 def cluster_avg_linkage(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of each label's first fifty vectors, the label's first vector as the query."""
     e = table(spark, sf, "embeddings")
