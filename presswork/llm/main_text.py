@@ -70,6 +70,7 @@ class Tree(HTMLParser):
         self.forms = forms
         self.tags, self.parents, self.noise, self.firm, self.article, self.silent, self.content = ["html"], [0], [False], [False], [False], [False], [False]
         self.stack, self.open = [0], {"html": 1}
+        self.block_places, self.owners = [0], [0]  # places of open blocks in the stack, open blocks and noise
         self.blocks: list[tuple[int, str, int]] = []
         self.pieces: list[str] = []
         self.linked = 0
@@ -79,18 +80,21 @@ class Tree(HTMLParser):
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                owner = next(e for e in reversed(self.stack) if self.tags[e] in BLOCKS or self.noise[e])
-                self.blocks.append((owner, text, min(self.linked, len(text))))
+                self.blocks.append((self.owners[-1], text, min(self.linked, len(text))))
             self.pieces, self.linked = [], 0
 
     def pop(self, place: int) -> None:
         """Close the elements of the stack from place on."""
         gone = self.stack[place:]
-        if any(self.tags[e] in BLOCKS or self.noise[e] for e in gone):
+        if self.owners[-1] >= gone[0]:  # elements are numbered as they open
             self.flush()
         for e in gone:
             self.open[self.tags[e]] -= 1
         del self.stack[place:]
+        while self.block_places[-1] >= place:
+            self.block_places.pop()
+        while self.owners[-1] >= gone[0]:
+            self.owners.pop()
 
     def above(self, stops) -> int:
         """Place of the nearest open element for whose tag stops holds; -1 if there is none."""
@@ -103,7 +107,7 @@ class Tree(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-            near = self.above(BLOCKS.__contains__)
+            near = self.block_places[-1]
             if near > 0 and (self.tags[self.stack[near]] == "p" or tag in HEADINGS and self.tags[self.stack[near]] in HEADINGS):
                 self.pop(near)
             if tag in SIBLINGS:
@@ -136,6 +140,10 @@ class Tree(HTMLParser):
         self.article.append(lead)
         self.content.append(bool(words & CONTENT))
         self.silent.append(tag in SILENT or self.silent[self.stack[-1]])
+        if tag in BLOCKS:
+            self.block_places.append(len(self.stack))
+        if tag in BLOCKS or self.noise[-1]:
+            self.owners.append(len(self.tags) - 1)
         self.stack.append(len(self.tags) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -147,9 +155,11 @@ class Tree(HTMLParser):
         if tag in BLOCKS or tag in SILENT:
             self.pop(self.above(tag.__eq__))
         else:
-            near = self.above(lambda t: t == tag or t in BLOCKS)
-            if self.tags[self.stack[near]] == tag:
-                self.pop(near)
+            place = len(self.stack) - 1
+            while place > self.block_places[-1] and self.tags[self.stack[place]] != tag:
+                place -= 1
+            if place > self.block_places[-1]:
+                self.pop(place)
 
     def handle_data(self, data: str) -> None:
         if not self.silent[self.stack[-1]]:
