@@ -41,7 +41,7 @@ def test_held_passages_equal_a_plain_search(spark, alphabet):
 
 
 def test_quotes_stay_off_the_driver(spark):
-    quotes = spark.range(200_000).selectExpr("concat('a passage of some length with the number ', id, ' in it') AS quote")
-    texts = spark.createDataFrame([(i, f"Before. a passage of some length with the number {i * 7919 % 250_000} in it. After.") for i in range(300)], "i int, body string")
+    quotes = spark.range(60_000).selectExpr("concat('a passage of some length with the number ', id, ' in it') AS quote")
+    texts = spark.createDataFrame([(i, f"Before. a passage of some length with the number {i * 7919 % 75_000} in it. After.") for i in range(300)], "i int, body string")
     got = {(r.i, r.quote) for r in P.held_passages(texts, "body", quotes, "quote").collect()}
-    assert got == {(i, f"a passage of some length with the number {i * 7919 % 250_000} in it") for i in range(300) if i * 7919 % 250_000 < 200_000}
+    assert got == {(i, f"a passage of some length with the number {i * 7919 % 75_000} in it") for i in range(300) if i * 7919 % 75_000 < 60_000}
