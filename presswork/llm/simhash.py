@@ -818,8 +818,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     proposed = sketch_links(anchored_pairs(nodes), NEAR_BITS).groupBy(F.col("a").alias("member")).agg(F.min("b").alias("centre"))
     proposed = materialize(proposed.select(F.col("centre").alias("a"), F.col("member").alias("b")), "sketch-pairs")
     links = materialize(confirmed(named, nodes, proposed, size, similarity), "sketch-links")
-    missed = materialize(missed_links(named, nodes, components(links), size, similarity), "missed-links")
-    merged = materialize(components(links.unionByName(missed)), "merged-groups")
+    parts = materialize(components(links), "sketch-groups")
+    missed = materialize(missed_links(named, nodes, parts, size, similarity), "missed-links")
+    merged = materialize(components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)), "merged-groups")
     firsts = merged.join(nodes.select("node", "least"), "node")
     best = firsts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")).select(F.col("root").alias("its_root"), F.col("best.node").alias("first"))
     gone = firsts.join(best, F.col("root") == F.col("its_root")).where("node <> first").select("node").distinct()

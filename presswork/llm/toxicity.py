@@ -16,6 +16,7 @@ reported each; an empty table gives no row. Scores come from the text alone.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -244,14 +245,27 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5,
     classes = [marked.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in ("toxic > 0", "toxic = 0")]
     chosen = classes[0].unionByName(classes[1])
     texts = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_sample(held))], pa.binary())], ["field"])
+
+    # one worker fits the sample: the driver would keep the memory that this takes
+    found = rows.select(F.col("doc_id").cast("string"), "toxic", "text").repartition(1).mapInArrow(fitted, "field binary").collect()
+    return pickle.loads(found[0]["field"]) if found else fit_field([], [])
+
+
+def fit_sample(rows: list[tuple[str, int, str]]) -> Field:
+    """Field from (id, toxic, text) of the sample."""
     documents, toxic, seen = [], [], set()
-    for r in sorted(rows, key=lambda r: str(r["doc_id"])):  # copies and near copies count once
-        words = words_of(r["text"])
+    for _, label, text in sorted(rows, key=lambda r: r[0]):  # copies and near copies count once
+        words = words_of(text)
         least = sorted(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))[:8]
         if sum(h in seen for h in least) * 3 < len(least):
             documents.append(words)
-            toxic.append(r["toxic"] > 0)
+            toxic.append(label > 0)
         seen.update(least)
     return fit_field(documents, toxic)
 
