@@ -4,11 +4,13 @@
    of their 128-byte pieces in one order of all: by hash, pieces that a sample shows to be common
    last. Equal windows have equal first pieces, so a window can repeat only if its run's piece
    stands at another place of the corpus; counting pieces, combined before the shuffle, rules out
-   all other runs. As common pieces come last, a window that goes beyond a common passage is named by a piece
+   all other runs. A window of three pieces' length also holds the whole piece before its first piece or the
+   one after it, so a run is ruled out too if neither stands beside its piece elsewhere. As common pieces come last, a window that goes beyond a common passage is named by a piece
    of its own, and what a third of all documents share doesn't draw their other bytes into one task.
 2. The bytes under a remaining run (its segment) are folded with those of equal content, so what a
    third of all documents share is one segment with a mark.
-3. Segments with one piece go to one shard. A shard's text is a scratch file, and its suffixes are
+3. Segments with one piece go to one shard; one that stands at several places and is its piece's only one
+   has no other to be compared with. A shard's text is a scratch file, and its suffixes are
    sorted with their common-prefix lengths by external induced sorting (induced.py) as they are
    taken out of disk-backed queues; a window is repeated iff its suffix shares 400 bytes with a
    neighbour in that order, or its segment stands at several places.
@@ -92,12 +94,13 @@ def ordered(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """How many runs of windows each text has; piece, first window, windows and places of the piece of each run."""
+def runs_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray = np.empty(0, np.uint64)) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many runs of windows each text has; piece, first window, windows, places of the piece, and hashes of the
+    PIECE bytes before and after its first place (0 if these aren't all under the run) of each run."""
     data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return [0] * len(texts), none, none, none, none
+        return [0] * len(texts), none, none, none, none, none, none
     hashes = ordered(piece_hashes(data), common)
     width = length - PIECE + 1
     least = sliding_least(hashes, width)
@@ -106,14 +109,19 @@ def runs_of(texts: list[bytes], length: int = LENGTH, common: np.ndarray = np.em
         inside[end - len(text) : max(end - length + 1, end - len(text))] = True
     at = np.flatnonzero(inside)
     if not len(at):
-        return [0] * len(texts), none, none, none, none
+        return [0] * len(texts), none, none, none, none, none, none
     own = least[at]
     first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (np.diff(at) != 1)))
     count = np.diff(np.append(first, len(at)))
     start, own = at[first], own[first]
-    places = np.fromiter((np.count_nonzero(hashes[s : s + c + width - 1] == h) for s, c, h in zip(start.tolist(), count.tolist(), own, strict=True)), np.int64, len(start))
+    found = [(hashes[s : s + c + width - 1] == h).nonzero()[0] for s, c, h in zip(start.tolist(), count.tolist(), own, strict=True)]
+    places = np.fromiter(map(len, found), np.int64, len(found))
+    place = np.concatenate(found)[np.cumsum(places) - places] + start
+    beside = []
+    for near, inside in ((place - PIECE, place - PIECE >= start), (place + PIECE, place + 2 * PIECE <= start + count + length - 1)):
+        beside.append(np.where(inside, (hashes[np.clip(near, 0, len(hashes) - 1)] >> np.uint64(20)).astype(np.uint32) | np.uint32(1), np.uint32(0)).view(np.int32))
     of = np.searchsorted(ends, start, "right")
-    return np.bincount(of, minlength=len(texts)).tolist(), own.view(np.int64), start - np.append(0, ends)[of], count, places
+    return np.bincount(of, minlength=len(texts)).tolist(), own.view(np.int64), start - np.append(0, ends)[of], count, places, *beside
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -168,7 +176,7 @@ def anchors_of(texts: list[bytes], passage: int = PASSAGE, anchor: int = ANCHOR)
     return np.split(found[fresh].view(np.int64), np.searchsorted(own[fresh], np.arange(1, len(texts))))
 
 
-RUN = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("places", pa.int32())])
+RUN = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("places", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
 
 def common_pieces(docs: DataFrame, text_col: str, length: int, texts: int, least: int = ORDER_LEAST) -> np.ndarray:
@@ -207,7 +215,7 @@ def text_runs(docs: DataFrame, text_col: str, length: int, common: np.ndarray) -
                         runs.append(runs_of(waiting, length, common))
                         anchors += anchors_of(waiting)
                         waiting, held = [], 0
-                flat = [np.concatenate([r[i] for r in runs]) for i in range(1, 5)]
+                flat = [np.concatenate([r[i] for r in runs]) for i in range(1, 7)]
                 values = pa.StructArray.from_arrays([pa.array(f, t.type) for f, t in zip((flat[0], *(x.astype(np.int32) for x in flat[1:])), RUN, strict=True)], fields=list(RUN))
                 ends = np.cumsum([0, *(n for r in runs for n in r[0])]).astype(np.int32)
                 of = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
@@ -215,7 +223,7 @@ def text_runs(docs: DataFrame, text_col: str, length: int, common: np.ndarray) -
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, 1000), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), told], ["key", "n_bytes", "runs", "anchors"])
 
     named = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return named.withColumn("key", key_of_text()).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int>>, anchors array<long>")
+    return named.withColumn("key", key_of_text()).mapInArrow(rows, "key binary, n_bytes long, runs array<struct<h:long,start:int,windows:int,places:int,left:int,right:int>>, anchors array<long>")
 
 
 def cut_segments(texts: DataFrame, length: int) -> DataFrame:
@@ -292,6 +300,19 @@ def flag_spans(flags: np.ndarray, length: int) -> list[dict]:
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def by_piece(rows: Iterator[tuple]) -> Iterator[tuple[tuple, bool]]:
+    """Each of the rows (sorted by their first value), and whether no other row has its first value."""
+    held, same = None, False
+    for row in rows:
+        if held is not None:
+            again = row[0] == held[0]
+            yield held, not (same or again)
+            same = again
+        held = row
+    if held is not None:
+        yield held, not same
+
+
 def decide(segments: DataFrame, length: int, shard_bytes: int, limits: dict[str, int]) -> DataFrame:
     """h, content, spans: the repeated byte spans of each segment, relative to its start.
 
@@ -306,16 +327,25 @@ def decide(segments: DataFrame, length: int, shard_bytes: int, limits: dict[str,
             spans = [[{"start": 0, "end": n}] if several else flag_spans(hit[at : at + n - length + 1], length) for _, _, several, at, n in part]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array(spans, SPANS)], ["h", "content", "spans"])
 
+    def whole(alone: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in alone], pa.int64()), pa.array([r[1] for r in alone], pa.binary()), pa.array([[{"start": 0, "end": r[2]}] for r in alone], SPANS)], ["h", "content", "spans"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, last = Shard(), None
-        for batch in batches:
-            for h, content, several, data in zip(*batch.columns, strict=True):
-                own = h.as_py()
-                if shard.size >= shard_bytes and own != last:
-                    yield from solve(shard)
-                    shard = Shard()
-                shard.add(own, content.as_py(), several.as_py(), data.as_py())
-                last = own
+        shard, alone = Shard(), []
+        for some, only in by_piece(tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True)):
+            h, content, several, data = some
+            if only and several:  # repeated whole, and nothing else has its piece
+                alone.append((h, content, len(data)))
+                if len(alone) == 10_000:
+                    yield whole(alone)
+                    alone = []
+                continue
+            if shard.size >= shard_bytes and h != shard.rows[-1][0]:
+                yield from solve(shard)
+                shard = Shard()
+            shard.add(*some)
+        if alone:
+            yield whole(alone)
         if shard.rows:
             yield from solve(shard)
 
@@ -397,12 +427,29 @@ def met(anchor: np.ndarray, k: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return k[several & (kind == ALONE)]
 
 
+def beside_again(runs: DataFrame) -> DataFrame:
+    """The runs (h, most, left, right, ...) whose piece stands elsewhere too with the same piece before or after it.
+
+    A window of three times PIECE or more has PIECE bytes on one side of its first piece at least. Where a run of the
+    piece holds it several times (most), all of the piece's runs stay.
+    """
+    sides = F.array(F.when(F.col("left") != 0, F.xxhash64("h", F.lit(0), "left")), F.when(F.col("right") != 0, F.xxhash64("h", F.lit(1), "right")))
+    runs = materialize(runs, "open-runs")
+    several = runs.where("most > 1")
+    single = runs.where("most = 1").withColumn("sides", F.filter(sides, lambda s: s.isNotNull()))
+    each = single.select("key", "h", "start", F.explode("sides").alias("side"))
+    met = each.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side")
+    stay = each.join(met, "side", "left_semi").select("key", "h", "start").distinct()
+    return several.select("key", "h", "start", "windows").unionByName(single.join(stay, ["key", "h", "start"], "left_semi").select("key", "h", "start", "windows"))
+
+
 def removals(docs: DataFrame, texts: DataFrame, length: int = LENGTH, text_col: str = "text", shard_bytes: int = SHARD_BYTES, **limits: int) -> DataFrame:
     """key, spans: for each text (of distinct_texts) that loses bytes the spans, not yet joined, that it loses."""
     texts = texts.where(F.col("n_bytes") >= length)
     each = texts.select("key", F.explode("runs").alias("r")).select("key", "r.*")
-    again = each.groupBy("h").agg(F.sum("places").alias("n")).where("n > 1").select("h")
-    open_runs = each.join(again, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("runs"))
+    again = each.groupBy("h").agg(F.sum("places").alias("n"), F.max("places").alias("most")).where("n > 1").select(F.col("h").alias("its_h"), "most")
+    each = each.join(again, F.col("h") == F.col("its_h")).drop("its_h")
+    open_runs = (beside_again(each) if length >= 3 * PIECE else each).groupBy("key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("runs"))
     keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     found = keyed.withColumn("key", key_of_text()).join(open_runs, "key").select("text", "key", "runs")
     segments = materialize(cut_segments(found, length), "segments")
