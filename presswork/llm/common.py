@@ -45,7 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with releasing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     for made in _made:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,6 +54,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: With this a query's shuffle files are deleted as it ends; otherwise they stay until the driver happens to collect its garbage.
+RELEASES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run whole in the block (writes, collects) leave no shuffle files behind."""
+    before = spark.conf.get(RELEASES, None)
+    spark.conf.set(RELEASES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASES)
+        else:
+            spark.conf.set(RELEASES, before)
+
+
 #: Lists of the tables written within discarding() blocks that are open.
 _made: list[list[str]] = []
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize
+from .common import LOWER, discard, discarding, materialize, releasing
 from .components import components
 
 SEED = 42
@@ -335,6 +335,9 @@ NEAR_BITS = 26
 #: Texts that are sampled to put common shingles last in the prefix join's order, and how many
 #: shingles are; any order finds the same pairs, this one makes fewer candidates.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 65_536
+#: One text in how many is listed in that order first, for the shingles at which many would be listed in spite of
+#: it: the sample is of one size, so the larger the table, the more texts have a shingle that is rare in the sample. And how many such shingles there may be.
+CROWD_SHARE, CROWD_SHINGLES = 8, 262_144
 #: Slots by which texts of no candidate are left out before they are joined.
 TEXT_SLOTS = 2**20
 #: Texts that are compared with one other in a task.
@@ -498,7 +501,8 @@ def common_shingles(named: DataFrame, total: int, size: int) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(shingle_keys(text, size).view(np.int64))], ["key"])
 
     some = named.where(F.pmod("node", F.lit(max(1, total // ORDER_TEXTS))) == 0).select("node", "text").mapInArrow(rows, "key long")
-    top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).collect()
+    with releasing(named.sparkSession):
+        top = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).collect()
     found = sorted((r["key"], min(r["n"].bit_length(), 15)) for r in top)
     return np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], np.uint64)
 
@@ -536,6 +540,24 @@ def prefixes(named: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
     return named.select("node", "text").mapInArrow(rows, "key long, node long, n int")
 
 
+def with_crowded(named: DataFrame, common: tuple[np.ndarray, np.ndarray], total: int, size: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """common and the shingles outside it that about LISTED texts or more are listed at in its order.
+
+    Texts that have no more than such a shingle in common would all be told their differences to its pivot, which are whole sets.
+    """
+    each = max(1, total // ORDER_TEXTS)
+    share = min(CROWD_SHARE, each)
+    listed = prefixes(named.where(F.pmod("node", F.lit(share)) == 0), common, size, least).where((F.col("key") >= 0) & (F.col("key") < 1 << 60))
+    counts = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
+    with releasing(named.sparkSession):
+        top = counts.where((F.col("n") >= max(4, LISTED // (2 * share))) & (F.col("low") < F.col("high"))).orderBy(F.desc("n"), "key").limit(CROWD_SHINGLES).select("key", "n").toArrow()
+    found = top.column("key").to_numpy().view(np.uint64)
+    ranks = np.array([min(max(1, (n * share // each).bit_length()), 15) for n in top.column("n").to_pylist()], np.uint64)
+    known, ranks = np.concatenate([common[0], found]), np.concatenate([common[1], ranks])
+    order = np.argsort(known, kind="stable")
+    return known[order], ranks[order]
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches, cut so that no run of one value of the first column is divided."""
     held: list[np.ndarray] | None = None
@@ -775,7 +797,9 @@ def missed_links(named: DataFrame, nodes: DataFrame, parts: DataFrame, size: int
     and two texts at a common shingle whose sizes and common prefix allow it are compared. At a shingle that
     very many texts are listed at they are compared by their differences to one of them.
     """
-    prefix = prefixes(named, common_shingles(named, nodes.count(), size), size, least)
+    total = nodes.count()
+    common = with_crowded(named, common_shingles(named, total, size), total, size, least)
+    prefix = prefixes(named, common, size, least)
     held = materialize(held_by_several(prefix), "prefixes")
     parts = parts.select(F.col("node").alias("its_node"), "root")
     held = held.join(parts, F.col("node") == F.col("its_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
@@ -810,6 +834,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     equal texts are linked, texts without words too (null is empty); null ids come last; of repeated
     rows one stays; an empty table stays empty. Columns of any name are kept.
     """
+    spark = docs.sparkSession
     name = unique_names(docs, text_col)
     named = docs.select(F.col(id_col).alias("doc_id"), name.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = materialize(sketches(named, "text"), "sketches")
@@ -818,8 +843,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     proposed = sketch_links(anchored_pairs(nodes), NEAR_BITS).groupBy(F.col("a").alias("member")).agg(F.min("b").alias("centre"))
     proposed = materialize(proposed.select(F.col("centre").alias("a"), F.col("member").alias("b")), "sketch-pairs")
     links = materialize(confirmed(named, nodes, proposed, size, similarity), "sketch-links")
+    discard(proposed)
     parts = materialize(components(links), "sketch-groups")
-    missed = materialize(missed_links(named, nodes, parts, size, similarity), "missed-links")
+    discard(links)
+    with discarding(spark) as keep:
+        missed = keep(materialize(missed_links(named, nodes, parts, size, similarity), "missed-links"))
     merged = materialize(components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)), "merged-groups")
     firsts = merged.join(nodes.select("node", "least"), "node")
     best = firsts.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")).select(F.col("root").alias("its_root"), F.col("best.node").alias("first"))

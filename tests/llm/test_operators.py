@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from presswork.llm import decontamination, induced, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
+from presswork.llm import common, decontamination, induced, language, mixing, ogg, pii, secrets, simhash, substrings, token_counts, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -398,6 +399,33 @@ def test_keep_one_large_groups_meet_at_pivots(docs, monkeypatch):
         assert sorted(x.doc_id for x in simhash.keep_one(docs(texts)).collect()) == want
 
 
+def test_keep_one_crowded_shingles_come_last(docs, monkeypatch):
+    """Phrases of many unlike texts that a small sample doesn't show: hardly any text is told its difference to a pivot."""
+    r = random.Random(16)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(20)]
+    texts = []
+    for _ in range(600):
+        parts = [" ".join(f"u{r.randrange(10**6)}" for _ in range(15)) for _ in range(10)]
+        texts.append(" ".join(x for pair in zip(parts, r.sample(phrases, 10), strict=True) for x in pair))
+    texts = list(enumerate(texts + [t.rsplit(" ", 3)[0] for t in texts[:30]]))
+    seen, own = [], simhash.pivot_links
+    monkeypatch.setattr(simhash, "ORDER_TEXTS", 1)
+    monkeypatch.setattr(simhash, "pivot_links", lambda named, nodes, pairs, *a: (seen.append(pairs.count()), own(named, nodes, pairs, *a))[1])
+    assert sorted(x.doc_id for x in simhash.keep_one(docs(texts)).collect()) == list(range(600))
+    assert seen[0] < 300
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    jvm = spark._jvm
+    blocks = lambda: {b for b in map(str, jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks())) if b.startswith("shuffle_")}
+    before, was, until = blocks(), spark.conf.get(common.RELEASES, None), time.time() + 5
+    out = common.materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    while blocks() - before and time.time() < until:  # they are deleted behind the query's end
+        time.sleep(0.1)
+    assert not blocks() - before and spark.conf.get(common.RELEASES, None) == was
+    assert out.count() == 7
+
+
 # 7 PII
 
 BASE = {
