@@ -55,8 +55,8 @@ def further_judgments(spark: SparkSession, sf: str) -> DataFrame:
     stamp = lambda s: F.when(F.col(f"{s}.timed"), F.date_format(F.timestamp_seconds(F.lit(1_760_054_400)), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     side = lambda s, at: c.select((k * 2 + at).alias("news_id"), F.col(f"{s}.title").alias("title"), F.col(f"{s}.description").alias("description"), stamp(s).alias("published_at"))
     pairs = c.select(k, (k * 2).alias("a_id"), (k * 2 + 1).alias("b_id"), "cosine")
-    articles = stored(side("a", 0).unionByName(side("b", 1)), "articles")  # else the cases are in each of evidence's expressions
-    return J.judge(pairs, J.evidence(articles)).select(k, "reason", "relation", "withheld")
+    articles = stored(side("a", 0).unionByName(side("b", 1)), "articles")  # else the cases are made again for each column
+    return J.judge_articles(pairs, articles).select(k, "reason", "relation", "withheld")
 
 
 @plans.add("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'nvidia|tesla|rally|again|item' || c_custkey WHEN 1 THEN 'ai|gpu|new|chips|item' || c_custkey ELSE 'item' || c_custkey || '|quiet' END AS words FROM customer""".replace("nvidia|tesla", "엔비디아|테슬라"))

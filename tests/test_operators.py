@@ -52,6 +52,21 @@ def test_judgment_rules(spark):
     assert [x for x, _ in got] == [want for _, want in CASES]
 
 
+def test_each_text_is_judged_once(spark, monkeypatch):
+    """Articles of equal texts and unlike times, none too: what judge gives of all, from one row a text."""
+    cases = [c for c, _ in CASES] * 2 + [((None, "", T0), ("", None, T1), 0.99), (("ab", "c", T0), ("a", "bc", T0), 0.9)]
+    articles = [(2 * i + j, *c[j]) for i, c in enumerate(cases) for j in (0, 1)] + [(999, "alone", "", None)]
+    table = spark.createDataFrame(articles, "news_id int, title string, description string, published_at string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, c[2], q) for i, c in enumerate(cases) for q in (None, "금리")] + [(0, 12345, 0.9, None)], "a_id int, b_id int, cosine double, q string")
+    every = lambda df: sorted(map(str, df.collect()))
+    want = every(J.judge(pairs, J.evidence(table), query="q"))
+    seen, own = [], J.evidence
+    monkeypatch.setattr(J, "evidence", lambda some, *a: (seen.append(some.count()), own(some, *a))[1])
+    got = J.judge_articles(pairs, table, query="q")
+    assert every(got) == want and len(want) == 2 * len(cases)
+    assert seen == [len({(a[1] or "", a[2] or "") for a in articles})] and seen[0] < len(articles) / 2
+
+
 def test_judgment_is_directional_and_counts_what_is_new(spark):
     short, more = ("기준금리 동결", LONG, T0), ("기준금리 동결", LONG + " 이창용 한국은행 총재는 가계부채 누증과 수도권 집값 불안이 통화 완화를 늦췄다고 밝혔다.", T1)
     model = ("갤럭시 S12 울트라 공개", "", T0), ("갤럭시 S12 공개", "울트라 갤럭시 S12 울트라", T0)
